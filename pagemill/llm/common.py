@@ -8,8 +8,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker's memo table may hold before it starts again.
-MEMO = 300_000
+
+
+class Memo(dict):
+    """A bounded memo: two generations of at most size entries; what was used lately outlives a change of generation.
+
+    m.get(key) looks into the young generation only; m.fetch(key) also revives from the old one, or returns None.
+    """
+
+    def __init__(self, size: int = 250_000):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def fetch(self, key):
+        value = self.old.get(key)
+        return None if value is None else self.keep(key, value)
+
+    def keep(self, key, value):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def texts(batch: pa.RecordBatch, column: str | int) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat
+from pagemill.llm import bpe, chat
 from pagemill.session import table
 
 
@@ -38,5 +38,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-QUERIES = {"op2_chat_formatting": op2_chat_formatting}
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op2_chat_formatting": OP2_SQL}
