@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat
+from pagemill.llm import bpe, chat, simhash
 from pagemill.session import table
 
 
@@ -43,5 +43,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op2_chat_formatting": OP2_SQL}
