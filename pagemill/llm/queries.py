@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, simhash
+from pagemill.llm import bpe, chat, secrets, simhash, tokencount
 from pagemill.session import table
 
 
@@ -47,5 +47,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op2_chat_formatting": OP2_SQL}
