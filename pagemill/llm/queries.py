@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, secrets, simhash, tokencount
+from pagemill.llm import bpe, chat, decontaminate, secrets, sharding, simhash, tokencount
 from pagemill.session import table
 
 
@@ -55,5 +55,37 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
-ORACLE_SQL = {"op2_chat_formatting": OP2_SQL}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH item_words AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, a, a + least(len(w), 10) - 1) AS win
+  FROM item_words, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(a) WHERE len(w) > 0
+), doc_words AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), doc_windows AS (
+  SELECT row_id, a, n, list_slice(w, a, a + n - 1) AS win
+  FROM doc_words, (SELECT DISTINCT n FROM windows) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS t(a)
+), found AS (
+  SELECT row_id, a, d.n, item FROM doc_windows d JOIN windows USING (win)
+), hit AS (
+  SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(generate_series(a, a + n - 1)) AS p FROM found) GROUP BY row_id
+), items AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row_id, item FROM found) GROUP BY row_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op6_sharding": op6_sharding, "op3_secret_scan": op3_secret_scan, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL}
