@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, decontaminate, secrets, sharding, simhash, tokencount
+from pagemill.llm import bpe, chat, decontaminate, langid, quality, secrets, sharding, simhash, tokencount
 from pagemill.session import table
 
 
@@ -87,5 +87,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op6_sharding": op6_sharding, "op3_secret_scan": op3_secret_scan, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op4_language_id": op4_language_id, "op7_quality": op7_quality, "op1_decontamination": op1_decontamination, "op6_sharding": op6_sharding, "op3_secret_scan": op3_secret_scan, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL}
