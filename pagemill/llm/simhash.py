@@ -158,3 +158,20 @@ def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int =
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 5) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id (null ids last).
+
+    Rows are told apart by a hash of all their columns; of fully equal rows one stays. Only winners' keys meet the
+    texts again, in a join on a key that no group shares.
+    """
+    durable(docs.sparkSession)
+    columns = docs.columns
+    keyed = docs.withColumn("__row", F.xxhash64(*columns))
+    own = with_fingerprint(keyed.select("doc_id", "__row", "text"), width=width, only=("doc_id", "__row")).checkpoint()
+    nodes = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).checkpoint()
+    rooted = label(nodes.select("fp"), radius, segments).join(nodes.hint("merge"), "fp")
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__key"))
+    met = (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return keyed.join(winners.hint("merge"), met, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*columns)
