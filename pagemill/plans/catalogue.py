@@ -1,4 +1,9 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries and their oracle SQL, from the modules of this folder."""
+
+from pagemill.plans import retrieval
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (retrieval,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
