@@ -53,7 +53,7 @@ def pieces(text: str) -> list[str]:
 class Transducer:
     """Encodes a byte string by ranks; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 500_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
@@ -196,7 +196,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.machine = Transducer(self.ranks)
-        self.known, self.piece = Memo(), Memo(150_000)
+        self.known, self.piece = Memo(500_000), Memo(200_000)
         self.token = {str(i): b for b, i in self.ranks.items()}
 
     def _pieces(self, text: str) -> str:
@@ -218,20 +218,21 @@ class Codec:
             return ""
         if _SPACED.search(text):  # white space beside a space: the pattern decides over the whole text
             return self._pieces(text)
-        known, out = self.known, []
-        for i, part in enumerate(text.split(" ")):
-            if i == 0:
-                if part:
-                    out.append(self._pieces(part))
-                continue
-            ids = known.get(part)
-            if ids is None:
-                ids = known.fetch(part)
-            if ids is None:
-                ids = self._pieces(" " + part)
-                if len(part) < 64:
-                    known.keep(part, ids)
-            out.append(ids)
+        head, *parts = text.split(" ")
+        known = self.known
+        out = list(map(known.get, parts))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    part = parts[i]
+                    ids = known.fetch(part)
+                    if ids is None:
+                        ids = self._pieces(" " + part)
+                        if len(part) < 64:
+                            known.keep(part, ids)
+                    out[i] = ids
+        if head:
+            out.insert(0, self._pieces(head))
         return " ".join(out)
 
     def decode(self, ids: str) -> bytes:
