@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,11 +74,8 @@ WORDS = "[a-zà-ÿ]+"
 
 def _first_best(scores: dict[str, Column], none: str) -> Column:
     """The name with the highest score, the first by name among equals; none if all are zero."""
-    best = reduce(lambda a, b: F.greatest(a, b), scores.values())
-    out = F.lit(none)
-    for name in sorted(scores, reverse=True):
-        out = F.when(scores[name] == best, F.lit(name)).otherwise(out)
-    return F.when(best == 0, F.lit(none)).otherwise(out)
+    ranked = F.array_max(F.array(*(F.struct(scores[k].cast("int").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(sorted(scores)))))
+    return F.when(ranked["n"] > 0, ranked["k"]).otherwise(F.lit(none))
 
 
 def language(text: Column) -> Column:

@@ -1,9 +1,9 @@
 """Registered queries and their oracle SQL, from the modules of this folder."""
 
-from pagemill.plans import retrieval
+from pagemill.plans import documents, library, retrieval
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (retrieval,):
+for _module in (retrieval, documents, library):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
