@@ -44,7 +44,8 @@ def sha256(data: bytes) -> str:
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; null ids count as the empty text. Remainder 2 is held out."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % 4
+    own = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(own.cast("string"), F.lit(""))) % 4
 
 
 def slim(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
