@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import evidence, pages, sampling
+from pagemill.operators import embed, evidence, pages, sampling
 from pagemill.session import table
 from pagemill.settings import Chunking
-from pagemill.sources import markup
+from pagemill.sources import files, markup
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -256,3 +256,31 @@ def build_manifest(spark, sf_dir):
     revisions = d.select(F.col("lang").alias("rev_id")).distinct().withColumn("title", F.concat(F.lit("book "), F.col("rev_id")))
     m = evidence.manifest(passages, units, revisions)
     return m.withColumn("pages", F.array_join("pages", ",")).withColumn("labels", F.array_join("labels", ",")).withColumn("flags", F.array_join("flags", ","))
+
+
+_HALF = lambda c, i: f"('0x' || {c}[{4 * i + 3}:{4 * i + 4}] || {c}[{4 * i + 1}:{4 * i + 2}])::INT / 65536.0::DOUBLE"
+
+
+@query(f"""WITH d0 AS (SELECT doc_id, sha256(encode('doc') || unhex('00') || encode(text)) AS s FROM documents), d1 AS (SELECT doc_id, sha256(unhex(s)) AS a FROM d0),
+v AS (SELECT doc_id, [{', '.join(_HALF('a', i) for i in range(16))}] AS v FROM d1)
+SELECT doc_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[16] / sqrt(list_dot_product(v, v)), 6) AS last FROM v""")
+def fake_vectors(spark, sf_dir):
+    v = _docs(spark, sf_dir).select("doc_id", embed.fake_vector(F.col("text"), dims=16).alias("v"))
+    return v.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[15], 6).alias("last"))
+
+
+@query("""WITH r AS (SELECT doc_id, doc_id % 4 AS k, strlen(text) AS size, doc_id * 7 AS a FROM documents), s AS (SELECT *, CASE k WHEN 1 THEN a WHEN 2 THEN greatest(size - 50, 0) WHEN 3 THEN a END AS b, CASE k WHEN 1 THEN least(a + 99, size - 1) ELSE size - 1 END AS e FROM r)
+SELECT doc_id, CASE WHEN k = 0 THEN 200 WHEN b < size THEN 206 ELSE 416 END AS status, CASE WHEN k > 0 AND b < size THEN b END AS start, CASE WHEN k > 0 AND b < size THEN e END AS "end" FROM s""")
+def ranged_reads(spark, sf_dir):
+    a = (F.col("doc_id") * 7).cast("string")
+    k = F.col("doc_id") % 4
+    header = F.when(k == 1, F.concat(F.lit("bytes="), a, F.lit("-"), (F.col("doc_id") * 7 + 99).cast("string"))).when(k == 2, "bytes=-50").when(k == 3, F.concat(F.lit("bytes="), a, F.lit("-")))
+    r = _docs(spark, sf_dir).select("doc_id", files.byte_range(F.encode("text", "UTF-8"), header).alias("r"))
+    return r.select("doc_id", "r.status", "r.start", "r.end")
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'missing' WHEN vec_id % 5 = 1 THEN 'dimensions' WHEN vec_id % 5 = 2 THEN 'not_normalized' WHEN vec_id % 5 = 3 THEN 'zero' END AS problem FROM embeddings""")
+def vector_checks(spark, sf_dir):
+    k, v = F.col("vec_id") % 5, F.col("embedding")
+    made = F.when(k == 1, F.slice(v, 1, 3)).when(k == 2, F.transform(v, lambda x: x * 2)).when(k == 3, F.transform(v, lambda x: x * 0)).when(k == 4, v)
+    return table(spark, sf_dir, "embeddings").select("vec_id", embed.vector_problem(made, 64).alias("problem"))

@@ -145,3 +145,37 @@ def test_discovery_sees_files_once(spark, tmp_path):
         (tmp_path / "in" / n).write_text(n)
         discover(spark, str(tmp_path / "in"), str(tmp_path / "ck"), take).awaitTermination()
     assert sorted(p.rsplit("/", 1)[1] for p in seen) == ["a.txt", "b.txt"]
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    from pagemill.operators import embed
+    from pagemill.sources import files
+
+    (tmp_path / "s.jsonl").write_text('{"path": "a", "format": "pdf", "pages": 3}\n{"path": "b", "format": "invalid", "error": "x"}\n')
+    s = files.read_survey(spark, str(tmp_path / "s.jsonl"))
+    assert [r.stratum for r in files.candidates(s).collect()] == ["pdf|unknown|unknown"]
+    assert files.merge_survey(s, s).count() == 2
+    (tmp_path / "q.json").write_text(json.dumps({"questions": [{"id": "q007", "category": "unanswerable", "question": "x?", "answerable": False}, {"id": "q1", "category": "odd", "question": " "}]}))
+    q = files.read_questions(spark, str(tmp_path / "q.json"))
+    assert files.next_question_id(q).first().id == "q008"
+    assert [tuple(r) for r in files.question_problems(q).collect()] == [("q1", "empty_question")]
+    names = spark.createDataFrame([("7.attempt2.log",), ("x.log",)], "name string")
+    assert [tuple(r) for r in files.job_logs(names, spark.createDataFrame([(7, "ocr", "running")], "job_id long, stage string, state string")).collect()] == [(7, "7.attempt2.log", 2, "ocr", "running")]
+    f = lambda *rows: spark.createDataFrame(rows, "path string, size long, sha256 string")
+    assert {tuple(r) for r in files.backup_problems(f(("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x")), f(("b", 2, "x"), ("c", 1, "y"), ("d", 1, "x"))).collect()} == {("a", "missing"), ("b", "size"), ("c", "content"), ("d", "extra")}
+    calls = []
+
+    def encode(batch):
+        calls.append(len(batch))
+        if len(batch) > 2:
+            raise MemoryError
+        return [[1.0]] * len(batch)
+
+    assert len(embed.encode_halving(["a"] * 5, encode)) == 5 and calls == [5, 2, 3, 1, 2]
+    df = spark.createDataFrame([("b", 2), ("a", 1), ("é", 1)], "term string, df long")
+    import hashlib
+
+    want = json.dumps({"N": 3, "avgdl": 1.5, "df": {"a": 1, "b": 2, "é": 1}, "k1": 1.5, "b": 0.75}, sort_keys=True, separators=(",", ":"))
+    assert embed.stats_sha(df, 3, 1.5) == hashlib.sha256(want.encode()).hexdigest()
