@@ -122,7 +122,7 @@ def links(nodes: DataFrame, radius: int = 4, segments: int = 3, crowd: int = 64)
     entered = nodes.select("fp", F.inline(F.array(*tables))).withColumn("n", F.count("*").over(by_key))
     entered = entered.withColumn("at", F.row_number().over(by_key.orderBy("fp")))
     entered = entered.filter((F.col("n") <= crowd) | (F.col("at") == 1)).select("seg", "key", F.when(F.col("n") <= crowd, F.col("fp")).alias("other"))
-    met = nodes.select("fp", F.inline(F.flatten(F.array(*probes)))).join(entered, ["seg", "key"])
+    met = nodes.select("fp", F.inline(F.flatten(F.array(*probes)))).join(entered.hint("merge"), ["seg", "key"])
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
     met = met.filter(F.col("other").isNull() | ((F.col("fp") != F.col("other")) & near)).select("fp", "other").distinct()
     durable(nodes.sparkSession)
@@ -134,7 +134,7 @@ def links(nodes: DataFrame, radius: int = 4, segments: int = 3, crowd: int = 64)
     if radius % 2:  # one side with radius k, the other with k + 1: both are emitted, and only pairs of unlike kind count
         raise ValueError("crowded entries need an even radius")
     smallest = balls.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    stars = balls.join(smallest, "key").filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
+    stars = balls.join(smallest.hint("merge"), "key").filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
     return pairs.union(stars)
 
 
@@ -147,10 +147,10 @@ def spread(edges: DataFrame) -> DataFrame:
         # Large star: larger neighbours of a node move to its smallest neighbour (itself included).
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # Small star: smaller neighbours of a node, and the node, move to the smallest of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a <> b")
+        small = large.join(least.hint("merge"), "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a <> b")
         edges = small.union(least.select(F.col("m").alias("a"), "b")).distinct().checkpoint()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -161,7 +161,7 @@ def spread(edges: DataFrame) -> DataFrame:
 def label(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
     """(fp, root) of every fingerprint in nodes (fp, distinct)."""
     roots = spread(links(nodes, radius, segments))
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4) -> DataFrame:
@@ -169,10 +169,10 @@ def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int =
     durable(docs.sparkSession)
     own = with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, only=("doc_id",)).checkpoint()
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    rooted = label(nodes.select("fp"), radius, segments).join(nodes, "fp")
+    rooted = label(nodes.select("fp"), radius, segments).join(nodes.hint("merge"), "fp")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id")
+    return own.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shared_links(own: DataFrame, prints: int, radius: int, segments: int) -> DataFrame:
