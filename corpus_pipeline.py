@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import bpe, decontaminate, quality, secrets, simhash
-from pagemill.session import durable, table
+from pagemill.session import durable, prepare, table
 
 #: Documents that score less are rejected; lower than the classifier's own threshold, to keep clean documents.
 REJECT_BELOW = 0.5
@@ -15,26 +15,31 @@ REJECT_BELOW = 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of docs, doesn't reject."""
+    prepare(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), REJECT_BELOW)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    prepare(spark)
     return simhash.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    prepare(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced."""
+    prepare(spark)
     return secrets.redact(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, and of the text decoded from them."""
+    prepare(spark)
     return bpe.encode_digest(docs)
 
 

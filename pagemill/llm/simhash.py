@@ -110,31 +110,31 @@ def _balls(value: Column, bits: int, radius: int, half: bool) -> Column:
     return F.transform(lows, lambda m: value.bitwiseXOR(m))
 
 
-def links(nodes: DataFrame, radius: int = 4, segments: int = 3, crowd: int = 64) -> DataFrame:
-    """(a, b) with a < b for fingerprints in nodes (fp, distinct) within radius bits, or a chain of such for crowds."""
+def links(nodes: DataFrame, radius: int = 4, segments: int = 3, crowd: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b) with a < b for fingerprints in nodes (by, fp, distinct) within radius bits, or a chain of such for crowds."""
+    if radius % 2:
+        raise ValueError("crowded entries need an even radius")
     tables, probes = [], []
     for i, (first, bits, r) in enumerate(cut(radius, segments)):
         value = F.shiftrightunsigned("fp", first).bitwiseAND((1 << bits) - 1)
         tables.append(F.struct(F.lit(i).alias("seg"), value.alias("key")))
         seg = F.lit(i).alias("seg")
         probes.append(F.transform(_balls(value, bits, r, half=True), lambda k: F.struct(seg, k.alias("key"))))
-    by_key = W.partitionBy("seg", "key")
-    entered = nodes.select("fp", F.inline(F.array(*tables))).withColumn("n", F.count("*").over(by_key))
-    entered = entered.withColumn("at", F.row_number().over(by_key.orderBy("fp")))
-    entered = entered.filter((F.col("n") <= crowd) | (F.col("at") == 1)).select("seg", "key", F.when(F.col("n") <= crowd, F.col("fp")).alias("other"))
-    met = nodes.select("fp", F.inline(F.flatten(F.array(*probes)))).join(entered.hint("merge"), ["seg", "key"])
+    place = [*by, "seg", "key"]
+    entry = W.partitionBy(*place)
+    entered = nodes.select(*by, "fp", F.inline(F.array(*tables))).withColumn("n", F.count("*").over(entry))
+    entered = entered.withColumn("at", F.row_number().over(entry.orderBy("fp")))
+    entered = entered.filter((F.col("n") <= crowd) | (F.col("at") == 1)).select(*place, F.when(F.col("n") <= crowd, F.col("fp")).alias("other"))
+    met = nodes.select(*by, "fp", F.inline(F.flatten(F.array(*probes)))).join(entered.hint("merge"), place)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    met = met.filter(F.col("other").isNull() | ((F.col("fp") != F.col("other")) & near)).select("fp", "other").distinct()
+    met = met.filter(F.col("other").isNull() | ((F.col("fp") != F.col("other")) & near)).select(*by, "fp", "other").distinct()
     durable(nodes.sparkSession)
     met = met.checkpoint()
-    pairs = met.filter("other is not null").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    crowded = met.filter("other is null").select("fp").distinct()
-    half = radius // 2
-    balls = crowded.select("fp", F.explode(_balls(F.col("fp"), BITS, half, half=False)).alias("key"))
-    if radius % 2:  # one side with radius k, the other with k + 1: both are emitted, and only pairs of unlike kind count
-        raise ValueError("crowded entries need an even radius")
-    smallest = balls.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    stars = balls.join(smallest.hint("merge"), "key").filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
+    pairs = met.filter("other is not null").select(*by, F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    crowded = met.filter("other is null").select(*by, "fp").distinct()
+    balls = crowded.select(*by, "fp", F.explode(_balls(F.col("fp"), BITS, radius // 2, half=False)).alias("key"))
+    smallest = balls.groupBy(*by, "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select(*by, "key", "a")
+    stars = balls.join(smallest.hint("merge"), [*by, "key"]).filter(F.col("a") != F.col("fp")).select(*by, "a", F.col("fp").alias("b")).distinct()
     return pairs.union(stars)
 
 
@@ -176,29 +176,28 @@ def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int =
 
 
 def shared_links(own: DataFrame, prints: int, radius: int, segments: int) -> DataFrame:
-    """(a, b): links between values of fp that any of the fingerprints gives.
+    """(a, b): links between values of fp that any of the fingerprints gives, all of them searched in one plan.
 
-    For a further fingerprint, each of its values stands for the smallest fp beside it: fps beside one value are
-    linked, and so are those that linked values stand for.
+    Each value of a fingerprint stands for the smallest fp beside it: fps beside one value are linked, and so are
+    those that linked values stand for.
     """
-    found = links(own.select("fp").distinct(), radius, segments)
-    for i in range(1, prints):
-        name = f"fp{i}"
-        stands = own.groupBy(name).agg(F.min("fp").alias("a"), F.max("fp").alias("z")).checkpoint()
-        beside = own.select(name, F.col("fp").alias("b")).join(stands.filter("a <> z").hint("merge"), name).filter("a <> b").select("a", "b")
-        between = links(stands.select(F.col(name).alias("fp")), radius, segments)
-        for side in ("a", "b"):
-            between = between.join(stands.select(F.col(name).alias(side), F.col("a").alias(f"of_{side}")).hint("merge"), side)
-        least, most = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
-        found = found.union(beside).union(between.select(least.alias("a"), most.alias("b")).filter("a <> b"))
-    return found.distinct()
-
-
-def keep_first(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 5, prints: int = 6) -> DataFrame:
+    values = F.array("fp", *(f"fp{i}" for i in range(1, prints)))
+    long = own.select(F.col("fp").alias("of"), F.posexplode(values).alias("which", "value"))
+    stands = long.groupBy("which", "value").agg(F.min("of").alias("least"), F.max("of").alias("most")).checkpoint()
+    shared = stands.filter("least <> most").select("which", "value", "least")
+    beside = long.join(shared.hint("merge"), ["which", "value"]).filter("of <> least").select(F.col("least").alias("a"), F.col("of").alias("b"))
+    between = links(stands.select("which", F.col("value").alias("fp")), radius, segments, by=("which",))
+    for side in ("a", "b"):
+        between = between.join(stands.select("which", F.col("value").alias(side), F.col("least").alias(f"of_{side}")).hint("merge"), ["which", side])
+    between = between.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).filter("a <> b")
+    return beside.union(between).distinct()
+
+
+def keep_first(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 5, prints: int = 4) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id (null ids last).
 
     Texts are linked if any of several independent fingerprints differs by radius bits at most: with one, about half
-    of the pairs that share 95 % of their shingles would be, with six nearly all. Rows are told apart by a hash of
+    of the pairs that share 95 % of their shingles would be, with four over 90 %. Rows are told apart by a hash of
     all their columns; of fully equal rows one stays. Only winners' keys meet the texts again, in a join on a key
     that no group shares.
     """
