@@ -30,7 +30,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.llm.common import Memo, sha256, slim, texts
+from pagemill.llm.common import Memo, hold, sha256, slim, texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: White space as the pattern's library has it (the property White_Space).
@@ -244,6 +244,7 @@ _CODECS: dict[str, Codec] = {}
 
 def codec(vocabulary: str = VOCABULARY) -> Codec:
     """The worker's codec of a vocabulary file of public_tokenizers."""
+    hold("bpe", _CODECS.clear)
     if vocabulary not in _CODECS:
         _CODECS[vocabulary] = Codec(public_tokenizers.path(vocabulary))
     return _CODECS[vocabulary]

@@ -20,6 +20,10 @@ class Memo(dict):
         super().__init__()
         self.size, self.old = size, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def fetch(self, key):
         value = self.old.get(key)
         return None if value is None else self.keep(key, value)
@@ -32,6 +36,19 @@ class Memo(dict):
         return value
 
 
+_HELD: dict = {}
+
+
+def hold(name: str, release) -> None:
+    """Say, at a task's start, whose memos this worker now fills; those of other operators are released.
+
+    Workers outlive stages, and the memos of several stages together would not fit an executor.
+    """
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = release
+
+
 def texts(batch: pa.RecordBatch, column: str | int) -> list[bytes]:
     """A text column as UTF-8 bytes; null is empty."""
     at = batch.schema.get_field_index(column) if isinstance(column, str) else column

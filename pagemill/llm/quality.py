@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Memo, fold, texts
+from pagemill.llm.common import Memo, fold, hold, texts
 
 BITS = 18
 THRESHOLD = 0.7
@@ -34,7 +34,7 @@ HELD_OUT = 2
 _MASK = np.uint64((1 << BITS) - 1)
 _RUNS = re.compile(rb"(.)\1+", re.S)
 _SHAPES = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
-_MEMO = Memo(400_000)
+_MEMO = Memo(200_000)
 
 
 def _codes(word: bytes) -> int:
@@ -55,6 +55,7 @@ def features(data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
 
     Where a text has no n words left, the place is 2**BITS, whose weight is always zero.
     """
+    hold("quality", _MEMO.forget)
     counts, codes = np.zeros(len(data), np.int64), []
     for i, text in enumerate(data):
         words = text.split()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import texts
+from pagemill.llm.common import hold, texts
 from pagemill.session import durable
 
 BITS = 64
@@ -86,6 +86,7 @@ def with_fingerprints(docs: DataFrame, width: int = 4, prints: int = 1, text_col
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + [f"`{n}` long" for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", dict)
         for batch in batches:
             values = np.array([fingerprints(t, width, prints) for t in texts(batch, "__text")], np.uint64).reshape(-1, prints).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(values[:, i]) for i in range(prints))], [*kept, *names])

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.llm.common import Memo, slim, texts
+from pagemill.llm.common import Memo, hold, slim, texts
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -119,6 +119,7 @@ _COUNTERS: dict[str, Counter] = {}
 
 
 def counter(vocabulary: str = VOCABULARY) -> Counter:
+    hold("tokencount", _COUNTERS.clear)
     if vocabulary not in _COUNTERS:
         import public_tokenizers
 
