@@ -40,11 +40,11 @@ from pagemill.session import durable
 BITS = 64
 
 
-def fingerprints(text: bytes, width: int = 4, prints: int = 1) -> list[int]:
-    """The fingerprint, and further ones of the same shingles by hashes mixed anew from the first."""
+def shingle_hashes(text: bytes, width: int = 4) -> np.ndarray:
+    """The hash of every shingle, with repeats; none for a text without words."""
     words = text.lower().split()
     if not words:
-        return [0] * prints
+        return np.zeros(0, np.uint64)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
@@ -53,10 +53,21 @@ def fingerprints(text: bytes, width: int = 4, prints: int = 1) -> list[int]:
         ends = np.cumsum(lengths)
         starts = (ends - lengths)[: len(words) - width + 1].tolist()
         shingles = [line[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
-    n, ones, digest = len(shingles), np.zeros((prints, BITS), np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+
+
+def fingerprints(text: bytes, width: int = 4, prints: int = 1) -> list[int]:
+    """The fingerprint, and further ones of the same shingles by hashes mixed anew from the first."""
+    return _majorities(shingle_hashes(text, width), prints)
+
+
+def _majorities(every: np.ndarray, prints: int) -> list[int]:
+    n, ones = len(every), np.zeros((prints, BITS), np.int64)
+    if not n:
+        return [0] * prints
     for at in range(0, n, 1 << 16):
-        part = shingles[at : at + (1 << 16)]
-        hashes = np.fromiter((digest(s, 42) for s in part), np.uint64, len(part))
+        hashes = every[at : at + (1 << 16)]
         for i in range(prints):
             own = _mixed(hashes, i) if i else hashes
             # Eight bits at a time in the eight bytes of a word: sums of up to 255 rows fit a byte.
@@ -78,6 +89,65 @@ def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
     return own ^ own >> np.uint64(32)
 
 
+#: Bands of least hashes: texts that share 80 % of their shingles agree in one of 24 bands of 5 but for 7 in 100,000.
+BANDS, ROWS = 24, 5
+_SALTS, _FACTORS = (_mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), i)[:, None] for i in (101, 102))
+_FACTORS = _FACTORS | np.uint64(1)
+
+
+def bands(distinct: np.ndarray) -> list[int]:
+    """A value per band, of the least of a set's hashes under each of ROWS orders; zeros for an empty set."""
+    if not len(distinct):
+        return [0] * BANDS
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 4096):
+        own = (distinct[at : at + 4096] ^ _SALTS) * _FACTORS
+        np.minimum(least, (own ^ own >> np.uint64(32)).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), 42) for row in least.reshape(BANDS, ROWS)]
+
+
+def with_sketches(docs: DataFrame, width: int, prints: int, only: tuple[str, ...]) -> DataFrame:
+    """The columns in only, node (a digest of the text's set of shingles), fingerprints fp, fp1 ... and bands, as longs."""
+    names = ["fp", *(f"fp{i}" for i in range(1, prints))]
+    source = docs.select(*only, F.col("text").alias("__text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*only).schema] + [f"`{n}` long" for n in ("node", *names)] + ["bands array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", dict)
+        for batch in batches:
+            made = []
+            for t in texts(batch, "__text"):
+                every = shingle_hashes(t, width)
+                distinct = np.unique(every)
+                made.append([xxhash.xxh64_intdigest(distinct.tobytes(), 42), *_majorities(every, prints), *bands(distinct)])
+            values = np.array(made, np.uint64).reshape(-1, 1 + prints + BANDS).view(np.int64)
+            offsets = pa.array(np.arange(0, len(made) * BANDS + 1, BANDS, dtype=np.int32))
+            listed = pa.ListArray.from_arrays(offsets, pa.array(values[:, 1 + prints :].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(values[:, i]) for i in range(1 + prints)), listed], [*only, "node", *names, "bands"])
+
+    return source.mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, owners: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose texts in owners (node, text) share at least that part of all their distinct shingles."""
+    for side in ("a", "b"):
+        pairs = pairs.join(owners.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash", dict)
+        for batch in batches:
+            keep, before, one = [], None, None
+            for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
+                if x != before:
+                    before, one = x, np.unique(shingle_hashes(x, width))
+                other = np.unique(shingle_hashes(y, width))
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(both >= least * (len(one) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
 def with_fingerprints(docs: DataFrame, width: int = 4, prints: int = 1, text_col: str = "text", only: tuple[str, ...] | None = None) -> DataFrame:
     """The columns of docs (or those in only) and the fingerprints as signed longs: fp, fp1, fp2 ..."""
     kept = [c for c in docs.columns if only is None or c in only]
@@ -177,13 +247,13 @@ def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int =
 
 
 def shared_links(own: DataFrame, prints: int, radius: int, segments: int) -> DataFrame:
-    """(a, b): links between values of fp that any of the fingerprints gives, all of them searched in one plan.
+    """(a, b): links between values of node that any of the fingerprints gives, all of them searched in one plan.
 
-    Each value of a fingerprint stands for the smallest fp beside it: fps beside one value are linked, and so are
+    Each value of a fingerprint stands for the smallest node beside it: nodes beside one value are linked, and so are
     those that linked values stand for.
     """
     values = F.array("fp", *(f"fp{i}" for i in range(1, prints)))
-    long = own.select(F.col("fp").alias("of"), F.posexplode(values).alias("which", "value"))
+    long = own.select(F.col("node").alias("of"), F.posexplode(values).alias("which", "value"))
     stands = long.groupBy("which", "value").agg(F.min("of").alias("least"), F.max("of").alias("most")).checkpoint()
     shared = stands.filter("least <> most").select("which", "value", "least")
     beside = long.join(shared.hint("merge"), ["which", "value"]).filter("of <> least").select(F.col("least").alias("a"), F.col("of").alias("b"))
@@ -194,22 +264,75 @@ def shared_links(own: DataFrame, prints: int, radius: int, segments: int) -> Dat
     return beside.union(between).distinct()
 
 
-def keep_first(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 5, prints: int = 4) -> DataFrame:
+def _parted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, key, node, root, main) of the entries that links don't join whole; main is the root of the smallest."""
+    of = entries.join(roots.hint("merge"), entries["node"] == roots["node"], "left").select("band", "key", entries["node"], "least", F.coalesce("root", entries["node"]).alias("root"))
+    place = W.partitionBy("band", "key")
+    of = of.withColumn("main", F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(place)).withColumn("stray", F.max((F.col("root") != F.col("main")).cast("int")).over(place))
+    return of.filter("stray = 1").select("band", "key", "node", "root", "main").checkpoint()
+
+
+def _pair(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def _beside(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): unlinked members of an entry that stand side by side in an order of its band; as many as members."""
+    order = W.partitionBy("band", "key").orderBy(F.xxhash64("node", "band"))
+    before = [F.lag(F.struct(F.col("node").alias("other"), F.col("root").alias("other_root")), i).over(order) for i in (1, 2, 3)]
+    met = _parted(entries, roots).select("node", "root", F.array(*before).alias("before")).select("node", "root", F.inline("before")).filter("root <> other_root")
+    return met.select(*_pair("node", "other")).distinct()
+
+
+def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all unlinked members of an entry, of which one at least isn't linked with its smallest."""
+    of = _parted(entries, roots)
+    stray = of.filter("root <> main").select("band", "key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    met = of.join(stray.hint("merge"), ["band", "key"]).filter("root <> other_root")
+    return met.select(*_pair("node", "other")).distinct()
+
+
+def keep_first(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 5, prints: int = 6, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id (null ids last).
 
-    Texts are linked if any of several independent fingerprints differs by radius bits at most: with one, about half
-    of the pairs that share 95 % of their shingles would be, with four over 90 %. Rows are told apart by a hash of
-    all their columns; of fully equal rows one stays. Only winners' keys meet the texts again, in a join on a key
-    that no group shares.
+    Texts are linked if they share at least that part of all their distinct shingles, which is counted for every
+    candidate pair. Candidates are those of which one of several independent fingerprints differs by radius bits at
+    most, and those that agree in a band of least hashes. Of an entry of a band, all members are held against the
+    smallest and then against neighbours; those still not linked with it against all that they aren't linked with. Rows
+    are told apart by a hash of all their columns; of fully equal rows one stays. Only keys of winners and of candidates meet the texts
+    again, in joins on a key that no group shares.
     """
     durable(docs.sparkSession)
     columns = docs.columns
     keyed = docs.withColumn("__row", F.xxhash64(*columns))
-    own = with_fingerprints(keyed.select("doc_id", "__row", "text"), width, prints, only=("doc_id", "__row")).checkpoint()
+    own = with_sketches(keyed.select("doc_id", "__row", "text"), width, prints, ("doc_id", "__row")).checkpoint()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
-    nodes = own.groupBy("fp").agg(first).checkpoint()
-    roots = spread(shared_links(own.drop("doc_id", "__row").distinct(), prints, radius, segments))
-    rooted = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    nodes = own.groupBy("node").agg(first, F.first("bands").alias("bands")).checkpoint()
+    place = W.partitionBy("band", "key")
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    entries = entries.withColumn("least", F.min("node").over(place)).withColumn("most", F.max("node").over(place)).filter("least <> most").drop("most").checkpoint()
+    stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = shared_links(own.drop("doc_id", "__row", "bands").distinct(), prints, radius, segments)
+    tried = found.union(stars).distinct().checkpoint()
+
+    # Members of entries all have a pair here, so these are the texts of later pairs too.
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    at = ends.join(nodes.hint("merge"), "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__key"))
+    met = (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    owners = keyed.select("doc_id", "__row", "text").join(at.hint("merge"), met).select("node", "text").dropDuplicates(["node"]).checkpoint()
+    roots = spread(similar(tried, owners, width, least))
+    # Neighbours first: what they link, the pairs of all that remain apart needn't hold.
+    for among in (_beside, _apart):
+        more = among(entries, roots).join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
+        if not more.isEmpty():
+            tried, linked = tried.union(more), similar(more, owners, width, least)
+            # Links between roots are enough, and few.
+            for side in ("a", "b"):
+                of = roots.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}"))
+                linked = linked.join(of.hint("merge"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+            between = linked.filter("of_a <> of_b").select(*_pair("of_a", "of_b")).distinct()
+            roots = spread(between.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    rooted = nodes.join(roots.hint("merge"), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__key"))
     met = (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     return keyed.join(winners.hint("merge"), met, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*columns)
