@@ -1,0 +1,17 @@
+"""Queries whose stated SQL holds a cut, against the same SQL without it."""
+
+from oracle import duck, rows_of
+
+from pagemill.plans import catalogue
+
+
+def without(name, *cuts):
+    sql = catalogue.ORACLE_SQL[name]
+    for old, new in cuts:
+        sql = sql.replace(old, new)
+    return sql
+
+
+def test_keyword_search_asks_all_items_of_all_documents(spark, sf_dir):
+    sql = without("keyword_search", (" WHERE n_chars < 2000", ""), (" WHERE item_id < 10", ""))
+    assert rows_of(catalogue.QUERIES["keyword_search"](spark, sf_dir)) == duck(sf_dir, sql)
