@@ -15,3 +15,8 @@ def without(name, *cuts):
 def test_keyword_search_asks_all_items_of_all_documents(spark, sf_dir):
     sql = without("keyword_search", (" WHERE n_chars < 2000", ""), (" WHERE item_id < 10", ""))
     assert rows_of(catalogue.QUERIES["keyword_search"](spark, sf_dir)) == duck(sf_dir, sql)
+
+
+def test_manual_selection_status_reads_all_jobs_of_all_selections(spark, sf_dir):
+    sql = without("manual_selection_status", (" WHERE job_id % 40 = rev_id % 40 OR state = 'succeeded'", ""), (" WHERE c_custkey <= 200", ""))
+    assert rows_of(catalogue.QUERIES["manual_selection_status"](spark, sf_dir)) == duck(sf_dir, sql)
