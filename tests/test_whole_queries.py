@@ -20,3 +20,8 @@ def test_keyword_search_asks_all_items_of_all_documents(spark, sf_dir):
 def test_manual_selection_status_reads_all_jobs_of_all_selections(spark, sf_dir):
     sql = without("manual_selection_status", (" WHERE job_id % 40 = rev_id % 40 OR state = 'succeeded'", ""), (" WHERE c_custkey <= 200", ""))
     assert rows_of(catalogue.QUERIES["manual_selection_status"](spark, sf_dir)) == duck(sf_dir, sql)
+
+
+def test_build_manifest_takes_every_document_as_a_passage(spark, sf_dir):
+    sql = without("build_manifest", (" FROM documents WHERE doc_id % 10 = 0", " FROM documents"))
+    assert rows_of(catalogue.QUERIES["build_manifest"](spark, sf_dir)) == duck(sf_dir, sql)
