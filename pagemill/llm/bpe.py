@@ -61,7 +61,7 @@ def pieces(text: str) -> list[str]:
 class Transducer:
     """Encodes a byte string by ranks; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 80_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.never = max(self.bytes_of, default=0) + 1
@@ -331,7 +331,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.machine, self.window = Transducer(self.ranks), window
-        self.piece = Memo(150_000)
+        self.piece = Memo(200_000)
         listed = [self.machine.bytes_of.get(i, b"") for i in range(self.machine.never)]
         self.decoder, self.bytes, self.decimal = TokenDecoder(listed), Strings(listed), Strings([b"%d " % i for i in range(len(listed))])
 
