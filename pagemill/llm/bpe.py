@@ -48,10 +48,12 @@ _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^{_S}\w]|_
 _INNER = re.compile(rf"[^{_S}](?= [^{_S}])")
 _EXOTIC = re.compile(r"[^\x00-ɏͰ-׿Ḁ-῿‐-‧‰-⁞₠-₿ぁ-ヿ丁-丂가-힣]|[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]")
 
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
 
 def pieces(text: str) -> list[str]:
     """The pattern's matches."""
-    if _EXOTIC.search(text):
+    if not text.isascii() and _EXOTIC.search(text) or text.isascii() and _SEPARATORS.search(text):
         import regex
 
         return regex.findall(public_tokenizers.PATTERN.replace(r"\s", f"[{_S}]").replace(rf"[^[{_S}]", rf"[^{_S}").replace(rf"\S", f"[^{_S}]"), text)
@@ -352,10 +354,10 @@ class Codec:
         for part in self.windows(text):
             found = pieces(part)
             ids = list(map(piece.get, found))
-            if None in ids:
-                for i, own in enumerate(ids):
-                    if own is None:
-                        ids[i] = self._piece(found[i])
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = self._piece(found[at])
             yield np.frombuffer(b"".join(ids), np.int32)
 
     def _piece(self, piece: str) -> bytes:
@@ -379,7 +381,7 @@ class Codec:
             parts, tail = self.decoder.parts(ids.tolist(), tail)
             chars += len("".join(parts))
         ids_digest.update(before[:-1])
-        return n, ids_digest.hexdigest(), bytes_digest.hexdigest(), chars + len(Utf8Stream(tail).close())
+        return n, ids_digest.hexdigest(), bytes_digest.hexdigest(), chars + (len(Utf8Stream(tail).close()) if tail else 0)
 
 
 _CODECS: dict[str, Codec] = {}

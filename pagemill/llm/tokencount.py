@@ -1,13 +1,17 @@
 """Token counts with overlap resynchronisation.
 
-A text longer than ``chunk`` characters is encoded in overlapping chunks with offsets. Two neighbours are spliced at a
-boundary that both encodings have in their overlap and that is proven stable: the place before a white space
-character. The tokenizer's pattern drops white space, its normaliser doesn't reach across it and no added token holds
-any, so what stands before such a place and what stands behind it are encoded alike with or without each other. Where
-the overlap holds no such place, or the two encodings differ there, the overlap is doubled, up to the whole text.
+A text of more than ``chunk`` characters is encoded in overlapping chunks, with offsets, by the library. Two neighbours
+are spliced at a boundary that both encodings have in their overlap, behind a separator, with the same tokens from there
+to the next such boundary (or to the end of the left chunk). Where there is none, the alignment has failed: the overlap
+is doubled, and when it covers the whole left chunk, that grows. Each chunk's encoding is used on both of its sides.
 
-Inside a chunk the same law lets every word between white space be encoded apart: words go to the library once and
-their token counts and ends into a memo of bounded size.
+A boundary is stable if what stands before it and what stands behind it are encoded alike with or without each other.
+That is so behind a separator: a white space character across which the tokenizer's normaliser, patterns and added
+tokens don't reach. Which characters are separators is checked when a vocabulary is loaded, by probes with characters of
+all kinds on both sides; a vocabulary without separators (its tokens cross white space) has no stable boundary, and its
+texts are encoded whole.
+
+Shorter texts are encoded whole, the distinct ones of a batch together in groups of bounded size.
 
 Defined results: null and empty texts have no tokens; special strings inside texts count as the library's default
 has them; equal texts give equal rows; an empty table gives no rows; further columns are ignored.
@@ -15,115 +19,139 @@ has them; equal texts give equal rows; an empty table gives no rows; further col
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.llm.common import Memo, hold, slim, texts
+from pagemill.llm.common import hold, slim, texts
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: White space as the tokenizer's patterns have it; Python's split() also takes the separators 1C to 1F.
-_SPACE = re.compile("[\\t-\\r \\x85\\xa0  -     　]+")
-_ODD = re.compile("[\\x1c-\\x1f]")
+#: The characters of the property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What stands beside a separator in a probe: letters of both cases, digits, signs, a contraction, marks, other scripts.
+PROBES = ("a", "Zb", "İ", "7", "½", ".", "'s", "-", "_", "<|", "|>", "́", "é", "中", "\U0001f600", "ำ", "Σ")
+
+
+def separators(library) -> str:
+    """The white space characters that the patterns drop and across which neither they nor the normaliser reach.
+
+    The model sees the patterns' pieces one by one, so it is enough that the pieces of x, separator, y are those of x
+    and those of y. No added token may hold a separator or take white space beside it.
+    """
+    added = json.loads(library.to_str()).get("added_tokens", [])
+    if library.pre_tokenizer is None or any(t.get("lstrip") or t.get("rstrip") for t in added):
+        return ""
+
+    def pieces(text: str) -> list[str]:
+        text = library.normalizer.normalize_str(text) if library.normalizer else text
+        return [piece for piece, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+
+    alone = {x: pieces(x) for x in PROBES}
+
+    def apart(space: str) -> bool:
+        if any(space in t["content"] for t in added):
+            return False
+        return all(pieces(x + run + y) == alone[x] + alone[y] for x in PROBES for y in PROBES for run in (space, space + space))
+
+    return "".join(filter(apart, WHITE_SPACE))
+
+
+class Encoded:
+    """A stretch of a text, encoded: where its tokens begin and end in the text, and their ids."""
+
+    def __init__(self, library, text: str, begin: int, end: int):
+        found = library.encode(text[begin:end], add_special_tokens=False)
+        spans = np.array(found.offsets, np.int64).reshape(-1, 2) + begin
+        self.begin, self.end = begin, end
+        self.starts, self.ends, self.ids = spans[:, 0], spans[:, 1], np.array(found.ids, np.int64)
+
+    def between(self, low: int, high: int) -> int:
+        """How many tokens begin from low on and before high."""
+        return int(np.count_nonzero((self.starts >= low) & (self.starts < high)))
+
+    def tokens(self, low: int, high: int) -> list[tuple[int, int, int]]:
+        at = np.flatnonzero((self.starts >= low) & (self.starts < high))
+        return list(zip(self.starts[at].tolist(), self.ends[at].tolist(), self.ids[at].tolist(), strict=True))
 
 
 class Counter:
-    """Counts tokens by the library, with a bounded memo of words."""
+    """Counts tokens by the library."""
 
-    def __init__(self, path: str, chunk: int = 32_768, overlap: int = 256):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, library, chunk: int = 32_768, overlap: int = 256, group: int = 1 << 18):
+        self.library, self.chunk, self.overlap, self.group = library, chunk, overlap, group
+        self.separators = separators(library)
+        self.widened = 0  # how often an alignment failed
 
-        self.library = Tokenizer.from_file(path)
-        self.chunk, self.overlap = chunk, overlap
-        self.known = Memo()
-
-    def words(self, text: str) -> list[str]:
-        return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
-
-    def learn(self, words: list[str]) -> dict[str, int]:
-        """Token counts of words that the memo lacks, encoded together with offsets and told apart by these."""
-        out: dict[str, int] = {}
-        for at in range(0, len(words), 2048):
-            part = words[at : at + 2048]
-            starts = np.array([a for a, _ in self.library.encode(" ".join(part), add_special_tokens=False).offsets], np.int64)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            out.update(zip(part, np.diff(np.searchsorted(starts, ends), prepend=0).tolist(), strict=True))
-        return out
-
-    def sizes(self, words: list[str]) -> list[int]:
-        """The number of tokens of each word."""
-        known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            missing = {w for w, n in zip(words, out, strict=True) if n is None}
-            got = {w: n for w in missing if (n := known.fetch(w)) is not None}
-            new = self.learn([w for w in missing if w not in got])
-            for w, n in new.items():
-                if len(w) < 64:
-                    known.keep(w, n)
-            got |= new
-            out = [got[w] if n is None else n for w, n in zip(words, out, strict=True)]
-        return out
-
-    def tokens(self, text: str, start: int) -> list[tuple[int, int]]:
-        """(offset of a word's end in the whole text, tokens so far) of a chunk that begins at start."""
-        out, total = [], 0
-        found = [(m.start(), m.end()) for m in re.finditer(f"[^{_SPACE.pattern[1:-2]}]+", text)]
-        for (_, end), n in zip(found, self.sizes([text[a:b] for a, b in found]), strict=True):
-            total += n
-            out.append((start + end, total))
-        return out
+    def common(self, text: str, left: Encoded, right: Encoded, low: int) -> int | None:
+        """A stable boundary of both, or None."""
+        places = np.intersect1d(left.starts, right.starts)
+        places = [p for p in places[(places > max(low, right.begin)) & (places < left.end)].tolist() if text[p - 1] in self.separators]
+        # The left chunk's last word may go on behind it, so it isn't compared.
+        agreed = [a for a, b in zip(places, places[1:], strict=False) if left.tokens(a, b) == right.tokens(a, b)]
+        return agreed[len(agreed) // 2] if agreed else None
 
     def spliced(self, text: str) -> int:
         """Tokens of a long text, chunk by chunk."""
-        total, start = 0, 0
-        while True:
-            end = min(len(text), start + self.chunk)
-            if end == len(text):
-                return total + sum(self.sizes(self.words(text[start:])))
-            overlap = self.overlap
-            while True:
-                # The next chunk begins inside this one. This one is encoded with offsets from the overlap's first
-                # white space on; the next one's first boundaries may come from a cut word.
-                begin = max(start, end - overlap)
-                space = _SPACE.search(text, begin, end)
-                if space:
-                    head = space.start()
-                    left = [(head, 0), *self.tokens(text[head:end], head)]
-                    ends = {b for b, _ in self.tokens(text[begin : end + overlap], begin)}
-                    # A word end before the chunk's own last character is followed by white space: a stable boundary.
-                    common = [(b, n) for b, n in left if begin < b < end and b in ends]
-                    if common:
-                        break
-                if end == len(text):
-                    return total + sum(self.sizes(self.words(text[start:])))
-                overlap *= 2
-                end = min(len(text), end + overlap)
-            at, n = common[len(common) // 2]
-            total += n + sum(self.sizes(self.words(text[start:head])))
-            start = at
-
-    def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return sum(self.sizes(self.words(text)))
-        return self.spliced(text)
+        if not self.separators:
+            return len(self.library.encode(text, add_special_tokens=False))
+        total, done = 0, 0  # all that begins before done is counted
+        left = Encoded(self.library, text, 0, min(len(text), self.chunk))
+        while left.end < len(text):
+            overlap, place = self.overlap, None
+            while place is None and left.end < len(text):
+                begin = max(left.begin, left.end - overlap)
+                right = Encoded(self.library, text, begin, min(len(text), begin + max(self.chunk, 2 * overlap)))
+                place = self.common(text, left, right, done)
+                if place is None:
+                    self.widened += 1
+                    overlap *= 2
+                    if begin == left.begin:
+                        left = Encoded(self.library, text, left.begin, min(len(text), left.end + overlap))
+            if place is not None:
+                total += left.between(done, place)
+                done, left = place, right
+        return total + left.between(done, len(text) + 1)
+
+    def count(self, data: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        known: dict[str, int] = {}
+        group: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            known.update(zip(group, map(len, self.library.encode_batch_fast(group, add_special_tokens=False)), strict=True))
+            group.clear()
+
+        for text in dict.fromkeys(data):
+            if len(text) > self.chunk:
+                known[text] = self.spliced(text)
+                continue
+            if group and size + len(text) > self.group:
+                flush()
+                size = 0
+            group.append(text)
+            size += len(text)
+        flush()
+        return [known[t] for t in data]
 
 
 _COUNTERS: dict[str, Counter] = {}
 
 
 def counter(vocabulary: str = VOCABULARY) -> Counter:
+    """The worker's counter by a vocabulary file of public_tokenizers."""
     hold("tokencount", _COUNTERS.clear)
     if vocabulary not in _COUNTERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        from tokenizers import Tokenizer
 
-        _COUNTERS[vocabulary] = Counter(public_tokenizers.path(vocabulary))
+        _COUNTERS[vocabulary] = Counter(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
     return _COUNTERS[vocabulary]
 
 
@@ -134,7 +162,7 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) ->
         own = counter(vocabulary)
         for batch in batches:
             data = texts(batch, 1)
-            n = [own.count(t.decode("utf-8", "replace")) for t in data]
+            n = own.count([t.decode("utf-8", "replace") for t in data])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in data], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
