@@ -1,9 +1,8 @@
-"""Lossless WebP: a decoder of the whole bitstream format in Python and NumPy, and a plain encoder.
+"""Lossless WebP: a decoder of the whole bitstream format for single images, in Python and NumPy.
 
 decode() reads prefix codes (simple and normal), meta prefix groups, back-references, the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. encode() writes no transform and, per channel, a
-complete prefix code of one length over the smallest power of two that holds the channel's values; such streams (one
-group, no cache, no lengths) are also decoded for all pixels at once instead of one by one.
+predictor, cross-colour, subtract-green and palette transforms. webp_encoder writes images, webp_lanes decodes many of
+them together.
 
 Pixels are arrays (height, width, 4) of red, green, blue, alpha.
 """
@@ -48,14 +47,6 @@ class Bits:
             raise BadStream("the stream ends early")
         return value
 
-    def many(self, n: int) -> np.ndarray:
-        """The next n bits, one in each element."""
-        first, self.at = self.at, self.at + n
-        if self.at > self.end:
-            raise BadStream("the stream ends early")
-        part = np.frombuffer(self.data, np.uint8, ((self.at + 7) >> 3) - (first >> 3), first >> 3)
-        return np.unpackbits(part, bitorder="little")[first & 7 : (first & 7) + n]
-
 
 class Code:
     """A canonical prefix code, by its code lengths; the table to read by is made when it is first needed."""
@@ -67,8 +58,6 @@ class Code:
         own = lengths[used]
         self.used, self.own = used, own
         self.depth = int(own.max()) if len(used) > 1 else 0
-        #: All codes have one length: the symbols in the order of their codes.
-        self.even = used if len(used) == 1 or (own == self.depth).all() else None
         if len(used) > 1 and int((1 << (self.depth - own.astype(np.int64))).sum()) != 1 << self.depth:
             raise BadStream("an incomplete prefix code")
         self.table: list[tuple[int, int]] = []
@@ -108,8 +97,6 @@ def _read_code(bits: Bits, size: int) -> Code:
         own[LENGTH_ORDER[i]] = bits.read(3)
     code = Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    if code.even is not None and code.depth == 1 and code.even[1] < 16 and left == size:  # a bit for each symbol
-        return Code(code.even.astype(np.uint8)[bits.many(size)])
     at, previous = 0, 8
     while at < size and left:
         left -= 1
@@ -148,8 +135,6 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         meta = (_read_image(bits, across, -(-height >> shift), False) >> 8 & 0xFFFF).tolist()
     cache_size = 1 << cache_bits if cache_bits else 0
     groups = [[_read_code(bits, n) for n in (256 + LENGTHS + cache_size, 256, 256, 256, DISTANCES)] for _ in range(max(meta) + 1 if meta else 1)]
-    if meta is None and not cache_size and all(c.even is not None for c in groups[0][:4]) and groups[0][0].even[-1] < 256:
-        return _read_even(bits, groups[0], width * height)
     total, out, x, y = width * height, [], 0, 0
     cache = [0] * cache_size
     green, red, blue, alpha, distance = groups[0]
@@ -182,7 +167,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _turned(n: int) -> np.ndarray:
+def turned(n: int) -> np.ndarray:
     """The numbers below 2**n with their n bits in reverse."""
     out = np.zeros(1, np.uint32)
     for _ in range(n):
@@ -190,37 +175,12 @@ def _turned(n: int) -> np.ndarray:
     return out
 
 
-def _read_even(bits: Bits, codes: list[Code], total: int, block: int = 1 << 16) -> np.ndarray:
-    """Pixels whose four codes have one length each: every pixel takes as many bits."""
-    widths = [c.depth for c in codes[:4]]
-    each = sum(widths)
-    out = np.zeros(total, np.uint32)
-    if bits.at + each * total > bits.end:
-        raise BadStream("the stream ends early")
-    data = np.frombuffer(bits.data, np.uint8)
-    for at in range(0, total, block):
-        n = min(block, total - at)
-        first = bits.at + at * each
-        own = np.unpackbits(data[first >> 3 : (first + n * each + 7) >> 3], bitorder="little")[first & 7 : (first & 7) + n * each]
-        wide = np.zeros((n, 32), np.uint8)
-        wide[:, :each] = own.reshape(n, each)
-        value = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
-        low = 0
-        for code, width, place in zip(codes, widths, (8, 16, 0, 24), strict=False):
-            symbols = np.zeros(1 << width, np.uint32)
-            symbols[_turned(width)] = code.even
-            out[at : at + n] |= symbols[value >> np.uint32(low) & np.uint32((1 << width) - 1)] << np.uint32(place)
-            low += width
-    bits.at += each * total
-    return out
-
-
-def _bytes(argb: np.ndarray) -> np.ndarray:
+def channels(argb: np.ndarray) -> np.ndarray:
     """Alpha, red, green, blue of each number."""
     return argb.astype(">u4").view(np.uint8).reshape(-1, 4)
 
 
-def _numbers(pixels: np.ndarray) -> np.ndarray:
+def numbers(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels, np.uint8).view(">u4").reshape(-1).astype(np.uint32)
 
 
@@ -264,7 +224,7 @@ def _predict(mode: int, left, top, right, corner):
 
 
 def invert_predictor(argb: np.ndarray, width: int, height: int, modes: np.ndarray, shift: int) -> np.ndarray:
-    rows = _bytes(argb).reshape(height, width, 4).tolist()
+    rows = channels(argb).reshape(height, width, 4).tolist()
     across = -(-width >> shift)
     kinds = (modes >> 8 & 15).tolist()
     above: list = []
@@ -279,35 +239,42 @@ def invert_predictor(argb: np.ndarray, width: int, height: int, modes: np.ndarra
                 guess = _predict(kinds[(y >> shift) * across + (x >> shift)], row[x - 1], above[x], right, above[x - 1])
             row[x] = tuple((a + b) & 255 for a, b in zip(row[x], guess, strict=True))
         above = row
-    return _numbers(np.array(rows, np.uint8))
+    return numbers(np.array(rows, np.uint8))
 
 
 def invert_cross_colour(argb: np.ndarray, width: int, height: int, elements: np.ndarray, shift: int) -> np.ndarray:
     across = -(-width >> shift)
     y, x = np.divmod(np.arange(width * height), width)
-    own = _bytes(elements)[(y >> shift) * across + (x >> shift)].view(np.int8).astype(np.int32)
-    pixels = _bytes(argb).copy()
+    own = channels(elements)[(y >> shift) * across + (x >> shift)].view(np.int8).astype(np.int32)
+    pixels = channels(argb).copy()
     delta = lambda factor, channel: factor * channel.view(np.int8).astype(np.int32) >> 5
     green = pixels[:, 2].copy()
     pixels[:, 1] = pixels[:, 1] + delta(own[:, 3], green) & 255
     red = pixels[:, 1].copy()
     pixels[:, 3] = pixels[:, 3] + delta(own[:, 2], green) + delta(own[:, 1], red) & 255
-    return _numbers(pixels)
+    return numbers(pixels)
 
 
 def invert_subtract_green(argb: np.ndarray) -> np.ndarray:
-    pixels = _bytes(argb).copy()
+    pixels = channels(argb).copy()
     pixels[:, 1] += pixels[:, 2]
     pixels[:, 3] += pixels[:, 2]
-    return _numbers(pixels)
+    return numbers(pixels)
 
 
-def _packing(colours: int) -> int:
+def subtract_green(argb: np.ndarray) -> np.ndarray:
+    pixels = channels(argb).copy()
+    pixels[:, 1] -= pixels[:, 2]
+    pixels[:, 3] -= pixels[:, 2]
+    return numbers(pixels)
+
+
+def packing(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
 def invert_palette(argb: np.ndarray, width: int, height: int, table: np.ndarray) -> np.ndarray:
-    shift = _packing(len(table))
+    shift = packing(len(table))
     index = (argb >> 8 & 255).reshape(height, -1)
     if shift:
         each = 8 >> shift
@@ -317,17 +284,60 @@ def invert_palette(argb: np.ndarray, width: int, height: int, table: np.ndarray)
     return colours[index.reshape(-1)]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of one lossless WebP file."""
+def palette(differences: np.ndarray) -> np.ndarray:
+    """The colours of a palette's image."""
+    return numbers(np.cumsum(channels(differences), axis=0, dtype=np.uint8))
+
+
+def pack_palette(index: np.ndarray, width: int, height: int, colours: int) -> tuple[np.ndarray, int]:
+    """The image of packed indices, and its width."""
+    shift = packing(colours)
+    each, packed = 8 >> shift, -(-width >> shift)
+    rows = np.zeros((height, packed << shift), np.uint32)
+    rows[:, :width] = index.reshape(height, width)
+    together = (rows.reshape(height, packed, 1 << shift) << (np.arange(1 << shift, dtype=np.uint32) * each)).sum(2, dtype=np.uint32)
+    return (np.uint32(0xFF000000) | together << np.uint32(8)).reshape(-1), packed
+
+
+def stream_of(data: bytes) -> bytes:
+    """The stream in a file's container."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise BadStream("not a lossless WebP file")
-    bits = Bits(data[20 : 20 + int.from_bytes(data[16:20], "little")])
+    size = int.from_bytes(data[16:20], "little")
+    if len(data) < 20 + size:
+        raise BadStream("the file ends early")
+    return data[20 : 20 + size]
+
+
+def read_header(bits: Bits) -> tuple[int, int]:
+    """An image's width and height."""
     if bits.read(8) != 0x2F:
         raise BadStream("wrong signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
     if bits.read(3):
         raise BadStream("unknown version")
+    return width, height
+
+
+def finish(argb: np.ndarray, steps: list[tuple], height: int) -> np.ndarray:
+    """Invert transforms (kind, width, image, shift), last first; red, green, blue, alpha of each pixel."""
+    for kind, own, more, shift in reversed(steps):
+        if kind == PREDICTOR:
+            argb = invert_predictor(argb, own, height, more, shift)
+        elif kind == CROSS_COLOUR:
+            argb = invert_cross_colour(argb, own, height, more, shift)
+        elif kind == PALETTE:
+            argb = invert_palette(argb, own, height, more)
+        else:
+            argb = invert_subtract_green(argb)
+    return channels(argb)[:, [1, 2, 3, 0]]
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of one lossless WebP file."""
+    bits = Bits(stream_of(data))
+    width, height = read_header(bits)
     steps, own = [], width
     while bits.read(1):
         kind = bits.read(2)
@@ -338,67 +348,14 @@ def decode(data: bytes) -> np.ndarray:
             steps.append((kind, own, _read_image(bits, -(-own >> shift), -(-height >> shift), False), shift))
         elif kind == PALETTE:
             n = bits.read(8) + 1
-            table = np.cumsum(_bytes(_read_image(bits, n, 1, False)), axis=0, dtype=np.uint8)
-            steps.append((kind, own, _numbers(table), 0))
-            own = -(-own >> _packing(n))
+            steps.append((kind, own, palette(_read_image(bits, n, 1, False)), 0))
+            own = -(-own >> packing(n))
         else:
             steps.append((kind, own, None, 0))
-    argb = _read_image(bits, own, height, True)
-    for kind, own, more, shift in reversed(steps):
-        if kind == PREDICTOR:
-            argb = invert_predictor(argb, own, height, more, shift)
-        elif kind == CROSS_COLOUR:
-            argb = invert_cross_colour(argb, own, height, more, shift)
-        elif kind == PALETTE:
-            argb = invert_palette(argb, own, height, more)
-        else:
-            argb = invert_subtract_green(argb)
-    return _bytes(argb)[:, [1, 2, 3, 0]].reshape(height, width, 4)
-
-
-def _bits_of(value: int, n: int) -> list[int]:
-    return [value >> i & 1 for i in range(n)]
+    return finish(_read_image(bits, own, height, True), steps, height).reshape(height, width, 4)
 
 
 def wrap(stream: bytes) -> bytes:
     """A stream in its container."""
     body = b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + len(body).to_bytes(4, "little") + body
-
-
-def encode(pixels: np.ndarray, block: int = 1 << 16) -> bytes:
-    """One lossless WebP file."""
-    height, width, _ = pixels.shape
-    flat = np.ascontiguousarray(pixels).reshape(-1, 4)
-    head = _bits_of(0x2F, 8) + _bits_of(width - 1, 14) + _bits_of(height - 1, 14) + [1, 0, 0, 0] + [0, 0, 0]
-    header = [np.array(head, np.uint8)]
-    tables, low = [], 0
-    for channel in (1, 0, 2, 3):  # green, red, blue, alpha
-        used = np.zeros(256 + LENGTHS if channel == 1 else 256, np.uint8)
-        used[:256] = np.bincount(flat[:, channel], minlength=256) > 0
-        n = int(used.sum())
-        depth = (n - 1).bit_length()
-        if n == 1:
-            header.append(np.array([1, 0, 1, *_bits_of(int(used.argmax()), 8)], np.uint8))
-        else:
-            used[np.flatnonzero(used[:256] == 0)[: (1 << depth) - n]] = 1  # a complete code
-            count = max(4, LENGTH_ORDER.index(depth) + 1)
-            lengths = [b for s in LENGTH_ORDER[:count] for b in ([1, 0, 0] if s in (0, depth) else [0, 0, 0])]
-            header += [np.array([0, *_bits_of(count - 4, 4), *lengths, 0], np.uint8), used]
-        table = np.zeros(256, np.uint32)
-        table[np.flatnonzero(used[:256])] = _turned(depth) << np.uint32(low) if depth else 0
-        tables.append((channel, table))
-        low += depth
-    header.append(np.array([1, 0, 0, 0], np.uint8))  # the distance code: symbol 0
-    rest, out = np.concatenate(header), []
-    for at in range(0, len(flat) if low else 0, block):
-        part = flat[at : at + block]
-        value = np.zeros(len(part), "<u4")
-        for channel, table in tables:
-            value |= table[part[:, channel]]
-        bits = np.unpackbits(value.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :low].reshape(-1)
-        bits = np.concatenate((rest, bits))
-        whole = len(bits) & ~7
-        out.append(np.packbits(bits[:whole], bitorder="little").tobytes())
-        rest = bits[whole:]
-    return wrap(b"".join(out) + np.packbits(rest, bitorder="little").tobytes())

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, decontaminate, langid, media, quality, queries, secrets, sharding, simhash, tokencount, webp
+from pagemill.llm import bpe, chat, decontaminate, langid, media, quality, queries, secrets, sharding, simhash, tokencount, webp, webp_encoder, webp_lanes
 from pagemill.session import table
 
 ODD = [None, "", " ", "a", "É中😀 \x00 x", "word " * 30_000, "same text", "same text", "x" * 50_000]
@@ -215,18 +215,125 @@ def test_classifiers_bear_odd_rows(spark, odd):
 # 5
 
 
+def plain_feature(data):
+    size = len(data) // 64
+    cells = [sum(data[i * size : (i + 1) * size]) for i in range(64)]
+    bits = "".join("1" if c * 64 > sum(data) else "0" for c in cells)
+    return f"{sum(data) * 1000 // len(data)}:{int(bits, 2):016x}"
+
+
 def test_media_round_trip(odd):
+    forms = {r.doc_id: r.media for r in media.stored(odd).collect()}
     rows = media.digest(media.stored(odd)).collect()
     by = {r.doc_id: r for r in rows}
     for i, t in enumerate(ODD):
         data = (t or "").encode()
         whole = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
-        r = by[i if i else None]
+        r, form = by[i if i else None], forms[i if i else None]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), crc32(whole[-32:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(form), hashlib.sha256(form).hexdigest(), plain_feature(whole))
+
+
+def images_of(texts):
+    out = []
+    for t in texts:
+        pixels = np.frombuffer(media.payload(t.encode()), np.uint8).reshape(-1, 144, 4)
+        out += [pixels[at : at + media.TILE_ROWS] for at in range(0, len(pixels), media.TILE_ROWS)]
+    return out
+
+
+def test_stored_images_use_the_format(texts):
+    """The stored images hold references, cache hits, palettes and codes of unlike lengths, and are far below their payload."""
+    images = images_of(list(texts.values())[:150])
+    files = webp_encoder.encode_many(images)
+    assert sum(map(len, files)) < 0.6 * sum(x.size for x in images)
+    seen = {"copies": 0, "hits": 0, "plain": 0, "palettes": 0, "uneven": 0}
+    read, code = webp._read_image, webp._read_code
+
+    def read_code(bits, size):
+        own = code(bits, size)
+        seen["uneven"] += len(set(own.own.tolist())) > 1
+        if size >= 280:
+            plain = own.read
+
+            def counted(bits):
+                s = plain(bits)
+                seen["plain" if s < 256 else "copies" if s < 280 else "hits"] += 1
+                return s
+
+            own.read = counted
+        return own
+
+    def read_image(bits, width, height, main):
+        seen["palettes"] += not main
+        return read(bits, width, height, main)
+
+    webp._read_code, webp._read_image = read_code, read_image
+    try:
+        assert all((webp.decode(f) == x).all() for f, x in zip(files, images, strict=True))
+    finally:
+        webp._read_code, webp._read_image = code, read
+    assert seen["copies"] > 100 and seen["hits"] > 100 and seen["uneven"] > 100 and seen["palettes"] > 0
+
+
+@pytest.mark.parametrize("kind", ["noise", "text", "few", "runs", "grey", "gradient"])
+def test_webp_encoder_by_both_decoders(kind):
+    r = np.random.default_rng(5)
+    images = []
+    for _ in range(25):
+        h, w = int(r.integers(1, 30)), int(r.integers(1, 40))
+        x = r.integers(0, 256, (h, w, 4), np.uint8)
+        if kind == "text":
+            x = x % 26 + 97
+        elif kind == "few":
+            n = int(r.integers(1, 18))
+            x = r.integers(0, 256, (n, 4), np.uint8)[r.integers(0, n, (h, w))]
+        elif kind == "runs":
+            x = np.repeat(x, 9, axis=1)
+        elif kind == "grey":
+            x = (x[..., :1] + np.array([3, 0, 5, 0])).astype(np.uint8)
+        elif kind == "gradient":
+            x = (np.arange(h * w * 4).reshape(h, w, 4) // 7).astype(np.uint8)
+        images.append(np.ascontiguousarray(x))
+    images.append(np.zeros((1, 1, 4), np.uint8))
+    files = webp_encoder.encode_many(images)
+    assert all((webp.decode(f) == x).all() for f, x in zip(files, images, strict=True))
+    assert all((a == b).all() for a, b in zip(webp_lanes.decode_many(files), images, strict=True))
+    if kind == "grey":
+        assert any(webp.stream_of(f)[5] & 7 == 1 | webp.SUBTRACT_GREEN << 1 for f in files)
+
+
+def test_huffman_is_optimal_and_bounded():
+    import heapq
+
+    r = random.Random(2)
+    cases = [[r.choice((1, 1, 2, 5, 40)) for _ in range(r.randint(1, 60))] for _ in range(60)] + [[1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]]
+    counts, rows = np.array([c for x in cases for c in x]), np.array([i for i, x in enumerate(cases) for _ in x])
+    for limit in (15, 7):
+        lengths = webp_encoder.huffman(counts, rows, limit)
+        assert lengths.max() <= limit
+        for i, x in enumerate(cases):
+            own = lengths[rows == i].tolist()
+            assert len(x) == 1 and own == [0] or sum(2.0**-n for n in own) == 1
+            heap, best = list(x), 0
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                both = heapq.heappop(heap) + heapq.heappop(heap)
+                best += both
+                heapq.heappush(heap, both)
+            assert limit < 15 or sum(n * c for n, c in zip(own, x, strict=True)) == best
+
+
+def both_decoders(file):
+    """The pixels, by the decoder of single images and by that of many."""
+    one = webp.decode(file)
+    for other in webp_lanes.decode_many([file, file]):
+        assert (one == other).all()
+    return one
 
 
 class Writer:
-    """A plain encoder of the features that webp.encode doesn't write."""
+    """A plain encoder, also of the features that webp_encoder doesn't write."""
 
     def __init__(self):
         self.bits: list[int] = []
@@ -326,7 +433,7 @@ def test_webp_references_and_cache(cache, copies):
     w = start(8, len(argb) // 8)
     w.put(0, 1)
     w.image(argb, True, cache, copies)
-    assert (webp.decode(w.file()) == pixels_of(argb, 8)).all()
+    assert (both_decoders(w.file()) == pixels_of(argb, 8)).all()
 
 
 def test_webp_predictors():
@@ -359,7 +466,7 @@ def test_webp_predictors():
     w.image([0xFF000000 | (y // 1) << 8 for y in range(14) for _ in range(4)], False)
     w.put(0, 1)
     w.image([number(p) for p in rest], True)
-    assert (webp.decode(w.file()) == want).all()
+    assert (both_decoders(w.file()) == want).all()
 
 
 def test_webp_colour_transforms_and_palette():
@@ -373,7 +480,7 @@ def test_webp_colour_transforms_and_palette():
     w.put(webp.SUBTRACT_GREEN, 2)
     w.put(0, 1)
     w.image([join(a, x - g, g, b - g) for a, x, g, b in map(split, argb)], True)
-    assert (webp.decode(w.file()) == pixels_of(argb, 8)).all()
+    assert (both_decoders(w.file()) == pixels_of(argb, 8)).all()
     to_red, to_blue, red_to_blue = 0x35, 0xC1, 0x90
     delta = lambda f, c: signed(f) * signed(c) >> 5
     w = start(8, 8)
@@ -383,11 +490,11 @@ def test_webp_colour_transforms_and_palette():
     w.image([0xFF << 24 | red_to_blue << 16 | to_blue << 8 | to_red], False)
     w.put(0, 1)
     w.image([join(a, x - delta(to_red, g), g, b - delta(to_blue, g) - delta(red_to_blue, x)) for a, x, g, b in map(split, argb)], True)
-    assert (webp.decode(w.file()) == pixels_of(argb, 8)).all()
+    assert (both_decoders(w.file()) == pixels_of(argb, 8)).all()
     for n in (2, 3, 9, 40):
         table = [r.getrandbits(32) for _ in range(n)]
         index = [r.randrange(n) for _ in range(7 * 5)]
-        shift = webp._packing(n)
+        shift = webp.packing(n)
         w = start(7, 5)
         w.put(1, 1)
         w.put(webp.PALETTE, 2)
@@ -398,11 +505,15 @@ def test_webp_colour_transforms_and_palette():
         each, many = 8 >> shift, 1 << shift
         packed = [sum(index[y * 7 + x + k] << (k * each) for k in range(many) if x + k < 7) << 8 for y in range(5) for x in range(0, 7, many)]
         w.image(packed, True)
-        assert (webp.decode(w.file()) == pixels_of([table[i] for i in index], 7)).all()
+        assert (both_decoders(w.file()) == pixels_of([table[i] for i in index], 7)).all()
 
 
 def test_webp_refuses_other_bytes():
-    for bad in (b"", b"RIFF" + bytes(40), webp.encode(np.zeros((3, 3, 4), np.uint8))[:-9]):
+    whole = webp_encoder.encode_many([np.random.default_rng(1).integers(0, 256, (9, 9, 4), np.uint8)])[0]
+    short = webp.wrap(webp.stream_of(whole)[:-40])
+    for bad in (b"", b"RIFF" + bytes(40), whole[:-9], short):
+        with pytest.raises(webp.BadStream):
+            webp_lanes.decode_many([bad])
         with pytest.raises(webp.BadStream):
             webp.decode(bad)
 
