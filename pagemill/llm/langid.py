@@ -7,12 +7,13 @@ and is coded in the context shorter by one; behind the empty context all 256 byt
 frozen: a text's code length under a language is the exact sum over all its bytes, in units of 2**-16 bits, and the
 language with the shortest code is predicted (equal ones: the first by name).
 
-The trees of all languages are laid out as one table, a row per context that any language keeps and a column per byte
-that any has seen (others share one column: they cost the same everywhere); a byte's row is that of the longest kept
-context before it. So texts of any length are scored by array lookups, in blocks.
+The trees are laid out as tables: from the last bytes to the longest context that any language keeps, and for each
+language from there to the row of its own longest kept suffix of that, with a column per byte that any language has
+seen (others share one column: they cost the same everywhere). So texts of any length are scored by array lookups, in
+blocks. A model of more than ``max_bytes`` is pruned at twice the count, until it fits, and so can be broadcast.
 
-Training takes a bounded sample: per language the ``max_rows`` documents of least xxhash64(doc_id) outside the
-held-out fold; one task counts them, and the table is broadcast.
+Training takes a bounded sample: per language the ``max_rows`` documents of least xxhash64(doc_id) outside the held-out
+fold, as many of them as ``max_text`` bytes hold; one task counts them.
 
 Defined results: null text or one without a letter is ``und`` with score 0; nothing learned: ``und``; null lang
 teaches nothing; equal texts get equal results; repeated rows stay; an empty table gives no rows; further columns are
@@ -37,6 +38,8 @@ from pagemill.llm.common import fold, texts
 
 HELD_OUT, UNKNOWN = 2, "und"
 UNIT = 1 << 16
+#: Languages whose counts may be broadcast.
+FEW = 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -84,30 +87,39 @@ class Tree:
 class Model:
     """The trees of all languages as tables."""
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = 3, least: int = 16):
+    def __init__(self, samples: dict[str, list[bytes]], order: int = 3, least: int = 16, max_bytes: int = 256 << 20):
         self.langs, self.order = sorted(samples), order
-        trees = [Tree(samples[x], order, least) for x in self.langs]
-        seen = sorted({0} | {b for t in trees for c in t.kept.values() for b in c})
+        while True:
+            trees = [Tree(samples[x], order, least) for x in self.langs]
+            seen = sorted({0} | {b for t in trees for c in t.kept.values() for b in c})
+            self.columns = len(seen) + 1
+            contexts = sorted({c for t in trees for c in t.kept}, key=lambda c: (len(c), c)) or [b""]
+            size = 4 * (self.columns**order + sum(len(contexts) + len(t.kept) * self.columns for t in trees))
+            if size <= max_bytes or len(contexts) <= 1:
+                break
+            least *= 2
         self.symbol = np.full(256, len(seen), np.int64)  # the last column: bytes that no language has seen
         self.symbol[seen] = np.arange(len(seen))
-        self.columns = len(seen) + 1
-        contexts = sorted({c for t in trees for c in t.kept}, key=lambda c: (len(c), c)) or [b""]
-        self.cost = np.zeros((len(contexts) * self.columns, len(trees)), np.int32)
-        for i, t in enumerate(trees):
-            rows: dict[bytes, np.ndarray] = {}
-            for c in contexts:  # shorter ones first
-                counts = t.kept.get(c)
-                if counts is None:
-                    rows[c] = rows[c[1:]] if c else np.full(self.columns, 8.0)
-                    continue
-                n, d = counts.total(), len(counts)
-                row = (rows[c[1:]] if c else np.full(self.columns, 8.0)) + np.log2((n + d) / d)
+        self.own: list[np.ndarray] = []  # by language: of each context the row in cost, times the columns
+        self.cost: list[np.ndarray] = []
+        for t in trees:
+            kept = [c for c in contexts if c in t.kept] or [b""]
+            at = {c: i for i, c in enumerate(kept)}
+            rows = np.full((len(kept), self.columns), 8.0)
+            for i, c in enumerate(kept):  # shorter ones first
+                counts = t.kept.get(c, {})
+                n, d = sum(counts.values()), len(counts)
+                if d:
+                    rows[i] = (rows[at[c[1:]]] if c else 8.0) + np.log2((n + d) / d)
                 for b, k in counts.items():
-                    row[self.symbol[b]] = np.log2((n + d) / k)
-                rows[c] = row
-            for r, c in enumerate(contexts):
-                self.cost[r * self.columns : (r + 1) * self.columns, i] = np.round(rows[c] * UNIT)
-        # The row of the longest kept context, by the symbols of the last bytes, newest last.
+                    rows[i, self.symbol[b]] = np.log2((n + d) / k)
+            self.cost.append(np.round(rows * UNIT).astype(np.int32).reshape(-1))
+            own = np.zeros(len(contexts), np.int32)
+            place = {c: i for i, c in enumerate(contexts)}
+            for i, c in enumerate(contexts):
+                own[i] = at[c] * self.columns if c in at else own[place[c[1:]]]
+            self.own.append(own)
+        # The longest context that any language keeps, by the symbols of the last bytes, newest last.
         self.row = np.zeros((self.columns,) * order, np.int32)
         for r, c in enumerate(contexts):
             self.row[(..., *(int(self.symbol[b]) for b in c))] = r
@@ -136,34 +148,46 @@ class Model:
         context = np.zeros(len(s) - self.order, np.int64)
         for k in range(self.order):
             context = context * self.columns + s[k : len(context) + k]
-        cost = self.cost[self.row[context].astype(np.int64) * self.columns + s[self.order :]]
+        row, symbol = self.row[context], s[self.order :]
         # Positions that mix two parts (a part's first bytes are history only) are left out of the sums.
         lengths = np.array([len(p) for _, p in parts], np.int64)
         begin = np.cumsum(lengths) - lengths
         edges = np.stack((begin, begin + lengths - self.order), 1).reshape(-1)
-        sums = np.add.reduceat(np.concatenate((cost, np.zeros((1, cost.shape[1]), np.int32))), edges, axis=0, dtype=np.int64)[::2]
-        np.add.at(out, [i for i, _ in parts], sums)
+        of = [i for i, _ in parts]
+        for i, (own, table) in enumerate(zip(self.own, self.cost, strict=True)):
+            cost = np.append(table[own[row] + symbol], np.int32(0))
+            np.add.at(out[:, i], of, np.add.reduceat(cost, edges, dtype=np.int64)[::2])
 
 
-def fit(docs: DataFrame, max_rows: int = 400, order: int = 3) -> Model | None:
+def fit(docs: DataFrame, max_rows: int = 400, order: int = 3, max_text: int = 8 << 20) -> Model | None:
     """A model from documents (doc_id, text, lang), held-out fold left out."""
+    spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter("text is not null and lang is not null").filter(fold() != HELD_OUT)
-    # The hashes are even over 64 bits, so a share of their range holds the least ones; only that is ranked.
+    # The hashes are even over 64 bits, so a share of their range holds the least ones. Languages are few; where they
+    # aren't, their counts aren't broadcast.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    few = counts.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        counts = F.broadcast(spark.createDataFrame([tuple(r) for r in few], "lang string, n long"))
     share = (max_rows + 10 * max_rows**0.5 + 100) / F.col("n")
-    placed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("place")).join(known.groupBy("lang").agg(F.count("*").alias("n")), "lang")
-    placed = placed.filter(F.col("place") / 2.0**64 + 0.5 <= share)
+    placed = known.withColumn("place", F.xxhash64("doc_id")).join(counts, "lang").filter(F.col("place") / 2.0**64 + 0.5 <= share)
     nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
-    chosen = placed.withColumn("nth", nth).filter(F.col("nth") <= max_rows)
-    rows = known.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text", "doc_id")
+    rows = placed.select("lang", "place", "doc_id", "text").withColumn("nth", nth).filter(F.col("nth") <= max_rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
-        if parts:
-            every = pd.concat(parts).sort_values(["lang", "doc_id", "text"])
-            yield pd.DataFrame({"model": [pickle.dumps(Model({k: [t.encode() for t in g] for k, g in every.groupby("lang")["text"]}, order))]})
-
-    found = rows.repartition(1).mapInPandas(run, "model binary").collect()
+        samples: dict[str, list[bytes]] = defaultdict(list)
+        held: Counter = Counter()
+        for f in frames:
+            for lang, text in zip(f["lang"], f["text"], strict=True):
+                data = text.encode()
+                if not samples[lang] or held[lang] + len(data) <= max_text:
+                    samples[lang].append(data)
+                    held[lang] += len(data)
+        if samples:
+            yield pd.DataFrame({"model": [pickle.dumps(Model(samples, order))]})
+
+    found = rows.repartition(1).sortWithinPartitions("lang", "place", "doc_id", "text").select("lang", "text").mapInPandas(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 
