@@ -61,10 +61,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH item_words AS (
-  SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), windows AS (
   SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, a, a + least(len(w), 10) - 1) AS win
   FROM item_words, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(a) WHERE len(w) > 0
+), places AS (
+  SELECT item, w, a, least(len(w), 10) AS n, list_slice(w, a, a + least(len(w), 10) - 1) AS win
+  FROM item_words, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(a) WHERE len(w) > 0
 ), doc_words AS (
   SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), doc_windows AS (
@@ -72,14 +75,19 @@ WITH item_words AS (
   FROM doc_words, (SELECT DISTINCT n FROM windows) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS t(a)
 ), found AS (
   SELECT row_id, a, d.n, item FROM doc_windows d JOIN windows USING (win)
+), runs AS (
+  SELECT d.row_id, p.item, p.w, d.a - p.a AS diagonal, d.n, d.a - row_number() OVER (PARTITION BY d.row_id, p.item, p.w, d.a - p.a ORDER BY d.a) AS island
+  FROM doc_windows d JOIN places p USING (win)
+), longest AS (
+  SELECT row_id, max(words) AS longest FROM (SELECT row_id, count(*) + max(n) - 1 AS words FROM runs GROUP BY row_id, item, w, diagonal, island) GROUP BY row_id
 ), hit AS (
   SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(generate_series(a, a + n - 1)) AS p FROM found) GROUP BY row_id
 ), items AS (
   SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row_id, item FROM found) GROUP BY row_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc_words LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
+FROM doc_words LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id) LEFT JOIN longest USING (row_id)
 """
 
 
