@@ -6,7 +6,7 @@ places; a feature's value is its count over the square root of the number of wor
 function of the sparse dot product with the weights plus a bias.
 
 Training takes a bounded sample of the labelled rows: the ``max_rows`` of least xxhash64(doc_id), of those whose fold
-isn't held out. They go to one task in that order, which makes ``passes`` passes and returns the weights (4 * 2**BITS
+isn't held out, as many of them as ``max_text`` bytes of text hold. They go to one task in that order, which makes ``passes`` passes and returns the weights (4 * 2**BITS
 bytes), and these are broadcast. Nothing but the text enters a score.
 
 Defined results: a null, empty or blank text has no features and gets the bias's score; without labelled rows every
@@ -119,7 +119,7 @@ def train(data: list[bytes], labels: list[int], passes: int = 3, alpha: float =
     return weights.astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_text: int = 64 << 20) -> np.ndarray:
     """Weights from documents (doc_id, text) and labels (doc_id, quality), held-out folds left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter("doc_id is not null and quality in (0, 1)").filter(fold() != HELD_OUT).distinct()
@@ -127,12 +127,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> np.ndarray
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [f.assign(text=[(t or "").encode() for t in f["text"]]) for f in frames]
-        if parts:
-            every = pd.concat(parts).sort_values(["place", "doc_id", "quality", "text"])
-            yield pd.DataFrame({"weights": [train(every["text"].tolist(), every["quality"].tolist()).tobytes()]})
-
-    found = rows.repartition(1).mapInPandas(run, "weights binary").collect()
+        data, labels_, held = [], [], 0
+        for f in frames:
+            for text, label in zip(f["text"], f["quality"], strict=True):
+                own = (text or "").encode()
+                if not data or held + len(own) <= max_text:
+                    data.append(own)
+                    labels_.append(int(label))
+                    held += len(own)
+        if data:
+            yield pd.DataFrame({"weights": [train(data, labels_).tobytes()]})
+
+    ordered = rows.repartition(1).sortWithinPartitions("place", "doc_id", "quality", "text")
+    found = ordered.select("text", "quality").mapInPandas(run, "weights binary").collect()
     if not found:
         return np.zeros((1 << BITS) + 2, np.float32)
     return np.frombuffer(found[0]["weights"], np.float32)
