@@ -3,7 +3,8 @@
 Fingerprints: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, ``width``-word shingles with repeats (fewer words: the
 whole sequence), XXH64 with seed 42 of each; a bit is 1 if it is set in over half of the hashes. No words: zero.
 
-Links: equal fingerprints are one node, so copies are never paired. A fingerprint is cut into ``segments``; with
+Links: equal fingerprints are one node, so copies are never paired. A fingerprint is cut into ``segments`` (four, three
+or two, by the number of fingerprints); with
 radii r_i such that sum(r_i + 1) > radius, two fingerprints within radius bits differ in some segment i by r_i bits
 at most. Each fingerprint is entered in a table per segment, and probes it with its own segment value and with the
 values in a small Hamming ball around it (only with those whose lowest changed bit goes from 0 to 1: of two values
@@ -33,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm.common import hold, texts
 from pagemill.session import durable
@@ -182,27 +184,38 @@ def _balls(value: Column, bits: int, radius: int, half: bool) -> Column:
 
 
 def links(nodes: DataFrame, radius: int = 4, segments: int = 3, crowd: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, a, b) with a < b for fingerprints in nodes (by, fp, distinct) within radius bits, or a chain of such for crowds."""
+    """(by, a, b) with a < b for fingerprints in nodes (by, fp, distinct) within radius bits, or a chain of such for crowds.
+
+    Where nodes have a column root, what two nodes of one root would add is left out; null roots are like no other.
+    """
     if radius % 2:
         raise ValueError("crowded entries need an even radius")
+    if "root" not in nodes.columns:
+        nodes = nodes.withColumn("root", F.lit(None).cast("long"))
     tables, probes = [], []
     for i, (first, bits, r) in enumerate(cut(radius, segments)):
         value = F.shiftrightunsigned("fp", first).bitwiseAND((1 << bits) - 1)
-        tables.append(F.struct(F.lit(i).alias("seg"), value.alias("key")))
-        seg = F.lit(i).alias("seg")
+        tables.append(F.struct(F.lit(i).cast("byte").alias("seg"), value.alias("key")))
+        seg = F.lit(i).cast("byte").alias("seg")
         probes.append(F.transform(_balls(value, bits, r, half=True), lambda k: F.struct(seg, k.alias("key"))))
     place = [*by, "seg", "key"]
     entry = W.partitionBy(*place)
-    entered = nodes.select(*by, "fp", F.inline(F.array(*tables))).withColumn("n", F.count("*").over(entry))
-    entered = entered.withColumn("at", F.row_number().over(entry.orderBy("fp")))
-    entered = entered.filter((F.col("n") <= crowd) | (F.col("at") == 1)).select(*place, F.when(F.col("n") <= crowd, F.col("fp")).alias("other"))
-    met = nodes.select(*by, "fp", F.inline(F.flatten(F.array(*probes)))).join(entered.hint("merge"), place)
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    met = met.filter(F.col("other").isNull() | ((F.col("fp") != F.col("other")) & near)).select(*by, "fp", "other").distinct()
+    entered = nodes.select(*by, "fp", "root", F.inline(F.array(*tables))).withColumn("n", F.count("*").over(entry)).withColumn("at", F.row_number().over(entry.orderBy("fp")))
+    one = (F.count("root").over(entry) == F.col("n")) & (F.min("root").over(entry) == F.max("root").over(entry))
+    entered = entered.withColumn("whole", F.when(one, F.col("root"))).filter((F.col("n") <= crowd) | (F.col("at") == 1))
+    alone = F.col("n") <= crowd
+    entered = entered.select(*place, F.when(alone, F.col("fp")).alias("other"), F.when(alone, F.col("root")).otherwise(F.col("whole")).alias("other_root"))
+    met = nodes.select(*by, "fp", "root", F.inline(F.flatten(F.array(*probes)))).join(entered.hint("merge"), place)
+    unlike = F.coalesce(F.col("root") != F.col("other_root"), F.lit(True))
+    near = (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius) & unlike
+    crowds = F.col("other").isNull()
+    # A crowded entry matters if some who probe it aren't all of one root.
+    met = met.filter(crowds | near).select(*by, F.when(crowds, F.col("fp")).otherwise(F.least("fp", "other")).alias("fp"), F.when(~crowds, F.greatest("fp", "other")).alias("other"), *(F.when(crowds, F.col(c)).alias(c) for c in ("seg", "key")), (crowds & unlike).alias("open"))
     durable(nodes.sparkSession)
-    met = met.checkpoint()
-    pairs = met.filter("other is not null").select(*by, F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    crowded = met.filter("other is null").select(*by, "fp").distinct()
+    met = met.distinct().checkpoint()
+    pairs = met.filter("other is not null").select(*by, F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    hot = met.filter("open").select(*place).distinct()
+    crowded = met.filter("other is null").join(hot.hint("merge"), place, "left_semi").select(*by, "fp").distinct()
     balls = crowded.select(*by, "fp", F.explode(_balls(F.col("fp"), BITS, radius // 2, half=False)).alias("key"))
     smallest = balls.groupBy(*by, "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select(*by, "key", "a")
     stars = balls.join(smallest.hint("merge"), [*by, "key"]).filter(F.col("a") != F.col("fp")).select(*by, "a", F.col("fp").alias("b")).distinct()
@@ -235,29 +248,37 @@ def label(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
     return nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4) -> DataFrame:
+def segments_for(nodes: DataFrame) -> int:
+    """How many segments: the more, the fewer probes, as long as the tables' entries stay small."""
+    n = nodes.count()
+    return 4 if n <= 8 << 16 else 3 if n <= 16 << 21 else 2
+
+
+def components(docs: DataFrame, radius: int = 4, segments: int | None = None, width: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; component_id is the smallest doc_id that links reach."""
     durable(docs.sparkSession)
     own = with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, only=("doc_id",)).checkpoint()
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    rooted = label(nodes.select("fp"), radius, segments).join(nodes.hint("merge"), "fp")
+    rooted = label(nodes.select("fp"), radius, segments or segments_for(nodes)).join(nodes.hint("merge"), "fp")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id")
     return own.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shared_links(own: DataFrame, prints: int, radius: int, segments: int) -> DataFrame:
-    """(a, b): links between values of node that any of the fingerprints gives, all of them searched in one plan.
+def shared_links(own: DataFrame, roots: DataFrame, prints: int, radius: int, segments: int) -> DataFrame:
+    """(a, b): links between values of node that any of the fingerprints gives, but for those of one root already.
 
-    Each value of a fingerprint stands for the smallest node beside it: nodes beside one value are linked, and so are
-    those that linked values stand for.
+    All fingerprints are searched in one plan. Each value of one stands for the smallest node beside it: nodes beside one
+    value are linked, and so are those that linked values stand for.
     """
     values = F.array("fp", *(f"fp{i}" for i in range(1, prints)))
-    long = own.select(F.col("node").alias("of"), F.posexplode(values).alias("which", "value"))
-    stands = long.groupBy("which", "value").agg(F.min("of").alias("least"), F.max("of").alias("most")).checkpoint()
-    shared = stands.filter("least <> most").select("which", "value", "least")
-    beside = long.join(shared.hint("merge"), ["which", "value"]).filter("of <> least").select(F.col("least").alias("a"), F.col("of").alias("b"))
-    between = links(stands.select("which", F.col("value").alias("fp")), radius, segments, by=("which",))
+    rooted = own.join(roots.hint("merge"), own["node"] == roots["node"], "left").select(own["node"].alias("of"), F.coalesce("root", own["node"]).alias("root"), values.alias("values"))
+    long = rooted.select("of", "root", F.posexplode("values").alias("which", "value"))
+    stands = long.groupBy("which", "value").agg(F.min("of").alias("least"), F.min_by("root", "of").alias("least_root"), F.min("root").alias("low"), F.max("root").alias("high")).checkpoint()
+    shared = stands.filter("low <> high").select("which", "value", "least", "least_root")
+    beside = long.join(shared.hint("merge"), ["which", "value"]).filter("root <> least_root").select(F.least("least", "of").alias("a"), F.greatest("least", "of").alias("b"))
+    searched = stands.select("which", F.col("value").alias("fp"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("root"))
+    between = links(searched, radius, segments, by=("which",))
     for side in ("a", "b"):
         between = between.join(stands.select("which", F.col("value").alias(side), F.col("least").alias(f"of_{side}")).hint("merge"), ["which", side])
     between = between.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).filter("a <> b")
@@ -292,40 +313,68 @@ def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(*_pair("node", "other")).distinct()
 
 
-def keep_first(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 5, prints: int = 6, least: float = 0.8) -> DataFrame:
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns in which nulls have their places; nested columns go by their JSON, with nulls too."""
+    parts: list[Column] = []
+    for f in docs.schema:
+        own = F.col(f"`{f.name}`")
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        parts += [own.isNull(), F.to_json(F.struct(own), {"ignoreNullFields": "false"}) if nested else own]
+    return F.xxhash64(*parts)
+
+
+def keep_first(docs: DataFrame, radius: int = 4, segments: int | None = None, width: int = 5, prints: int = 6, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id (null ids last).
 
     Texts are linked if they share at least that part of all their distinct shingles, which is counted for every
     candidate pair. Candidates are those of which one of several independent fingerprints differs by radius bits at
     most, and those that agree in a band of least hashes. Of an entry of a band, all members are held against the
-    smallest and then against neighbours; those still not linked with it against all that they aren't linked with. Rows
+    smallest first; then the fingerprints are searched for pairs not linked yet; then members of entries are held against
+    neighbours, and those still not linked with the smallest against all that they aren't linked with. Rows
     are told apart by a hash of all their columns; of fully equal rows one stays. Only keys of winners and of candidates meet the texts
     again, in joins on a key that no group shares.
     """
     durable(docs.sparkSession)
     columns = docs.columns
-    keyed = docs.withColumn("__row", F.xxhash64(*columns))
-    own = with_sketches(keyed.select("doc_id", "__row", "text"), width, prints, ("doc_id", "__row")).checkpoint()
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
+    row, id_, key = (free_name(docs, x) for x in ("row", "id", "key"))
+    keyed = docs.withColumn(row, row_hash(docs))
+    own = with_sketches(keyed.select("doc_id", row, "text"), width, prints, ("doc_id", row)).checkpoint()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("first")
     nodes = own.groupBy("node").agg(first, F.first("bands").alias("bands")).checkpoint()
     place = W.partitionBy("band", "key")
     entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     entries = entries.withColumn("least", F.min("node").over(place)).withColumn("most", F.max("node").over(place)).filter("least <> most").drop("most").checkpoint()
     stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    found = shared_links(own.drop("doc_id", "__row", "bands").distinct(), prints, radius, segments)
-    tried = found.union(stars).distinct().checkpoint()
-
-    # Members of entries all have a pair here, so these are the texts of later pairs too.
-    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    at = ends.join(nodes.hint("merge"), "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__key"))
-    met = (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    owners = keyed.select("doc_id", "__row", "text").join(at.hint("merge"), met).select("node", "text").dropDuplicates(["node"]).checkpoint()
-    roots = spread(similar(tried, owners, width, least))
-    # Neighbours first: what they link, the pairs of all that remain apart needn't hold.
-    for among in (_beside, _apart):
-        more = among(entries, roots).join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
+    sketches = own.drop("doc_id", row, "bands").distinct()
+    met = (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in pairs, each once."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        at = ends.join(nodes.hint("merge"), "node").select("node", F.col("first.doc_id").alias(id_), F.col("first.row").alias(key))
+        return keyed.select("doc_id", row, "text").join(at.hint("merge"), met).select("node", "text").dropDuplicates(["node"])
+
+    tried = stars.distinct().checkpoint()
+    # What the bands show is linked first; then no step needs what is of one root already.
+    roots = spread(similar(tried, texts_of(tried), width, least))
+    steps = (
+        lambda: shared_links(sketches, roots, prints, radius, segments or segments_for(nodes)),
+        lambda: _beside(entries, roots),
+        lambda: _apart(entries, roots),
+    )
+    for step in steps:
+        more = step().join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
         if not more.isEmpty():
-            tried, linked = tried.union(more), similar(more, owners, width, least)
+            tried, linked = tried.union(more), similar(more, texts_of(more), width, least)
             # Links between roots are enough, and few.
             for side in ("a", "b"):
                 of = roots.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}"))
@@ -333,6 +382,5 @@ def keep_first(docs: DataFrame, radius: int = 4, segments: int = 3, width: int =
             between = linked.filter("of_a <> of_b").select(*_pair("of_a", "of_b")).distinct()
             roots = spread(between.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     rooted = nodes.join(roots.hint("merge"), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__key"))
-    met = (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return keyed.join(winners.hint("merge"), met, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*columns)
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(id_), F.col("first.row").alias(key))
+    return keyed.join(winners.hint("merge"), met, "left_semi").dropDuplicates(["doc_id", row]).select(*columns)
