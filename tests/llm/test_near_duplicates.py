@@ -56,3 +56,15 @@ def test_near_duplicate_stage_joins_members_of_an_entry_that_are_not_near_its_sm
     assert all(jaccard(shingles(rows[i][1]), shingles(rows[i + 1][1])) >= 0.8 for i in range(39))
     assert jaccard(shingles(rows[0][1]), shingles(rows[-1][1])) < 0.5
     assert [r.doc_id for r in P.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [0]
+
+
+def test_near_duplicate_stage_tells_rows_apart_by_where_nulls_stand(spark):
+    """Rows of one doc_id that differ by a null's place are rows of their own; columns of any name come back as they were."""
+    schema = "doc_id long, note string, text string, __row string, list array<string>"
+    rows = [(1, None, "a longer text of words", "r", [None, "x"]), (1, "a longer text of words", None, "r", [None, "x"]), (2, "n", "another text of many words", "q", [None, "x"])]
+    rows += [(2, "n", "and one more that is unlike them", "q", ["x", None]), (None, None, None, None, None), (3, "", "", "", [])]
+    docs = spark.createDataFrame(rows, schema)
+    kept = P.near_duplicate_stage(spark, docs.union(docs), "")
+    assert kept.schema == docs.schema
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, [r for r in docs.collect() if r.text and r.text.strip()] + [r for r in docs.collect() if r.doc_id == 1 and r.text is None]))
+    assert P.near_duplicate_stage(spark, docs.limit(0), "").count() == 0

@@ -71,7 +71,7 @@ ITEMS = [(1, "word " * 12), (2, "same TEXT"), (2, "same text"), (None, "É中
 @pytest.mark.parametrize("block_bytes", [1 << 20, 20])
 def test_decontamination(spark, odd, block_bytes):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = sorted(map(repr, (tuple(r) for r in decontaminate.report(odd, bench, block_bytes=block_bytes).collect())))
+    got = sorted(map(repr, (tuple(r)[:-1] for r in decontaminate.report(odd, bench, block_bytes=block_bytes).collect())))
     rows = odd.select("doc_id", "text").collect()
     want = contamination([r.text for r in rows], [("" if n is None else str(n), t) for n, t in ITEMS])
     assert got == sorted(repr((r.doc_id, *w)) for r, w in zip(rows, want, strict=True))
@@ -80,11 +80,41 @@ def test_decontamination(spark, odd, block_bytes):
     assert decontaminate.report(odd.limit(0), bench).count() == 0 and decontaminate.remove(odd, bench.limit(0)).count() == odd.count()
 
 
-def test_longest_match_and_place():
-    item = b" ".join(b"w%d" % i for i in range(30))
-    bench = decontaminate.Benchmark([("i", item)])
-    text = b"x y " + b" ".join(b"w%d" % i for i in range(5, 22)) + b" z"
-    assert decontaminate.longest_matches(text, bench) == [("i", 2, 17)]
+def plain_matches(text, items):
+    """(first word, words, item, first word in the item) of the matches that can't be extended, by comparing all places."""
+    t, out = words(text), []
+    for name, item in items:
+        w = words(item)
+        for at in range(len(t)):
+            for start in range(len(w)):
+                n = 0
+                while at + n < len(t) and start + n < len(w) and t[at + n] == w[start + n]:
+                    n += 1
+                begins = not at or not start or t[at - 1] != w[start - 1]
+                if begins and w and n >= min(10, len(w)) and (len(w) >= 10 or n == len(w)):
+                    out.append((at, n, name, start))
+    return sorted(out)
+
+
+def test_longest_matches_by_brute_force(spark):
+    r = random.Random(4)
+    row = lambda n, k: " ".join(f"w{r.randrange(k)}" for _ in range(n))
+    follow = "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9"
+    items = [("i", follow + " zz " + follow[3:] + " a10"), ("same", "b " * 14), ("short", "c d e"), ("r1", row(60, 2)), ("r2", row(40, 2)), ("r1", row(25, 3))]
+    docs = [follow + " a10", "b " * 30, "x c d e c d e", row(80, 2), row(60, 2) + " new " + row(40, 2), items[3][1] + " " + items[4][1], ""]
+    bench = decontaminate.Benchmark([(n, t.encode()) for n, t in items])
+    counts, found = decontaminate.matches([d.encode() for d in docs], bench)
+    for d, n, own in zip(docs, counts, found, strict=True):
+        want = plain_matches(d, items)
+        assert n == len(words(d)) and sorted((at, k, bench.names[i], start) for at, k, i, start in own) == want
+    assert [(at, k) for at, k, i, _ in found[0]] == [(0, 10), (1, 10)]  # the 11 words aren't in the item
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id string, text string")
+    for size in (1 << 20, 100):
+        got = sorted((x.doc_id, x.word, x.n_words, x.item, x.item_word) for x in decontaminate.matched(frame, table, block_bytes=size).collect())
+        assert got == sorted((i, *m) for i, d in enumerate(docs) for m in plain_matches(d, items))
+        longest = {x.doc_id: x.longest_match for x in decontaminate.report(frame, table, block_bytes=size).collect()}
+        assert longest == {i: max((m[1] for m in plain_matches(d, items)), default=0) for i, d in enumerate(docs)}
 
 
 def test_suffix_array_search_by_brute_force():
@@ -194,6 +224,107 @@ def test_code_lengths_are_exact():
         assert np.allclose(model.lengths([b"", t, t], block=7)[1:] / langid.UNIT, [want, want], atol=1e-2)
 
 
+def plain_bits(samples, text, order=3, least=16):
+    """A text's code length by counting contexts one by one, from the definition."""
+    seen: dict = {}
+    for t in samples:
+        h = bytes(order) + t
+        for i in range(order, len(h)):
+            for k in range(order + 1):
+                own = seen.setdefault(h[i - k : i], {})
+                own[h[i]] = own.get(h[i], 0) + 1
+    kept = {c for c, own in seen.items() if sum(own.values()) >= least or not c}
+    kept = {c for c in kept if all(c[i:] in kept for i in range(len(c)))}
+    total = 0.0
+    h = bytes(order) + text
+    for i in range(order, len(h)):
+        context = h[i - order : i]
+        while context not in kept and context:
+            context = context[1:]
+        while True:
+            own = seen.get(context, {}) if context in kept else {}
+            n, d = sum(own.values()), len(own)
+            if h[i] in own:
+                total += np.log2((n + d) / own[h[i]])
+                break
+            total += np.log2((n + d) / d) if d else 0
+            if not context:
+                total += 8
+                break
+            context = context[1:]
+    return total
+
+
+def test_code_lengths_by_plain_counting(docs, texts):
+    by_lang: dict = {}
+    for r in docs.collect():
+        by_lang.setdefault(r.lang, []).append((r.text or "").encode()[:600])
+    samples = {k: v[:12] for k, v in by_lang.items() if k in ("en", "fr", "de")}
+    model = langid.Model(samples)
+    asked = [t.encode()[:300] for t in list(texts.values())[:12]] + [b"", b"\x00\x01\xff", "É中😀".encode()]
+    want = [[plain_bits(samples[k], t) for k in model.langs] for t in asked]
+    assert np.allclose(model.lengths(asked, block=64) / langid.UNIT, want, rtol=1e-5, atol=1e-2)
+
+
+def test_models_are_pruned_to_their_bound():
+    samples = {str(i): [random.Random(i).randbytes(3000)] for i in range(5)}
+    small = langid.Model(samples, order=2, least=1, max_bytes=400_000)
+    assert sum(x.nbytes for x in (*small.cost, *small.own, small.row)) <= 400_000
+    assert (small.lengths([samples["3"][0][:50]]) > 0).all()
+
+
+def plain_ftrl(rows, labels, size, passes=3, alpha=0.08, beta=1.0, l1=0.02, l2=1.0):
+    """The published update, coordinate by coordinate; rows are {place: value}, the bias at the last place unpenalised."""
+    z, n = [0.0] * size, [0.0] * size
+
+    def weight(i):
+        penalty = 0 if i == size - 1 else l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        return -(z[i] - (penalty if z[i] > 0 else -penalty)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(passes):
+        for x, y in zip(rows, labels, strict=True):
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    return {i: weight(i) for x in rows for i in x}
+
+
+def plain_features(text):
+    """{place: value}: words, pairs, and runs of one to three word shapes, over the root of the number of words."""
+    mix = lambda a, salt: int(quality._mixed(np.array([a & (1 << 64) - 1], np.uint64), salt)[0])
+    shape = lambda w: re.sub(rb"(.)\1+", rb"\1", bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c > 127 else 48 if 48 <= c <= 57 else c for c in w), flags=re.S)
+    words_ = text.split()
+    word, kind, prime = [crc32(w.lower()) for w in words_], [crc32(shape(w), 7) for w in words_], 0x100000001B3
+    found: dict = {}
+    for i in range(len(words_)):
+        places = [mix(word[i], 1), mix(kind[i], 3)]
+        if i + 1 < len(words_):
+            places += [mix(word[i] * prime + word[i + 1], 2), mix(kind[i] * prime + kind[i + 1], 4)]
+        if i + 2 < len(words_):
+            places.append(mix((kind[i] * prime + kind[i + 1] & (1 << 64) - 1) * prime + kind[i + 2], 5))
+        for p in places:
+            found[p] = found.get(p, 0) + 1 / len(words_) ** 0.5
+    return found
+
+
+def test_classifier_by_plain_updates(texts):
+    data = [t.encode()[:400] for t in list(texts.values())[:40]] + [b"", b" ", b"one", b"a b"]
+    labels = [i * 7 % 3 % 2 for i in range(len(data))]
+    size = (1 << quality.BITS) + 2
+    rows = [plain_features(t) | {size - 1: 1.0} for t in data]
+    want, got = plain_ftrl(rows, labels, size), quality.train(data, labels)
+    assert np.allclose([got[i] for i in want], list(want.values()), atol=1e-4)
+    assert np.count_nonzero(got) <= len(want)
+    scored = [1 / (1 + np.exp(-sum(float(got[i]) * v for i, v in x.items()))) for x in rows]
+    assert np.allclose(quality.scores(data, got), scored, atol=1e-6)
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     big, labels = table(spark, d, "documents"), table(spark, d, "labels")
@@ -536,8 +667,10 @@ def smallest_capacity(sizes, shards):
     return c
 
 
-@pytest.mark.parametrize(("n", "shards"), [(1, 40), (30, 7), (900, 40)])
-def test_minimax_is_exact(spark, n, shards):
+@pytest.mark.parametrize(("n", "shards", "first"), [(1, 40, 4), (30, 7, 4), (900, 40, 4), (900, 40, 1), (400, 3, 1)])
+def test_minimax_is_exact(spark, n, shards, first, monkeypatch):
+    monkeypatch.setattr(sharding, "FIRST_DIGITS", first)
+    monkeypatch.setattr(sharding, "DIGITS", first)
     r = random.Random(n)
     groups = sorted((hashlib.md5(str(i).encode()).hexdigest(), r.choice((20, 50, 3000)) if i else 9000) for i in range(n))
     capacity, cuts = sharding.minimax(spark.createDataFrame(groups, "gkey string, size long"), shards)
@@ -556,7 +689,24 @@ def test_shards(odd, docs):
         for r in rows:
             slots.setdefault(r.shard, []).append(r.slot)
         assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(slots) < 40
-    assert len({r.shard for r in sharding.assign(odd).collect() if r.doc_id in (6, 7)}) == 1
+        # Sizes and checksums by their definition, equal texts together, and the least possible largest shard.
+        size = lambda t: len((t or "").encode()) + 16
+        want = sorted((str(r.doc_id), size(r.text), crc32((r.text or "").encode())) for r in d.select("doc_id", "text").collect())
+        assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == want
+        assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+        groups: dict = {}
+        for r in d.select("text").collect():
+            key = hashlib.md5((r.text or "").encode()).hexdigest()
+            groups[key] = groups.get(key, 0) + size(r.text)
+        load: dict = {}
+        for r in rows:
+            load[r.shard] = load.get(r.shard, 0) + r.size
+        assert max(load.values()) <= smallest_capacity([groups[k] for k in sorted(groups)], 40)
+        shards = {r.text: set() for r in d.select("text").collect()}
+        by_id = {r.doc_id: r.shard for r in rows}
+        for r in d.select("doc_id", "text").collect():
+            shards[r.text].add(by_id[r.doc_id])
+        assert all(len(x) == 1 for x in shards.values())
     assert sharding.assign(odd.limit(0)).count() == 0
 
 

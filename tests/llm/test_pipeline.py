@@ -71,7 +71,7 @@ def test_secret_stage(spark, docs):
 
 def test_run_ends_in_ids(spark):
     out = P.run(spark, D)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"]
     got = rows(out)
     assert 0 < len(got) < table(spark, D, "documents").count()
     want = tiktoken_encoding()
@@ -80,3 +80,47 @@ def test_run_ends_in_ids(spark):
         if not base(texts[i].text):
             ids = want.encode_ordinary(texts[i].text)
             assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+ODD = [(None, None), (1, ""), (2, " "), (3, "same text"), (3, "same text"), (4, "word " * 30_000), (5, "x" * 50_000), (6, "password = hunter2hunter2 É中😀"), (None, "token: abcdefgh12345678")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing column names."""
+    rows = [(i, t, None, None if n % 2 else "s", None, 7, "clash", "c") for n, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, __row string, n_tokens string")
+
+
+def kept(df):
+    return sorted((str(r.doc_id), r.text or "") for r in df.collect())
+
+
+def test_stages_bear_odd_rows(spark, odd):
+    every = sorted((str(i), t or "") for i, t in ODD)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, D)
+        assert out.schema == odd.schema and stage(spark, odd.limit(0), D).count() == 0, name
+        got = kept(out)
+        if name == "quality_classifier":  # no labelled rows, or whatever their labels make of them
+            assert set(got) <= set(every) and got.count(("3", "same text")) in (0, 2)
+        elif name == "simhash_near_dedup":
+            assert got == sorted({x for x in every if x[1].strip()} | {("1", "")})
+        elif name == "benchmark_decontamination":
+            assert got == every
+        else:
+            assert [i for i, _ in got] == [i for i, _ in every] and not any("hunter2" in t or "abcdefgh1" in t for _, t in got)
+            assert [r for r in out.collect() if r.text == "x" * 50_000] and out.filter("text is null").count() == 1
+
+
+def test_encoding_stage(spark, odd):
+    """Ids of what the stage before left, redacted texts among them, for every row."""
+    before = P.secret_stage(spark, odd, D)
+    want = tiktoken_encoding()
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    expected = []
+    for r in before.collect():
+        ids = want.encode_ordinary(r.text or "")
+        expected.append((str(r.doc_id), len(ids), digest(" ".join(map(str, ids))), digest(r.text or ""), len(r.text or "")))
+    assert sorted((str(r[0]), *r[1:]) for r in P.encoding_stage(spark, before, D).collect()) == sorted(expected)
+    assert P.encoding_stage(spark, odd.limit(0), D).count() == 0
