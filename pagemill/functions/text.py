@@ -72,19 +72,30 @@ LANGUAGE_CHARS = 4000
 WORDS = "[a-zà-ÿ]+"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _first_best(scores: dict[str, Column], none: str) -> Column:
     """The name with the highest score, the first by name among equals; none if all are zero."""
     ranked = F.array_max(F.array(*(F.struct(scores[k].cast("int").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(sorted(scores)))))
-    return F.when(ranked["n"] > 0, ranked["k"]).otherwise(F.lit(none))
+    return let(ranked, lambda r: F.when(r["n"] > 0, r["k"]).otherwise(F.lit(none)))
 
 
 def language(text: Column) -> Column:
     """A script, or for Latin letters the language with most function words; other and unknown if there is none."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, LANGUAGE_CHARS)
-    script = _first_best({k: F.length(F.regexp_replace(head, f"[^{v}]", "")) for k, v in SCRIPTS.items()}, "unknown")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(head), F.lit(f"({WORDS})"), F.lit(1)))
-    named = _first_best({k: F.size(F.array_intersect(words, F.array(*map(F.lit, v.split())))) for k, v in STOPWORDS.items()}, "other")
-    return F.when(script == "lat", named).otherwise(script)
+    every = F.array(*map(F.lit, sorted({w for v in STOPWORDS.values() for w in v.split()})))
+
+    def by_words(head: Column) -> Column:
+        seen = F.array_intersect(F.regexp_extract_all(F.lower(head), F.lit(f"({WORDS})"), F.lit(1)), every)
+        return let(seen, lambda w: _first_best({k: F.size(F.array_intersect(w, F.array(*map(F.lit, v.split())))) for k, v in STOPWORDS.items()}, "other"))
+
+    def by_script(head: Column) -> Column:
+        script = _first_best({k: F.length(F.regexp_replace(head, f"[^{v}]+", "")) for k, v in SCRIPTS.items()}, "unknown")
+        return let(script, lambda s: F.when(s == "lat", by_words(head)).otherwise(s))
+
+    return let(F.substring(F.coalesce(text, F.lit("")), 1, LANGUAGE_CHARS), by_script)
 
 
 def ocr_class(share: Column) -> Column:
