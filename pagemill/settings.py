@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 
@@ -31,6 +33,14 @@ class Chunking:
     overlap: int = 100
     maximum: int = 2048
     title_prefix: bool = True
+    tokenizer: str = "words"
+    tokenizer_path: str | None = None
+
+    def sha(self) -> str:
+        """The settings' identity: SHA-256 of their canonical JSON, under the names that stored chunks were made with."""
+        own = {"target_tokens": self.target, "overlap_tokens": self.overlap, "max_tokens": self.maximum}
+        own |= {"title_prefix": self.title_prefix, "tokenizer": self.tokenizer, "tokenizer_path": self.tokenizer_path}
+        return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -67,3 +77,20 @@ class Upkeep:
     embed_batch: int = 8
     summary_chars: int = 16_000
     min_summary_words: int = 20
+
+
+@dataclass(frozen=True)
+class Embedding:
+    model_revision: str = ""
+    model_name: str = ""
+    dimensions: int = 1024
+    dtype: str = "float32"
+    normalize: bool = True
+    batch: int = 8
+
+    def sha(self) -> str:
+        """The identity of what decides vectors' values; how they are batched doesn't."""
+        if not self.model_revision:
+            raise ValueError("no embedding model is configured")
+        own = {"model_revision": self.model_revision, "model_name": self.model_name or self.model_revision, "dimensions": self.dimensions, "dtype": self.dtype, "normalize": self.normalize}
+        return hashlib.sha256(json.dumps(own, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
