@@ -1,11 +1,17 @@
 """Sparse retrieval: corpus statistics, weights and search, for many queries and statistics epochs in one plan.
 
-A query is weighted like a document (its own term counts and length), so the inverse document frequency enters the
+Terms are counted and queries scored inside a batch of rows, in Arrow functions, so that neither postings nor pairs of
+queries and chunks are shuffled. A query is weighted like a document (its own term counts and length), so the inverse document frequency enters the
 score twice. Chunks are (chunk_id, text), with an epoch column where several snapshots are searched at once.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +21,25 @@ from pagemill.settings import Bm25
 
 
 def term_counts(texts: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
-    """(key, term, tf, len): one row per text and term. The counts are made inside the row: no shuffle."""
+    """(key, len, term, tf): one row per text and term. The counts are made inside the row: no shuffle."""
     keys = [key] if isinstance(key, str) else key
-    listed = texts.select(*keys, tokens(F.col(text)).alias("__tokens")).withColumn("len", F.size("__tokens"))
-    return listed.select(*keys, "len", F.explode("__tokens").alias("term")).groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    listed = texts.select(*keys, tokens(F.col(text)).alias("tokens"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, size, term, tf = [], [], [], []
+            for i, own in enumerate(batch.column(len(keys)).to_pylist()):
+                if own:
+                    counted = Counter(own)
+                    term += counted
+                    tf += counted.values()
+                    row += [i] * len(counted)
+                    size += [len(own)] * len(counted)
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), pa.array(size, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], [*keys, "len", "term", "tf"])
+
+    return listed.mapInArrow(run, f"{kinds}, len int, term string, tf long")
 
 
 def document_frequencies(texts: DataFrame, by: list[str] = [], text: str = "text") -> DataFrame:  # noqa: B006
@@ -31,6 +52,40 @@ def corpus_size(texts: DataFrame, by: list[str] = [], text: str = "text") -> Dat
     return texts.groupBy(*by).agg(F.count("*").alias("n"), (F.sum(F.size(tokens(F.col(text)))) / F.count("*")).alias("avgdl"))
 
 
+def active_chunks(chunks: DataFrame, publications: DataFrame, include: DataFrame | None = None) -> DataFrame:
+    """The chunks (rev_id, ...) that statistics are of: those of active publications, and of the revisions in include.
+
+    include (rev_id) names a revision that is about to be published.
+    """
+    counted = publications.filter("state = 'active'").select("rev_id")
+    if include is not None:
+        counted = counted.union(include.select("rev_id"))
+    return chunks.join(counted.distinct(), "rev_id", "left_semi")
+
+
+def statistics(chunks: DataFrame, stats_sha: str) -> tuple[DataFrame, DataFrame]:
+    """An epoch to store: (stats_sha, n, avgdl) and (stats_sha, term, df)."""
+    mark = F.lit(stats_sha).alias("stats_sha")
+    return corpus_size(chunks).select(mark, "n", "avgdl"), document_frequencies(chunks).select(mark, "term", "df")
+
+
+def epoch_for(record: dict | None, settings_sha: str, active: bool, policy: str = "live") -> str | None:
+    """The recorded epoch's stats_sha that a publication joins, or None: then statistics are made anew.
+
+    record (stats_sha, bm25) is the one of the last switch. A revision that is active already joins it; under the
+    policy frozen every revision does. A record of other settings counts as none.
+    """
+    if policy not in ("live", "frozen"):
+        raise ValueError(f"unknown policy {policy}")
+    usable = record is not None and record.get("bm25") == settings_sha
+    return record["stats_sha"] if usable and (active or policy == "frozen") else None
+
+
+def version_part(record: dict | None) -> str:
+    """What a publish job's version says of the epoch; init before the first."""
+    return str(record["stats_sha"]) if record else "init"
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -64,17 +119,117 @@ def top(scores: DataFrame, k: int, by: list[str], score: Column | None = None, t
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Cells of one block's table of terms and queries (eight bytes each), and terms that may be known on the driver.
+CELLS, TERMS = 8 << 20, 1 << 20
+
+
+def _question_blocks(queries: DataFrame) -> list[list[tuple]]:
+    """The queries' (query_id, len, term, tf), in blocks of which each has a table of bounded size.
+
+    Queries are a stated set; their terms come to the driver one query after the other, and no more than fit.
+    """
+    blocks: list[list[tuple]] = [[]]
+    terms: set[str] = set()
+    ids: set = set()
+    own: list[tuple] = []
+
+    def close() -> None:
+        nonlocal terms, ids
+        if not own:
+            return
+        more = terms | {r[2] for r in own}
+        if blocks[-1] and (len(more) * (len(ids) + 1) > CELLS or len(more) > TERMS):
+            blocks.append([])
+            more, ids = {r[2] for r in own}, set()
+        terms = more
+        ids.add(own[0][0])
+        blocks[-1].extend(own)
+        own.clear()
+
+    for r in term_counts(queries, "query_id").orderBy("query_id").toLocalIterator():
+        if own and own[0][0] != r["query_id"]:
+            close()
+        own.append((r["query_id"], r["len"], r["term"], r["tf"]))
+    close()
+    return blocks if blocks[-1] else []
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int = 20, by: list[str] = [], p: Bm25 = Bm25()) -> DataFrame:  # noqa: B006
     """Top k chunks of each query: (by, query_id, chunk_id, score, rank); scores are rounded to six decimals.
 
-    Query terms are few: their counts come first, and postings are made of the terms that queries hold only, so the
-    corpus is tokenised once for the statistics and once for these postings.
+    The corpus is read twice: for the statistics of the queries' terms, and to score. A chunk is scored where it lies,
+    against all queries of a block at once, and only each batch's k best of a query leave it: no posting and no
+    (query, chunk) pair is shuffled. Blocks hold as many queries as a table of bounded size does.
     """
-    size = corpus_size(chunks, by)
-    wanted = term_counts(queries, "query_id")
-    terms = wanted.select("term").distinct()
-    frequencies = document_frequencies(chunks, by).join(terms, "term", "left_semi")
-    counts = term_counts(chunks, [*by, "chunk_id"]).join(terms, "term", "left_semi")
-    q = weights(wanted, frequencies, size, by, p) if not by else weights(wanted.crossJoin(F.broadcast(size.select(*by))), frequencies, size, by, p)
-    scored = sparse_scores(q, weights(counts, frequencies, size, by, p), by).withColumn("score", F.round("score", 6))
-    return top(scored.filter("score <> 0"), k, [*by, "query_id"])
+    spark = chunks.sparkSession
+    own = chunks.select(*by, "chunk_id", "text")
+    kinds = {f.name: f.dataType for f in own.schema} | {"query_id": queries.schema["query_id"].dataType}
+    schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in (*by, "query_id", "chunk_id")) + ", score double"
+    found = None
+    for block in _question_blocks(queries):
+        terms = sorted({r[2] for r in block})
+        asked = sorted({r[0] for r in block})
+        wanted = spark.createDataFrame([(t,) for t in terms], "term string")
+        frequencies = document_frequencies(own, by).join(F.broadcast(wanted), "term", "left_semi").collect()
+        epochs: dict[tuple, tuple] = {}
+        for r in corpus_size(own, by).collect():
+            epochs[tuple(r[c] for c in by)] = (r["n"], r["avgdl"], {})
+        for r in frequencies:
+            epochs[tuple(r[c] for c in by)][2][r["term"]] = r["df"]
+        shared = spark.sparkContext.broadcast({e: _Block(block, asked, *stats, p) for e, stats in epochs.items() if stats[0]})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, asked=asked) -> Iterator[pa.RecordBatch]:
+            query_type = pa.array(asked).type
+            for batch in batches:
+                groups: dict[tuple, list[int]] = defaultdict(list)
+                for i, e in enumerate(zip(*(batch.column(n).to_pylist() for n in range(len(by))), strict=True) if by else [()] * batch.num_rows):
+                    groups[e].append(i)
+                ids, listed = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist()
+                for e, rows in groups.items():
+                    if e not in shared.value:
+                        continue
+                    rows.sort(key=lambda i: (ids[i] is None, ids[i]))
+                    row, query, score = shared.value[e].best([listed[i] or () for i in rows], k)
+                    at = pa.array([rows[i] for i in row], pa.int32())
+                    picked = [batch.column(n).take(at) for n in range(len(by))]
+                    yield pa.RecordBatch.from_arrays([*picked, pa.array([asked[q] for q in query], query_type), batch.column(len(by)).take(at), pa.array(score)], [*by, "query_id", "chunk_id", "score"])
+
+        scored = own.select(*by, "chunk_id", tokens(F.col("text")).alias("tokens")).mapInArrow(run, schema)
+        found = scored if found is None else found.unionAll(scored)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return top(found, k, [*by, "query_id"])
+
+
+class _Block:
+    """A block of queries under one epoch's statistics: the weight of each of its terms in each query."""
+
+    def __init__(self, block: list[tuple], asked: list, n: int, avgdl: float, df: dict[str, int], p: Bm25):
+        self.p, self.mean = p, avgdl if avgdl and avgdl > 0 else 1.0
+        self.number = {t: i for i, t in enumerate(sorted(df))}
+        counts = np.array([df[t] for t in sorted(df)], np.float64)
+        self.idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
+        place = {q: i for i, q in enumerate(asked)}
+        self.weights = np.zeros((len(df), len(asked)))
+        for query, size, term, tf in block:
+            if term in self.number:
+                at = self.number[term]
+                self.weights[at, place[query]] = self.idf[at] * self._saturated(tf, size)
+
+    def _saturated(self, tf, size):
+        return tf * (self.p.k1 + 1.0) / (tf + self.p.k1 * (1.0 - self.p.b + self.p.b * size / self.mean))
+
+    def best(self, texts: list[list[str]], k: int) -> tuple[list[int], list[int], np.ndarray]:
+        """(row, query, score) of each query's k best texts, the earlier rows among equals; zeros are no hits."""
+        scores = np.zeros((len(texts), self.weights.shape[1]))
+        get = self.number.get
+        for i, own in enumerate(texts):
+            at = [n for n in map(get, own) if n is not None]
+            if at:
+                terms, tf = np.unique(np.array(at), return_counts=True)
+                scores[i] = (self.idf[terms] * self._saturated(tf, len(own))) @ self.weights[terms]
+        scores = np.round(scores, 6)
+        order = np.argsort(-scores, axis=0, kind="stable")[:k]
+        kept = np.take_along_axis(scores, order, 0)
+        rank, query = np.nonzero(kept)
+        return order[rank, query].tolist(), query.tolist(), kept[rank, query]
