@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The registry's namespaces, which differ in the last two digits.
+#: The registry's namespaces.
 NAMESPACES = {
-    kind: f"8f3e2a10-0000-4000-8000-0000000000{tail}"
-    for kind, tail in (("doc", "d1"), ("rev", "d2"), ("task", "d3"), ("extract", "d4"), ("unit", "d5"), ("chunk", "d6"), ("gen", "d7"), ("point", "d8"))
+    "doc": "8f3e2a10-0000-4000-8000-0000000000d1",
+    "rev": "8f3e2a10-0000-4000-8000-0000000000d2",
+    "task": "8f3e2a10-0000-4000-8000-0000000000d3",
+    "extract": "8f3e2a10-0000-4000-8000-0000000000d4",
+    "unit": "8f3e2a10-0000-4000-8000-0000000000d5",
+    "chunk": "8f3e2a10-0000-4000-8000-0000000000d6",
+    "gen": "8f3e2a10-0000-4000-8000-0000000000d7",
+    "point": "8f3e2a10-0000-4000-8000-0000000000d8",
 }
 
 
@@ -77,3 +83,9 @@ def units_fingerprint(position: Column, sha: Column) -> Column:
     pairs = F.array_sort(F.collect_list(F.struct(position.alias("at"), sha.alias("sha"))))
     listed = F.transform(pairs, lambda p: F.concat(F.lit("["), p["at"].cast("string"), F.lit(',"'), p["sha"], F.lit('"]')))
     return F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256)
+
+
+def chunk_fingerprint(units: Column, normalization_sha: Column | str, chunking_sha: Column | str) -> Column:
+    """What decides a run's chunks: its units' fingerprint and the settings of normalisation and chunking."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.sha2(F.concat_ws(":", units, lit(normalization_sha), lit(chunking_sha)), 256)

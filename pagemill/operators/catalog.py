@@ -192,3 +192,21 @@ def removal_counts(tables: dict[str, DataFrame], key: str, value) -> DataFrame:
         one = t.filter(F.col(key) == value).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         out = one if out is None else out.unionAll(one)
     return out
+
+
+def rekey(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """jobs (job_id, task_key, ...) with the task keys of wanted (job_id, task_key), but for keys that another job holds.
+
+    Of several jobs that want one key, the first by id gets it.
+    """
+    first = W.partitionBy("new_key").orderBy("job_id")
+    new = wanted.select("job_id", F.col("task_key").alias("new_key")).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    held = jobs.select(F.col("task_key").alias("new_key"))
+    free = new.join(held, "new_key", "left_anti")
+    return jobs.join(free, "job_id", "left").withColumn("task_key", F.coalesce("new_key", "task_key")).select(*jobs.columns)
+
+
+def without(rows: DataFrame, other: DataFrame, key: str, publications: DataFrame) -> DataFrame:
+    """(key) of rows with an active publication for which other has nothing yet."""
+    live = publications.filter("state = 'active'").select(key).distinct()
+    return rows.select(key).distinct().join(live, key, "left_semi").join(other.select(key), key, "left_anti")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import ids
 from pagemill.functions.text import tokens
 
 
@@ -73,3 +74,21 @@ def stats_sha(frequencies: DataFrame, n: int, avgdl: float, k1: float = 1.5, b:
 def token_count(text: Column) -> Column:
     """The default counter of words; a model's own counter takes its place as a Column of the same kind."""
     return F.size(tokens(text))
+
+
+def build_points(chunks: DataFrame, vectors: DataFrame, sparse: DataFrame, model_revision: str, embedding_sha: str, stats_sha: str) -> DataFrame:
+    """(point_id, payload, dense, sparse) of chunks (chunk_id, run_id, rev_id, doc_id) under one generation.
+
+    vectors (chunk_id, vector), sparse (chunk_id, term, w); a chunk without a vector makes no point, one without known
+    terms an empty sparse part. Terms are numbered by their own hash and listed in the order of the terms.
+    """
+    gen = ids.generation_id(F.col("run_id"), embedding_sha, stats_sha)
+    own = chunks.select("chunk_id", "run_id", "rev_id", "doc_id", gen.alias("gen_id")).join(vectors.select("chunk_id", "vector"), "chunk_id")
+    listed = sparse.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("t"))
+    met = own.join(listed, "chunk_id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<struct<term: string, w: double>>")))
+    payload = F.struct(
+        "chunk_id", "rev_id", "doc_id", "run_id", "gen_id", ids.publication_id(F.col("rev_id"), F.col("gen_id")).alias("pub_id"),
+        F.lit(model_revision).alias("model_revision"), F.lit(embedding_sha).alias("embedding_sha"), F.lit(stats_sha).alias("stats_sha"),
+    )
+    weights = F.struct(F.transform("t", lambda x: ids.term_id(x["term"])).alias("indices"), F.transform("t", lambda x: x["w"]).alias("values"))
+    return met.select(ids.point_id(F.col("chunk_id"), F.col("gen_id")).alias("point_id"), payload.alias("payload"), F.col("vector").alias("dense"), weights.alias("sparse"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.operators.bm25 import search as bm25_search
 from pagemill.operators.bm25 import top
 from pagemill.settings import Search
 
@@ -118,3 +119,55 @@ def select_passages(candidates: DataFrame, s: Search = Search(), diversify: bool
 
     filled = scanned.select("query_id", F.aggregate(F.col("acc.later"), F.struct(F.col("acc.chosen").alias("chosen"), F.col("acc.used").alias("used")), fill).alias("acc"))
     return filled.select("query_id", F.posexplode("acc.chosen").alias("place", "x")).select("query_id", "x.chunk_id", "x.doc_id", "x.tokens", (F.col("place") + 1).alias("place"))
+
+
+#: Why a search has no dense side.
+NO_EMBEDDER = "embedding model not configured; sparse-only search"
+
+
+def search(questions: DataFrame, chunks: DataFrame, revisions: DataFrame, publications: DataFrame, vectors: DataFrame | None = None, only: Column | None = None, s: Search = Search()) -> tuple[DataFrame, DataFrame]:
+    """(passages, counts) of questions (query_id, text[, query]) over the visible chunks.
+
+    chunks (chunk_id, text, rev_id, doc_id, tokens[, epoch]), revisions (rev_id, doc_id, is_active), publications
+    (rev_id, state), vectors (chunk_id, vector). Without vectors, or without the questions' own (query), the search is
+    sparse only, and says so. only restricts the chunks, to one book or revision; that lets a book have every place.
+
+    passages (query_id, chunk_id, doc_id, tokens, place); counts (query_id, dense, sparse, fused, validated,
+    postvalidation_removed, reranked, selected, topup_rounds, degraded, degraded_reason), of every question.
+    """
+    visible = chunks.join(publications.filter("state = 'active'").select("rev_id").distinct(), "rev_id", "left_semi")
+    if only is not None:
+        visible = visible.filter(only)
+    by = ["epoch"] if "epoch" in chunks.columns else []
+    epoch = F.col("epoch").cast("string") if by else F.lit("")
+    degraded = vectors is None or "query" not in questions.columns
+    sparse = bm25_search(visible.select(*by, "chunk_id", "text"), questions.select("query_id", "text"), s.limit_cap, by)
+    lists = sparse.select("query_id", F.lit("sparse").alias("side"), epoch.alias("epoch"), "chunk_id", "rank")
+    if not degraded:
+        dense = dense_topk(vectors.join(visible.select("chunk_id"), "chunk_id", "left_semi"), questions.select("query_id", "query"), s.limit_cap)
+        lists = lists.unionByName(dense.select("query_id", F.lit("dense").alias("side"), F.lit("").alias("epoch"), "chunk_id", "rank"))
+    every = rounds(lists, s)
+    rows = chunks.select("chunk_id", "rev_id", "doc_id", "tokens")
+    valid = validate(every.join(rows, "chunk_id"), chunks, revisions, publications)
+    last = chosen_round(valid, every, s)
+    kept = valid.join(last, ["query_id", "round"])
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    passages = select_passages(kept.withColumn("rank", order), s, diversify=only is None)
+    fused = every.join(last, ["query_id", "round"]).groupBy("query_id", "round", "limit").agg(F.count("*").alias("fused"))
+    sides = lists.join(fused.select("query_id", "limit"), "query_id").filter("rank <= limit").groupBy("query_id").agg(*(F.count_if(F.col("side") == x).alias(x) for x in ("dense", "sparse")))
+    n = kept.groupBy("query_id").agg(F.count("*").alias("validated"))
+    chosen = passages.groupBy("query_id").agg(F.count("*").alias("selected"))
+    met = questions.select("query_id").join(fused, "query_id", "left").join(sides, "query_id", "left").join(n, "query_id", "left").join(chosen, "query_id", "left")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    counts = met.select(
+        "query_id", *(number(c).alias(c) for c in ("dense", "sparse", "fused", "validated")), (number("fused") - number("validated")).alias("postvalidation_removed"),
+        F.least(number("validated"), F.lit(s.rerank_max).cast("long")).alias("reranked"), number("selected").alias("selected"), F.coalesce(F.col("round") - 1, F.lit(0)).cast("int").alias("topup_rounds"),
+        F.lit(degraded).alias("degraded"), F.lit(NO_EMBEDDER if degraded else None).cast("string").alias("degraded_reason"),
+    )
+    return passages, counts
+
+
+def reranked(valid: DataFrame, score: Column, s: Search = Search()) -> DataFrame:
+    """valid (query_id, chunk_id, rank, ...) with ranks by a reranker's score, of the rerank_max first ones only."""
+    kept = valid.filter(F.col("rank") <= s.rerank_max)
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(score.desc(), "rank", "chunk_id")))

@@ -17,7 +17,8 @@ from pagemill.settings import Jobs
 
 OPEN = ("pending", "running", "retryable_failed")
 PARKED = "book_budget_parked"
-PERMANENT = ("encrypted_pdf", "corrupt_source", "unsupported_format", "unsafe_archive")
+#: Failures that the same bytes can only repeat.
+PERMANENT = ("encrypted", "corrupt", "invalid_source", "missing_source", "ocr_unavailable", "ocr_language_missing", "missing_run", "missing_unit", "run_failed", "invalid_range")
 
 
 @dataclass
@@ -106,9 +107,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, STATE_SCHEMA)
 
 
-def backoff(attempt: Column, j: Jobs = Jobs(), jitter: Column | None = None) -> Column:
-    """Seconds until the next try; jitter from -1 to 1 spreads them."""
-    plain = F.least(F.lit(j.backoff_cap_s), F.lit(j.backoff_base_s) * F.pow(F.lit(2.0), attempt - 1))
+def backoff(attempts: Column, j: Jobs = Jobs(), jitter: Column | None = None) -> Column:
+    """Seconds until the next try after so many; jitter from 0 to 1 lengthens them by up to a fifth."""
+    plain = F.least(F.lit(j.backoff_cap_s), F.lit(j.backoff_base_s) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempts - 1)))
     return plain if jitter is None else plain * (1 + F.lit(j.jitter) * jitter)
 
 

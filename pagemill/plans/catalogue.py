@@ -1,9 +1,9 @@
 """Registered queries and their oracle SQL, from the modules of this folder."""
 
-from pagemill.plans import documents, library, reporting, retrieval
+from pagemill.plans import documents, library, operations, reporting, retrieval
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (retrieval, documents, library, reporting):
+for _module in (retrieval, documents, library, reporting, operations):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -64,7 +64,8 @@ def header_footer_lines(spark, sf_dir):
 @query()
 def normalize_text(spark, sf_dir):
     done = pages.normalized(pages.removed_ranges(_pages(spark, sf_dir)))
-    return done.select("book", "position", F.sha2("searchable", 256).alias("sha256"), F.length("searchable").alias("n_chars"), F.size("spans").alias("n_spans"))
+    n = F.aggregate("runs", F.lit(0), lambda acc, r: acc + r["n"])
+    return done.select("book", "position", F.sha2("searchable", 256).alias("sha256"), F.length("searchable").alias("n_chars"), n.alias("n_spans"))
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
@@ -101,10 +102,28 @@ def chunk_stats(spark, sf_dir):
     )
 
 
-@query()
+def _xhtml(spark, sf_dir) -> DataFrame:
+    """(page_id, html): every document as XHTML with things to be cut out; every tenth isn't well-formed."""
+    d = _docs(spark, sf_dir)
+    safe = F.col("text")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(char), F.lit(entity))
+    paragraphs = F.array_join(F.transform(F.split(safe, "\n"), lambda t, i: F.concat(F.lit('<p id="p" onclick="x()">'), t, F.lit("</p><script>var y;</script>"))), "")
+    end = F.when(F.col("doc_id") % 10 == 9, F.lit("</div>")).otherwise(F.lit(""))
+    html = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title><style>p</style></head><body><h1>Book <em>'), "source", F.lit("</em></h1>"), paragraphs, F.lit("<ul><li>last</li></ul>"), end, F.lit("</body></html>"))
+    return d.select(F.col("doc_id").alias("page_id"), html.alias("html"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, doc_id % 10 = 9 OR regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS bad,
+  list_concat(['Book ' || source], list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda t: trim(t, ' ' || chr(9) || chr(160))), lambda t: t <> ''), ['last']) AS p FROM documents)
+SELECT doc_id AS page_id, CASE WHEN NOT bad THEN 'Book ' || source END AS title, CASE WHEN bad THEN 'bad_html' ELSE '' END AS flags, CASE WHEN bad THEN 0 ELSE len(p) END::INT AS n_paragraphs,
+  CASE WHEN bad THEN 0 ELSE length(array_to_string(p, '')) END::INT AS char_count, CASE WHEN NOT bad THEN 'a' || lpad((len(p) - 1)::VARCHAR, 4, '0') END AS last_anchor, sha256(CASE WHEN bad THEN '' ELSE array_to_string(p, '|') END) AS paragraphs_sha256 FROM d""")
 def page_paragraphs(spark, sf_dir):
-    s = markup.sections(table(spark, sf_dir, "pages"))
-    return s.select("page_id", "title", F.array_join("flags", ",").alias("flags"), F.size("paragraphs").alias("n_paragraphs"), "char_count")
+    s = markup.sections(_xhtml(spark, sf_dir))
+    joined = F.array_join(F.transform("paragraphs", lambda p: p["text"]), "|")
+    return s.select(
+        "page_id", "title", F.array_join("flags", ",").alias("flags"), F.size("paragraphs").alias("n_paragraphs"), "char_count", F.try_element_at("paragraphs", F.lit(-1))["anchor"].alias("last_anchor"), F.sha2(joined, 256).alias("paragraphs_sha256")
+    )
 
 
 @query()
@@ -226,7 +245,7 @@ def verdicts(spark, sf_dir):
 
 PARAGRAPHS = """p AS (SELECT doc_id AS unit_id, u AS text, i - 1 AS position FROM (SELECT doc_id, unnest(parts) AS u, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
 bounds AS (SELECT unit_id, position, coalesce(sum(length(text) + 2) OVER w, 0)::BIGINT AS s, length(text) AS n FROM p WINDOW w AS (PARTITION BY unit_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-o AS (SELECT doc_id AS unit_id, k * 97 AS "offset" FROM documents, generate_series(0, 9) g(k))"""
+o AS (SELECT doc_id AS unit_id, k * 97 AS "offset" FROM (SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0) // 97)) AS k FROM documents))"""
 
 
 @query(f"""WITH {PARAGRAPHS} SELECT o.unit_id, o."offset", CASE WHEN position IS NOT NULL THEN 'a' || lpad(position::VARCHAR, 4, '0') END AS anchor
@@ -234,11 +253,11 @@ FROM o LEFT JOIN bounds b ON o.unit_id = b.unit_id AND o."offset" >= s AND o."of
 def anchor_lookup(spark, sf_dir):
     d = _docs(spark, sf_dir)
     p = d.select(F.col("doc_id").alias("unit_id"), F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("anchor", F.format_string("a%04d", "position"))
-    o = d.select(F.col("doc_id").alias("unit_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(873).cast("long"), F.lit(97).cast("long"))).alias("offset"))
+    o = d.select(F.col("doc_id").alias("unit_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.length("text") - 1, F.lit(0)).cast("long"), F.lit(97).cast("long"))).alias("offset"))
     return evidence.anchors(o, p)
 
 
-@query("""WITH spans AS (SELECT doc_id AS query_id, doc_id % 12 + 1 AS place, doc_id AS chunk_id, lang AS rev_id, list_filter([doc_id, doc_id + 1, doc_id + 3], lambda x: x % 5 <> 0) AS us, doc_id AS first FROM documents WHERE doc_id % 10 = 0),
+@query("""WITH spans AS (SELECT doc_id AS query_id, doc_id % 12 + 1 AS place, doc_id AS chunk_id, lang AS rev_id, list_filter([doc_id, doc_id + 1, doc_id + 3], lambda x: x % 5 <> 0) AS us, doc_id AS first FROM documents),
 e AS (SELECT query_id, unnest([query_id, query_id + 1, query_id + 3]) AS unit_id, unnest([0, 1, 2]) AS pos FROM spans),
 k AS (SELECT query_id, pos, e.unit_id, d.source, d.n_chars FROM e JOIN documents d ON d.doc_id = e.unit_id WHERE e.unit_id % 5 <> 0),
 g AS (SELECT query_id, list(unit_id % 100 + 1 ORDER BY pos) AS pages, list(source ORDER BY pos) AS labels, list_sort(list_distinct(list(CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END))) AS flags, min_by(unit_id, pos) AS u FROM k GROUP BY query_id)

@@ -79,12 +79,12 @@ def urgent_job(spark, sf_dir):
 SPREAD = JOBS.replace("user_id % 5 + event_id % 2 * 0", "event_id % 5").replace("event_id * 7 % 8", "event_id // 5 * 7 % 8")
 
 
-@query(f"""WITH {SPREAD}, k AS (SELECT * FROM j WHERE job_id % 40 = rev_id % 40 OR state = 'succeeded'), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rev_id, stage ORDER BY {RANK} DESC, job_id) AS n FROM k) WHERE n = 1),
+@query(f"""WITH {SPREAD}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rev_id, stage ORDER BY {RANK} DESC, job_id) AS n FROM j) WHERE n = 1),
 s AS (SELECT rev_id, max_by(stage, job_id) FILTER (WHERE state LIKE '%failed') AS fs, max_by(detail, job_id) FILTER (WHERE state LIKE '%failed') AS fd, min(stage) FILTER (WHERE state = 'running') AS rs,
   bool_or(state = 'pending') AS w, bool_or(stage = 'extract' AND state = 'succeeded') AS x FROM u GROUP BY rev_id)
 SELECT c_custkey AS rev_id, CASE WHEN fd = 'book_budget_parked' THEN 'parked' WHEN fs IS NOT NULL THEN 'failed' WHEN rs IS NOT NULL THEN 'processing' WHEN w THEN 'queued'
   WHEN x THEN CASE WHEN c_custkey % 4 = 0 THEN 'superseded' WHEN c_custkey % 3 = 0 THEN 'published' ELSE 'processing' END ELSE 'unknown' END AS status, coalesce(fs, rs) AS stage
-FROM customer LEFT JOIN s ON rev_id = c_custkey WHERE c_custkey <= 200""")
+FROM customer LEFT JOIN s ON rev_id = c_custkey""")
 def manual_selection_status(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rev_id"))
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
@@ -182,9 +182,9 @@ def latency_percentiles(spark, sf_dir):
 WORDS = "regexp_extract_all(translate(lower({t}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
 
 
-@query(f"""WITH s AS (SELECT doc_id AS rev_id, {WORDS.format(t='text')} AS w FROM documents WHERE n_chars < 2000), size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s),
+@query(f"""WITH s AS (SELECT doc_id AS rev_id, {WORDS.format(t='text')} AS w FROM documents), size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s),
 tf AS (SELECT rev_id, any_value(len) AS len, term, count(*) AS tf FROM (SELECT rev_id, len(w) AS len, unnest(w) AS term FROM s) GROUP BY rev_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format(t='text')}) AS term FROM benchmark WHERE item_id < 10),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format(t='text')}) AS term FROM benchmark),
 sc AS (SELECT query_id, rev_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), size GROUP BY query_id, rev_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, rev_id) AS rank FROM sc) WHERE rank <= 10""")
 def keyword_search(spark, sf_dir):
@@ -193,12 +193,32 @@ def keyword_search(spark, sf_dir):
     return reports.keyword_search(s, q)
 
 
-@query()
+@query("""WITH p AS (SELECT source AS book, text, row_number() OVER b - 1 AS idx, count(*) OVER (PARTITION BY source) AS n, first_value(length(text)) OVER b AS first FROM documents WINDOW b AS (PARTITION BY source ORDER BY doc_id)),
+k AS (SELECT *, least(16, (n - 2) // 2) AS k FROM p),
+m AS (SELECT DISTINCT book, n, k, 1 + round_even((n - 1) * i / (k + 1.0::DOUBLE), 0)::BIGINT AS idx FROM (SELECT book, n, k, unnest(generate_series(1, k)) AS i FROM (SELECT DISTINCT book, n, k FROM k WHERE n > 2 AND k > 0))),
+parts AS (SELECT book, 0 AS ord, substr(text, 1, 4000) AS part FROM k WHERE idx = 0
+  UNION ALL SELECT book, idx, substr(text, 1, greatest(128, (16000 - least(first, 4000) - 4000) // k)::BIGINT) FROM k JOIN m USING (book, n, k, idx)
+  UNION ALL SELECT book, n, right(text, 4000) FROM k WHERE n > 1 AND idx = n - 1),
+j AS (SELECT book, left(string_agg(part, chr(10) || chr(10) ORDER BY ord), 16000) AS sample FROM parts GROUP BY book)
+SELECT book, length(sample)::INT AS n_chars, sha256(sample) AS sha256 FROM j""")
 def summary_sample(spark, sf_dir):
     c = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("position"), "text")
     return reports.summary_sample(c).select("book", F.length("sample").alias("n_chars"), F.sha2("sample", 256).alias("sha256"))
 
 
+CATEGORIES = (*jobs.PERMANENT, "ocr_error", "ocr_timeout", "io_error")
+
+
+@query(f"""SELECT event_id, {list(CATEGORIES)}[event_id % {len(CATEGORIES)} + 1] AS category, event_id % {len(CATEGORIES)} < {len(jobs.PERMANENT)} AS permanent,
+  round(least(300.0::DOUBLE, power(2.0::DOUBLE, greatest(0, event_id % 12 - 1))) * (1 + 0.2::DOUBLE * (event_id % 7) / 6), 6) AS delay FROM events""")
+def retry_policy(spark, sf_dir):
+    """What a failed job's category and tries lead to; the jitter is given, so that it can be checked."""
+    e = table(spark, sf_dir, "events")
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("event_id") % len(CATEGORIES) + 1).cast("int"))
+    delay = jobs.backoff(F.col("event_id") % 12, jitter=(F.col("event_id") % 7) / 6)
+    return e.select("event_id", category.alias("category"), jobs.is_permanent(category).alias("permanent"), F.round(delay, 6).alias("delay"))
+
+
 def job_events(spark, sf_dir) -> DataFrame:
     """A job per user: enqueued, then claimed and ended in turn."""
     e = table(spark, sf_dir, "events")

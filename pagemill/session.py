@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -30,12 +34,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and keep their Arrow batches small.
 
-    Batches hold at most 1,000 rows, so that a run of very long texts stays within a worker's memory.
+    Batches hold at most 1,000 rows and about 16 MB, so that a run of very long texts stays within a worker's memory.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
@@ -45,7 +50,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the folder in spark.checkpoint.dir, or one of the test's own if that is unset."""
+    """Make checkpoint() usable: the folder in spark.checkpoint.dir, which all executors share.
+
+    Only a local session, as in tests, gets a folder of its own where that is unset; a cluster gets an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pagemill-checkpoints")
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pagemill-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
