@@ -98,14 +98,14 @@ _FACTORS = _FACTORS | np.uint64(1)
 
 
 def bands(distinct: np.ndarray) -> list[int]:
-    """A value per band, of the least of a set's hashes under each of ROWS orders; zeros for an empty set."""
+    """A value per band, of the least of a set's hashes under each of ROWS orders; its number for an empty set."""
     if not len(distinct):
-        return [0] * BANDS
+        return list(range(BANDS))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(distinct), 4096):
         own = (distinct[at : at + 4096] ^ _SALTS) * _FACTORS
         np.minimum(least, (own ^ own >> np.uint64(32)).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), 42) for row in least.reshape(BANDS, ROWS)]
+    return [xxhash.xxh64_intdigest(row.tobytes(), 42 + i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def with_sketches(docs: DataFrame, width: int, prints: int, only: tuple[str, ...]) -> DataFrame:
@@ -132,8 +132,8 @@ def with_sketches(docs: DataFrame, width: int, prints: int, only: tuple[str, ...
 
 def similar(pairs: DataFrame, owners: DataFrame, width: int, least: float) -> DataFrame:
     """Those of pairs (a, b) whose texts in owners (node, text) share at least that part of all their distinct shingles."""
-    for side in ("a", "b"):
-        pairs = pairs.join(owners.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
+    for side in ("b", "a"):  # the owners are dealt by node once, for both
+        pairs = pairs.join(owners.hint("merge"), F.col(side) == F.col("node")).drop("node").withColumnRenamed("text", f"text_{side}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("simhash", dict)
@@ -222,20 +222,31 @@ def links(nodes: DataFrame, radius: int = 4, segments: int = 3, crowd: int = 64,
     return pairs.union(stars)
 
 
+#: Links that one task may hold: 16 MB.
+FEW = 1 << 20
+
+
 def spread(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of edges (a, b) reaches, by large-star and small-star rounds."""
+    """(node, root): the smallest node that each node of edges (a, b) reaches, by large-star and small-star rounds.
+
+    Up to FEW links the rounds run in one partition and need no shuffle; beyond that they are dealt by node.
+    """
     durable(edges.sparkSession)
     edges = edges.select("a", "b").distinct().checkpoint()
+    if edges.count() <= FEW:
+        edges = edges.coalesce(1)
     before = None
     while True:
         # Large star: larger neighbours of a node move to its smallest neighbour (itself included).
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if edges.rdd.getNumPartitions() == 1 else both
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least.hint("merge"), "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # Small star: smaller neighbours of a node, and the node, move to the smallest of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least.hint("merge"), "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a <> b")
-        edges = small.union(least.select(F.col("m").alias("a"), "b")).distinct().checkpoint()
+        together = small.union(least.select(F.col("m").alias("a"), "b"))
+        edges = (together.coalesce(1) if edges.rdd.getNumPartitions() == 1 else together).distinct().checkpoint()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -286,11 +297,11 @@ def shared_links(own: DataFrame, roots: DataFrame, prints: int, radius: int, seg
 
 
 def _parted(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (band, key, node, root, main) of the entries that links don't join whole; main is the root of the smallest."""
-    of = entries.join(roots.hint("merge"), entries["node"] == roots["node"], "left").select("band", "key", entries["node"], "least", F.coalesce("root", entries["node"]).alias("root"))
-    place = W.partitionBy("band", "key")
+    """Members (key, node, root, main) of the entries that links don't join whole; main is the root of the smallest."""
+    of = entries.join(roots.hint("merge"), entries["node"] == roots["node"], "left").select("key", entries["node"], "least", F.coalesce("root", entries["node"]).alias("root"))
+    place = W.partitionBy("key")
     of = of.withColumn("main", F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(place)).withColumn("stray", F.max((F.col("root") != F.col("main")).cast("int")).over(place))
-    return of.filter("stray = 1").select("band", "key", "node", "root", "main").checkpoint()
+    return of.filter("stray = 1").select("key", "node", "root", "main").checkpoint()
 
 
 def _pair(one: str, other: str) -> list[Column]:
@@ -299,7 +310,7 @@ def _pair(one: str, other: str) -> list[Column]:
 
 def _beside(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): unlinked members of an entry that stand side by side in an order of its band; as many as members."""
-    order = W.partitionBy("band", "key").orderBy(F.xxhash64("node", "band"))
+    order = W.partitionBy("key").orderBy(F.xxhash64("node", "key"))
     before = [F.lag(F.struct(F.col("node").alias("other"), F.col("root").alias("other_root")), i).over(order) for i in (1, 2, 3)]
     met = _parted(entries, roots).select("node", "root", F.array(*before).alias("before")).select("node", "root", F.inline("before")).filter("root <> other_root")
     return met.select(*_pair("node", "other")).distinct()
@@ -308,8 +319,8 @@ def _beside(entries: DataFrame, roots: DataFrame) -> DataFrame:
 def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): all unlinked members of an entry, of which one at least isn't linked with its smallest."""
     of = _parted(entries, roots)
-    stray = of.filter("root <> main").select("band", "key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    met = of.join(stray.hint("merge"), ["band", "key"]).filter("root <> other_root")
+    stray = of.filter("root <> main").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    met = of.join(stray.hint("merge"), ["key"]).filter("root <> other_root")
     return met.select(*_pair("node", "other")).distinct()
 
 
@@ -349,32 +360,37 @@ def keep_first(docs: DataFrame, radius: int = 4, segments: int | None = None, wi
     keyed = docs.withColumn(row, row_hash(docs))
     own = with_sketches(keyed.select("doc_id", row, "text"), width, prints, ("doc_id", row)).checkpoint()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("first")
-    nodes = own.groupBy("node").agg(first, F.first("bands").alias("bands")).checkpoint()
-    place = W.partitionBy("band", "key")
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    names = ["fp", *(f"fp{i}" for i in range(1, prints))]
+    nodes = own.groupBy("node").agg(first, *(F.first(c).alias(c) for c in (*names, "bands"))).checkpoint()
+    sketches = nodes.select("node", *names)
+    # A band's key is salted by the band, so keys alone tell entries apart.
+    place = W.partitionBy("key")
+    entries = nodes.select("node", F.explode("bands").alias("key"))
     entries = entries.withColumn("least", F.min("node").over(place)).withColumn("most", F.max("node").over(place)).filter("least <> most").drop("most").checkpoint()
     stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    sketches = own.drop("doc_id", row, "bands").distinct()
+    tried = stars.distinct().checkpoint()
     met = (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in pairs, each once."""
+        """(node, text) of the nodes in pairs, each once. Few keys are sent to the texts; many meet them in a shuffle."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         at = ends.join(nodes.hint("merge"), "node").select("node", F.col("first.doc_id").alias(id_), F.col("first.row").alias(key))
-        return keyed.select("doc_id", row, "text").join(at.hint("merge"), met).select("node", "text").dropDuplicates(["node"])
+        at = F.broadcast(at) if pairs.count() <= FEW // 2 else at.hint("merge")
+        return keyed.select("doc_id", row, "text").join(at, met).select("node", "text").dropDuplicates(["node"])
 
-    tried = stars.distinct().checkpoint()
     # What the bands show is linked first; then no step needs what is of one root already.
-    roots = spread(similar(tried, texts_of(tried), width, least))
+    owners = texts_of(tried).checkpoint()
+    roots = spread(similar(tried, owners, width, least))
     steps = (
-        lambda: shared_links(sketches, roots, prints, radius, segments or segments_for(nodes)),
-        lambda: _beside(entries, roots),
-        lambda: _apart(entries, roots),
+        (lambda: shared_links(sketches, roots, prints, radius, segments or segments_for(nodes)), texts_of),
+        # Members of entries all have a star's pair, so their texts are there.
+        (lambda: _beside(entries, roots), lambda _: owners),
+        (lambda: _apart(entries, roots), lambda _: owners),
     )
-    for step in steps:
+    for step, texts_for in steps:
         more = step().join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
         if not more.isEmpty():
-            tried, linked = tried.union(more), similar(more, texts_of(more), width, least)
+            tried, linked = tried.union(more), similar(more, texts_for(more), width, least)
             # Links between roots are enough, and few.
             for side in ("a", "b"):
                 of = roots.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}"))
