@@ -15,21 +15,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill.functions.text import tokens
+from pagemill.session import durable
 from pagemill.settings import Bm25
 
 
+def words(text: str | None) -> list[str]:
+    """The same as tokens(), in Python."""
+    return text.lower().split() if text else []
+
+
+def sendable(frequencies: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """frequencies, kept, and broadcast where they are so few terms that an executor holds them."""
+    durable(frequencies.sparkSession)
+    kept = frequencies.checkpoint()
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def term_counts(texts: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
     """(key, len, term, tf): one row per text and term. The counts are made inside the row: no shuffle."""
     keys = [key] if isinstance(key, str) else key
-    listed = texts.select(*keys, tokens(F.col(text)).alias("tokens"))
+    listed = texts.select(*keys, F.col(text))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.select(*keys).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, size, term, tf = [], [], [], []
-            for i, own in enumerate(batch.column(len(keys)).to_pylist()):
+            for i, own in enumerate(map(words, batch.column(len(keys)).to_pylist())):
                 if own:
                     counted = Counter(own)
                     term += counted
@@ -126,32 +140,54 @@ CELLS, TERMS = 8 << 20, 1 << 20
 def _question_blocks(queries: DataFrame) -> list[list[tuple]]:
     """The queries' (query_id, len, term, tf), in blocks of which each has a table of bounded size.
 
-    Queries are a stated set; their terms come to the driver one query after the other, and no more than fit.
+    Queries are a stated set: they come to the driver one after the other.
     """
     blocks: list[list[tuple]] = [[]]
     terms: set[str] = set()
-    ids: set = set()
-    own: list[tuple] = []
-
-    def close() -> None:
-        nonlocal terms, ids
-        if not own:
-            return
-        more = terms | {r[2] for r in own}
-        if blocks[-1] and (len(more) * (len(ids) + 1) > CELLS or len(more) > TERMS):
+    n = 0
+    for query, text in queries.select("query_id", "text").toLocalIterator():
+        counted = Counter(words(text))
+        if not counted:
+            continue
+        more = terms | counted.keys()
+        if blocks[-1] and (len(more) * (n + 1) > CELLS or len(more) > TERMS):
             blocks.append([])
-            more, ids = {r[2] for r in own}, set()
-        terms = more
-        ids.add(own[0][0])
-        blocks[-1].extend(own)
-        own.clear()
+            more, n = set(counted), 0
+        terms, n = more, n + 1
+        blocks[-1] += [(query, counted.total(), t, k) for t, k in counted.items()]
+    return [b for b in blocks if b]
 
-    for r in term_counts(queries, "query_id").orderBy("query_id").toLocalIterator():
-        if own and own[0][0] != r["query_id"]:
-            close()
-        own.append((r["query_id"], r["len"], r["term"], r["tf"]))
-    close()
-    return blocks if blocks[-1] else []
+
+def _statistics(chunks: DataFrame, by: list[str], terms: list[str]) -> dict[tuple, tuple[int, float, dict[str, int]]]:
+    """By epoch: n, avgdl and the document frequencies of terms, in one pass; as many rows as terms and epochs come back."""
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in chunks.select(*by).schema)
+    wanted = chunks.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: dict[tuple, Counter] = defaultdict(Counter)
+        size: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+        for batch in batches:
+            epochs = zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True) if by else [()] * batch.num_rows
+            for e, text in zip(epochs, batch.column(len(by)).to_pylist(), strict=True):
+                own = words(text)
+                size[e][0] += 1
+                size[e][1] += len(own)
+                df[e].update(wanted.value.intersection(own))
+        rows = [(*e, t, n, 0) for e, counted in df.items() for t, n in counted.items()] + [(*e, None, n, total) for e, (n, total) in size.items()]
+        if rows:
+            names = [*by, "term", "n", "total"]
+            types = [*(batch.schema.field(i).type for i in range(len(by))), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    found = chunks.select(*by, "text").mapInArrow(run, f"{kinds}term string, n long, total long").groupBy(*by, "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    out: dict[tuple, list] = defaultdict(lambda: [0, 0.0, {}])
+    for r in found.collect():
+        own = out[tuple(r[c] for c in by)]
+        if r["term"] is None:
+            own[0], own[1] = r["n"], r["total"] / r["n"]
+        else:
+            own[2][r["term"]] = r["n"]
+    return {e: tuple(v) for e, v in out.items()}
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 20, by: list[str] = [], p: Bm25 = Bm25()) -> DataFrame:  # noqa: B006
@@ -165,36 +201,30 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 20, by: list[str] = [
     own = chunks.select(*by, "chunk_id", "text")
     kinds = {f.name: f.dataType for f in own.schema} | {"query_id": queries.schema["query_id"].dataType}
     schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in (*by, "query_id", "chunk_id")) + ", score double"
+    query_type = to_arrow_type(kinds["query_id"])
     found = None
     for block in _question_blocks(queries):
         terms = sorted({r[2] for r in block})
         asked = sorted({r[0] for r in block})
-        wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-        frequencies = document_frequencies(own, by).join(F.broadcast(wanted), "term", "left_semi").collect()
-        epochs: dict[tuple, tuple] = {}
-        for r in corpus_size(own, by).collect():
-            epochs[tuple(r[c] for c in by)] = (r["n"], r["avgdl"], {})
-        for r in frequencies:
-            epochs[tuple(r[c] for c in by)][2][r["term"]] = r["df"]
+        epochs = _statistics(own, by, terms)
         shared = spark.sparkContext.broadcast({e: _Block(block, asked, *stats, p) for e, stats in epochs.items() if stats[0]})
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, asked=asked) -> Iterator[pa.RecordBatch]:
-            query_type = pa.array(asked).type
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, asked=asked, query_type=query_type) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 groups: dict[tuple, list[int]] = defaultdict(list)
                 for i, e in enumerate(zip(*(batch.column(n).to_pylist() for n in range(len(by))), strict=True) if by else [()] * batch.num_rows):
                     groups[e].append(i)
-                ids, listed = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist()
+                ids, texts = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist()
                 for e, rows in groups.items():
                     if e not in shared.value:
                         continue
                     rows.sort(key=lambda i: (ids[i] is None, ids[i]))
-                    row, query, score = shared.value[e].best([listed[i] or () for i in rows], k)
+                    row, query, score = shared.value[e].best([words(texts[i]) for i in rows], k)
                     at = pa.array([rows[i] for i in row], pa.int32())
                     picked = [batch.column(n).take(at) for n in range(len(by))]
                     yield pa.RecordBatch.from_arrays([*picked, pa.array([asked[q] for q in query], query_type), batch.column(len(by)).take(at), pa.array(score)], [*by, "query_id", "chunk_id", "score"])
 
-        scored = own.select(*by, "chunk_id", tokens(F.col("text")).alias("tokens")).mapInArrow(run, schema)
+        scored = own.mapInArrow(run, schema)
         found = scored if found is None else found.unionAll(scored)
     if found is None:
         found = spark.createDataFrame([], schema)

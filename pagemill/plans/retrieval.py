@@ -77,7 +77,7 @@ def corpus_stats(spark, sf_dir):
 SELECT chunk_id, term, w, rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY w DESC, term) AS rank FROM dw) WHERE rank <= 5""")
 def bm25_doc_weights(spark, sf_dir):
     own = chunks(spark, sf_dir)
-    weighted = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.document_frequencies(own), bm25.corpus_size(own)).withColumn("w", F.round("w", 6))
+    weighted = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.sendable(bm25.document_frequencies(own)), bm25.corpus_size(own)).withColumn("w", F.round("w", 6))
     return bm25.top(weighted, 5, ["chunk_id"], F.col("w"), "term").select("chunk_id", "term", "w", "rank")
 
 

@@ -99,7 +99,7 @@ def test_selection_is_the_greedy_scan(spark, seed):
 def test_quotas(spark):
     strata = spark.createDataFrame([("a", 50), ("b", 30), ("c", 1)], "stratum string, size long")
     got = {r.stratum: r.quota for r in sampling.quotas(strata, 20).collect()}
-    assert sum(got.values()) in (19, 20) and got["c"] == 1 and got["a"] > got["b"]
+    assert got == {"a": 12, "b": 7, "c": 1}
     assert sum(r.quota for r in sampling.quotas(strata, 2).collect()) == 2
 
 
@@ -128,13 +128,9 @@ def test_stream_gives_the_batch_result(spark, sf_dir, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     q = fold_stream(stream).writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.sql("select job_id, max_by(struct(state, attempts), attempts * 0 + rn) s from (select *, monotonically_increasing_id() rn from folded) group by job_id").count()
-    assert last == events.select("job_id").distinct().count()
-    want = {r.job_id: (r.state, r.attempts) for r in jobs.fold_events(events).collect()}
-    got: dict = {}
-    for r in spark.table("folded").collect():
-        got.setdefault(r.job_id, set()).add((r.state, r.attempts))
-    assert all(want[k] in got[k] for k in want)
+    want = {r.job_id: (r.state, r.attempts, r.due, r.detail) for r in jobs.fold_events(events).collect()}
+    got = {r.job_id: (r.state, r.attempts, r.due, r.detail) for r in spark.table("folded").collect()}  # in the order of the batches
+    assert got == want
 
 
 def test_discovery_sees_files_once(spark, tmp_path):
