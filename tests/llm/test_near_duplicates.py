@@ -68,3 +68,21 @@ def test_near_duplicate_stage_tells_rows_apart_by_where_nulls_stand(spark):
     assert kept.schema == docs.schema
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, [r for r in docs.collect() if r.text and r.text.strip()] + [r for r in docs.collect() if r.doc_id == 1 and r.text is None]))
     assert P.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_signatures_count_common_least_hashes(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from pagemill.llm import simhash
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:k], r.integers(0, 1 << 63, 400 - k, dtype=np.uint64)])) for k in (400, 390, 300, 0)] + [base[:0]]
+    rows = [[x - (1 << 64) if x >> 63 else x for x in simhash.bands(s)[1]] for s in sets]
+    got = spark.createDataFrame([(i, j, rows[i], rows[j]) for i in range(5) for j in range(5)], "i int, j int, a array<long>, b array<long>").select("i", "j", simhash.alike(F.col("a"), F.col("b")).alias("n")).collect()
+    for x in got:
+        a, b = (np.array(rows[k], np.int64).view(np.uint8).reshape(-1, 8)[:, :7].reshape(-1)[:120] for k in (x.i, x.j))
+        assert x.n == (a == b).sum()
+    near = {(x.i, x.j): x.n for x in got}
+    assert near[0, 0] == 120 and near[0, 1] > 100 and near[0, 3] < 20 and abs(near[0, 2] - 120 * 300 / 500) < 25
