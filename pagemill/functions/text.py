@@ -13,7 +13,7 @@ SPACE = r"\s\x1c-\x1f"
 
 def tokens(text: Column) -> Column:
     """Runs without white space, lower-cased; punctuation stays."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"((?U)[^{SPACE}]+)"), F.lit(1)), lambda t: F.lower(t))
+    return F.filter(F.split(F.lower(text), rf"(?U)[{SPACE}]+"), lambda t: t != "")
 
 
 def strip(text: Column) -> Column:

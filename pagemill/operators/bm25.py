@@ -56,9 +56,30 @@ def term_counts(texts: DataFrame, key: str | list[str], text: str = "text") -> D
     return listed.mapInArrow(run, f"{kinds}, len int, term string, tf long")
 
 
-def document_frequencies(texts: DataFrame, by: list[str] = [], text: str = "text") -> DataFrame:  # noqa: B006
-    """(by, term, df): how many texts hold each term; partial counts are made before the shuffle."""
-    return texts.select(*by, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+def document_frequencies(texts: DataFrame, by: list[str] = [], text: str = "text", held: int = 200_000) -> DataFrame:  # noqa: B006
+    """(by, term, df): how many texts hold each term; each task counts up to so many terms before it lets them go."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*by).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, Counter] = defaultdict(Counter)
+        types: list = []
+
+        def let_go() -> Iterator[pa.RecordBatch]:
+            for e, own in counts.items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(own), t) for x, t in zip(e, types, strict=True)), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], [*by, "term", "df"])
+            counts.clear()
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(by))]
+            epochs = zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True) if by else [()] * batch.num_rows
+            for e, own in zip(epochs, batch.column(len(by)).to_pylist(), strict=True):
+                counts[e].update(set(words(own)))
+            if sum(map(len, counts.values())) > held:
+                yield from let_go()
+        yield from let_go()
+
+    partial = texts.select(*by, text).mapInArrow(run, f"{kinds}{', ' if by else ''}term string, df long")
+    return partial.groupBy(*by, "term").agg(F.sum("df").alias("df"))
 
 
 def corpus_size(texts: DataFrame, by: list[str] = [], text: str = "text") -> DataFrame:  # noqa: B006
