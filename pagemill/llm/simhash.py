@@ -132,10 +132,10 @@ def alike(one: Column, other: Column) -> Column:
 
 
 def with_sketches(docs: DataFrame, width: int, prints: int, only: tuple[str, ...]) -> DataFrame:
-    """The columns in only, node (a digest of the text's set of shingles), fingerprints fp, fp1 ... bands and signature, as longs."""
+    """The columns in only, node (a digest of the text's set of shingles), fingerprints fp, fp1 ..., size of that set, bands and signature, as longs."""
     names = ["fp", *(f"fp{i}" for i in range(1, prints))]
     source = docs.select(*only, F.col("text").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*only).schema] + [f"`{n}` long" for n in ("node", *names)] + ["bands array<long>", "signature array<long>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*only).schema] + [f"`{n}` long" for n in ("node", *names, "size")] + ["bands array<long>", "signature array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("simhash", dict)
@@ -145,14 +145,14 @@ def with_sketches(docs: DataFrame, width: int, prints: int, only: tuple[str, ...
                 every = shingle_hashes(t, width)
                 distinct = np.unique(every)
                 of_bands, signature = bands(distinct)
-                made.append([xxhash.xxh64_intdigest(distinct.tobytes(), 42), *_majorities(every, prints), *of_bands, *signature])
-            values = np.array(made, np.uint64).reshape(-1, 1 + prints + BANDS + SIGNATURE).view(np.int64)
-            listed, at = [], 1 + prints
+                made.append([xxhash.xxh64_intdigest(distinct.tobytes(), 42), *_majorities(every, prints), len(distinct), *of_bands, *signature])
+            values = np.array(made, np.uint64).reshape(-1, 2 + prints + BANDS + SIGNATURE).view(np.int64)
+            listed, at = [], 2 + prints
             for size in (BANDS, SIGNATURE):
                 offsets = pa.array(np.arange(0, len(made) * size + 1, size, dtype=np.int32))
                 listed.append(pa.ListArray.from_arrays(offsets, pa.array(values[:, at : at + size].reshape(-1))))
                 at += size
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(values[:, i]) for i in range(1 + prints)), *listed], [*only, "node", *names, "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(values[:, i]) for i in range(2 + prints)), *listed], [*only, "node", *names, "size", "bands", "signature"])
 
     return source.mapInArrow(run, schema)
 
@@ -323,11 +323,11 @@ def shared_links(own: DataFrame, roots: DataFrame, prints: int, radius: int, seg
 
 
 def _parted(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, node, root, main) of the entries that links don't join whole; main is the root of the smallest."""
-    of = entries.join(roots.hint("merge"), entries["node"] == roots["node"], "left").select("key", entries["node"], "least", F.coalesce("root", entries["node"]).alias("root"))
+    """Members (key, band, node, root, main) of the entries that links don't join whole; main is the root of the smallest."""
+    of = entries.join(roots.hint("merge"), entries["node"] == roots["node"], "left").select("key", "band", entries["node"], "least", F.coalesce("root", entries["node"]).alias("root"))
     place = W.partitionBy("key")
     of = of.withColumn("main", F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(place)).withColumn("stray", F.max((F.col("root") != F.col("main")).cast("int")).over(place))
-    return of.filter("stray = 1").select("key", "node", "root", "main").checkpoint()
+    return of.filter("stray = 1").select("key", "band", "node", "root", "main").checkpoint()
 
 
 def _pair(one: str, other: str) -> list[Column]:
@@ -342,13 +342,21 @@ def _beside(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(*_pair("node", "other")).distinct()
 
 
-def _apart(entries: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(a, b): unlinked members of an entry, of which one at least isn't linked with its smallest, with like signatures."""
-    of = _parted(entries, roots).join(signatures.hint("merge"), "node").checkpoint()
-    stray = of.filter("root <> main").select(F.col("key").alias("__key"), F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("signature").alias("other_signature"))
-    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("other"))
-    met = of.join(stray.hint("merge"), (F.col("key") == F.col("__key")) & (F.col("root") != F.col("other_root")) & once & (alike(F.col("signature"), F.col("other_signature")) >= ALIKE))
-    return met.select(*_pair("node", "other")).distinct()
+def _apart(entries: DataFrame, roots: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b): unlinked members of an entry, of which one at least isn't linked with its smallest.
+
+    Only pairs whose sizes and signatures allow for that similarity, each in the first band in which both agree.
+    """
+    of = _parted(entries, roots).join(sketches.hint("merge"), "node").checkpoint()
+    other = [F.col(c).alias(f"other_{c}") for c in ("key", "node", "root", "size", "bands", "signature")]
+    stray = of.filter("root <> main").select(*other)
+    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("other_node"))
+    sizes = F.least("size", "other_size") >= least * F.greatest("size", "other_size")
+    before = F.zip_with(F.slice("bands", F.lit(1), F.col("band")), F.slice("other_bands", F.lit(1), F.col("band")), lambda x, y: x == y)
+    first = ~F.exists(before, lambda x: x)
+    near = alike(F.col("signature"), F.col("other_signature")) >= ALIKE
+    met = of.join(stray.hint("merge"), (F.col("key") == F.col("other_key")) & (F.col("root") != F.col("other_root")) & once & sizes & first & near)
+    return met.select(*_pair("node", "other_node")).distinct()
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -389,11 +397,11 @@ def keep_first(docs: DataFrame, radius: int = 4, segments: int | None = None, wi
     own = with_sketches(keyed.select("doc_id", row, "text"), width, prints, ("doc_id", row)).checkpoint()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("first")
     names = ["fp", *(f"fp{i}" for i in range(1, prints))]
-    nodes = own.groupBy("node").agg(first, *(F.first(c).alias(c) for c in (*names, "bands", "signature"))).checkpoint()
+    nodes = own.groupBy("node").agg(first, *(F.first(c).alias(c) for c in (*names, "size", "bands", "signature"))).checkpoint()
     sketches = nodes.select("node", *names)
     # A band's key is salted by the band, so keys alone tell entries apart.
     place = W.partitionBy("key")
-    entries = nodes.select("node", F.explode("bands").alias("key"))
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     entries = entries.withColumn("least", F.min("node").over(place)).withColumn("most", F.max("node").over(place)).filter("least <> most").drop("most").checkpoint()
     stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     tried = stars.distinct().checkpoint()
@@ -413,7 +421,7 @@ def keep_first(docs: DataFrame, radius: int = 4, segments: int | None = None, wi
         (lambda: shared_links(sketches, roots, prints, radius, segments or segments_for(nodes)), texts_of),
         # Members of entries all have a star's pair, so their texts are there.
         (lambda: _beside(entries, roots), lambda _: owners),
-        (lambda: _apart(entries, roots, nodes.select("node", "signature")), lambda _: owners),
+        (lambda: _apart(entries, roots, nodes.select("node", "size", "bands", "signature"), least), lambda _: owners),
     )
     for step, texts_for in steps:
         more = step().join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
