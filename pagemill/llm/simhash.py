@@ -323,11 +323,11 @@ def shared_links(own: DataFrame, roots: DataFrame, prints: int, radius: int, seg
 
 
 def _parted(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, band, node, root, main) of the entries that links don't join whole; main is the root of the smallest."""
-    of = entries.join(roots.hint("merge"), entries["node"] == roots["node"], "left").select("key", "band", entries["node"], "least", F.coalesce("root", entries["node"]).alias("root"))
+    """Members (key, node, root, main) of the entries that links don't join whole; main is the root of the smallest."""
+    of = entries.join(roots.hint("merge"), entries["node"] == roots["node"], "left").select("key", entries["node"], "least", F.coalesce("root", entries["node"]).alias("root"))
     place = W.partitionBy("key")
     of = of.withColumn("main", F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(place)).withColumn("stray", F.max((F.col("root") != F.col("main")).cast("int")).over(place))
-    return of.filter("stray = 1").select("key", "band", "node", "root", "main").checkpoint()
+    return of.filter("stray = 1").select("key", "node", "root", "main").checkpoint()
 
 
 def _pair(one: str, other: str) -> list[Column]:
@@ -345,17 +345,15 @@ def _beside(entries: DataFrame, roots: DataFrame) -> DataFrame:
 def _apart(entries: DataFrame, roots: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """(a, b): unlinked members of an entry, of which one at least isn't linked with its smallest.
 
-    Only pairs whose sizes and signatures allow for that similarity, each in the first band in which both agree.
+    Only pairs whose sizes and signatures allow for that similarity.
     """
     of = _parted(entries, roots).join(sketches.hint("merge"), "node").checkpoint()
-    other = [F.col(c).alias(f"other_{c}") for c in ("key", "node", "root", "size", "bands", "signature")]
+    other = [F.col(c).alias(f"other_{c}") for c in ("key", "node", "root", "size", "signature")]
     stray = of.filter("root <> main").select(*other)
     once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("other_node"))
     sizes = F.least("size", "other_size") >= least * F.greatest("size", "other_size")
-    before = F.zip_with(F.slice("bands", F.lit(1), F.col("band")), F.slice("other_bands", F.lit(1), F.col("band")), lambda x, y: x == y)
-    first = ~F.exists(before, lambda x: x)
     near = alike(F.col("signature"), F.col("other_signature")) >= ALIKE
-    met = of.join(stray.hint("merge"), (F.col("key") == F.col("other_key")) & (F.col("root") != F.col("other_root")) & once & sizes & first & near)
+    met = of.join(stray.hint("merge"), (F.col("key") == F.col("other_key")) & (F.col("root") != F.col("other_root")) & once & sizes & near)
     return met.select(*_pair("node", "other_node")).distinct()
 
 
@@ -401,7 +399,7 @@ def keep_first(docs: DataFrame, radius: int = 4, segments: int | None = None, wi
     sketches = nodes.select("node", *names)
     # A band's key is salted by the band, so keys alone tell entries apart.
     place = W.partitionBy("key")
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    entries = nodes.select("node", F.explode("bands").alias("key"))
     entries = entries.withColumn("least", F.min("node").over(place)).withColumn("most", F.max("node").over(place)).filter("least <> most").drop("most").checkpoint()
     stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     tried = stars.distinct().checkpoint()
@@ -421,7 +419,7 @@ def keep_first(docs: DataFrame, radius: int = 4, segments: int | None = None, wi
         (lambda: shared_links(sketches, roots, prints, radius, segments or segments_for(nodes)), texts_of),
         # Members of entries all have a star's pair, so their texts are there.
         (lambda: _beside(entries, roots), lambda _: owners),
-        (lambda: _apart(entries, roots, nodes.select("node", "size", "bands", "signature"), least), lambda _: owners),
+        (lambda: _apart(entries, roots, nodes.select("node", "size", "signature"), least), lambda _: owners),
     )
     for step, texts_for in steps:
         more = step().join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
