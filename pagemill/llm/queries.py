@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, decontaminate, langid, media, quality, secrets, sharding, simhash, tokencount
+from pagemill.llm import bpe, chat, decontaminate, langid, media, packing, periodic, quality, secrets, sharding, simhash, spelling, tokencount
 from pagemill.session import table
 
 
@@ -109,5 +109,17 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.stored(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_media_columns": op5_media_columns, "op4_language_id": op4_language_id, "op7_quality": op7_quality, "op1_decontamination": op1_decontamination, "op6_sharding": op6_sharding, "op3_secret_scan": op3_secret_scan, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op11_packing": op11_packing, "op12_periodic_runs": op12_periodic_runs, "op13_spelling_variants": op13_spelling_variants, "op5_media_columns": op5_media_columns, "op4_language_id": op4_language_id, "op7_quality": op7_quality, "op1_decontamination": op1_decontamination, "op6_sharding": op6_sharding, "op3_secret_scan": op3_secret_scan, "op8_token_counts": op8_token_counts, "op9_simhash": op9_simhash, "op2_chat_formatting": op2_chat_formatting, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL}
