@@ -71,9 +71,12 @@ class Encoder:
         layout = json.loads(library.to_str())
         self.added = [t["content"] for t in layout["added_tokens"]]
         suffix = layout["model"].get("end_of_word_suffix")
-        self.in_pieces = bool(suffix) and layout["normalizer"] == NORMALIZER and layout["pre_tokenizer"] == PRE_TOKENIZER
-        self.ends = np.zeros(library.get_vocab_size(), bool)
-        for token, i in library.get_vocab().items():
+        # Added tokens are looked for in the text itself, before it is normalised.
+        plain = bool(suffix) and not any(t["normalized"] for t in layout["added_tokens"])
+        self.in_pieces = plain and layout["normalizer"] == NORMALIZER and layout["pre_tokenizer"] == PRE_TOKENIZER
+        vocabulary = library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
 
     def pieces(self, text: str) -> list[str]:
