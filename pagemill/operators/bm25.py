@@ -27,11 +27,12 @@ def words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def sendable(frequencies: DataFrame, most: int = 1 << 21) -> DataFrame:
-    """frequencies, kept, and broadcast where they are so few terms that an executor holds them."""
+def sendable(frequencies: DataFrame, most: int = 128 << 20) -> DataFrame:
+    """frequencies, kept, and broadcast where they are so few bytes that an executor holds them."""
     durable(frequencies.sparkSession)
     kept = frequencies.checkpoint()
-    return F.broadcast(kept) if kept.count() <= most else kept
+    size = kept.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
+    return F.broadcast(kept) if size <= most else kept
 
 
 def term_counts(texts: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
@@ -56,35 +57,61 @@ def term_counts(texts: DataFrame, key: str | list[str], text: str = "text") -> D
     return listed.mapInArrow(run, f"{kinds}, len int, term string, tf long")
 
 
-def document_frequencies(texts: DataFrame, by: list[str] = [], text: str = "text", held: int = 200_000) -> DataFrame:  # noqa: B006
-    """(by, term, df): how many texts hold each term; each task counts up to so many terms before it lets them go."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*by).schema)
+def counted(texts: DataFrame, by: list[str] = [], sign: int = 1, text: str = "text", terms: bool = True, held: int = 200_000) -> DataFrame:  # noqa: B006
+    """(by, term, df, total) in one pass, in parts: how many texts hold each term.
+
+    The rows without a term have the number of texts and of their words. All numbers are multiplied by sign. A task counts
+    up to so many terms before it lets them go; without terms, it counts sizes alone.
+    """
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in texts.select(*by).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, Counter] = defaultdict(Counter)
+        df: dict[tuple, Counter] = defaultdict(Counter)
+        size: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
         types: list = []
 
+        def rows(e: tuple, term: list, n: list[int], total: list[int]) -> pa.RecordBatch:
+            keys = [pa.array([x] * len(term), t) for x, t in zip(e, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(term, pa.string()), pa.array([sign * x for x in n], pa.int64()), pa.array([sign * x for x in total], pa.int64())], [*by, "term", "df", "total"])
+
         def let_go() -> Iterator[pa.RecordBatch]:
-            for e, own in counts.items():
-                yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(own), t) for x, t in zip(e, types, strict=True)), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], [*by, "term", "df"])
-            counts.clear()
+            for e, own in df.items():
+                yield rows(e, list(own), list(own.values()), [0] * len(own))
+            df.clear()
 
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(len(by))]
             epochs = zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True) if by else [()] * batch.num_rows
-            for e, own in zip(epochs, batch.column(len(by)).to_pylist(), strict=True):
-                counts[e].update(set(words(own)))
-            if sum(map(len, counts.values())) > held:
+            for e, own in zip(epochs, map(words, batch.column(len(by)).to_pylist()), strict=True):
+                size[e][0] += 1
+                size[e][1] += len(own)
+                if terms:
+                    df[e].update(set(own))
+            if sum(map(len, df.values())) > held:
                 yield from let_go()
         yield from let_go()
+        for e, (n, total) in size.items():
+            yield rows(e, [None], [n], [total])
+
+    return texts.select(*by, text).mapInArrow(run, f"{kinds}term string, df long, total long")
+
 
-    partial = texts.select(*by, text).mapInArrow(run, f"{kinds}{', ' if by else ''}term string, df long")
-    return partial.groupBy(*by, "term").agg(F.sum("df").alias("df"))
+def document_frequencies(texts: DataFrame, by: list[str] = [], text: str = "text") -> DataFrame:  # noqa: B006
+    """(by, term, df): how many texts hold each term."""
+    return counted(texts, by, text=text).filter("term IS NOT NULL").groupBy(*by, "term").agg(F.sum("df").alias("df"))
 
 
 def corpus_size(texts: DataFrame, by: list[str] = [], text: str = "text") -> DataFrame:  # noqa: B006
     """(by, n, avgdl): one row, or one per epoch."""
-    return texts.groupBy(*by).agg(F.count("*").alias("n"), (F.sum(F.size(tokens(F.col(text)))) / F.count("*")).alias("avgdl"))
+    sizes = counted(texts, by, text=text, terms=False).groupBy(*by).agg(F.coalesce(F.sum("df"), F.lit(0).cast("long")).alias("n"), F.sum("total").alias("total"))
+    return sizes.select(*by, "n", F.try_divide("total", "n").alias("avgdl"))
+
+
+def sizes_and_frequencies(texts: DataFrame, by: list[str] = []) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """corpus_size and document_frequencies of one pass over the texts."""
+    durable(texts.sparkSession)
+    every = counted(texts, by).groupBy(*by, "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).checkpoint()
+    return every.filter("term IS NULL").select(*by, F.col("df").alias("n"), F.try_divide("total", "df").alias("avgdl")), every.filter("term IS NOT NULL").select(*by, "term", "df")
 
 
 def active_chunks(chunks: DataFrame, publications: DataFrame, include: DataFrame | None = None) -> DataFrame:
@@ -101,7 +128,8 @@ def active_chunks(chunks: DataFrame, publications: DataFrame, include: DataFrame
 def statistics(chunks: DataFrame, stats_sha: str) -> tuple[DataFrame, DataFrame]:
     """An epoch to store: (stats_sha, n, avgdl) and (stats_sha, term, df)."""
     mark = F.lit(stats_sha).alias("stats_sha")
-    return corpus_size(chunks).select(mark, "n", "avgdl"), document_frequencies(chunks).select(mark, "term", "df")
+    size, frequencies = sizes_and_frequencies(chunks)
+    return size.select(mark, "n", "avgdl"), frequencies.select(mark, "term", "df")
 
 
 def epoch_for(record: dict | None, settings_sha: str, active: bool, policy: str = "live") -> str | None:
@@ -211,18 +239,21 @@ def _statistics(chunks: DataFrame, by: list[str], terms: list[str]) -> dict[tupl
     return {e: tuple(v) for e, v in out.items()}
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 20, by: list[str] = [], p: Bm25 = Bm25()) -> DataFrame:  # noqa: B006
+def search(chunks: DataFrame, queries: DataFrame, k: int = 20, by: list[str] = [], p: Bm25 = Bm25(), only: Column | None = None) -> DataFrame:  # noqa: B006
     """Top k chunks of each query: (by, query_id, chunk_id, score, rank); scores are rounded to six decimals.
 
-    The corpus is read twice: for the statistics of the queries' terms, and to score. A chunk is scored where it lies,
-    against all queries of a block at once, and only each batch's k best of a query leave it: no posting and no
-    (query, chunk) pair is shuffled. Blocks hold as many queries as a table of bounded size does.
+    The statistics are of all chunks; only says which of them may be found, so a filter changes no score. The corpus is
+    read twice: for the statistics of the queries' terms, and to score. A chunk is scored where it lies, against all
+    queries of a block at once, and a task hands on its k best of each query when it has seen all its chunks: no posting
+    and no (query, chunk) pair is shuffled. Blocks hold as many queries as a table of bounded size does.
     """
     spark = chunks.sparkSession
     own = chunks.select(*by, "chunk_id", "text")
+    searched = own if only is None else chunks.filter(only).select(*by, "chunk_id", "text")
     kinds = {f.name: f.dataType for f in own.schema} | {"query_id": queries.schema["query_id"].dataType}
-    schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in (*by, "query_id", "chunk_id")) + ", score double"
-    query_type = to_arrow_type(kinds["query_id"])
+    names = [*by, "query_id", "chunk_id", "score"]
+    schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in names[:-1]) + ", score double"
+    types = [*(to_arrow_type(kinds[c]) for c in names[:-1]), pa.float64()]
     found = None
     for block in _question_blocks(queries):
         terms = sorted({r[2] for r in block})
@@ -230,28 +261,59 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 20, by: list[str] = [
         epochs = _statistics(own, by, terms)
         shared = spark.sparkContext.broadcast({e: _Block(block, asked, *stats, p) for e, stats in epochs.items() if stats[0]})
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, asked=asked, query_type=query_type) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, asked=asked) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple, _Best] = {}
             for batch in batches:
                 groups: dict[tuple, list[int]] = defaultdict(list)
                 for i, e in enumerate(zip(*(batch.column(n).to_pylist() for n in range(len(by))), strict=True) if by else [()] * batch.num_rows):
                     groups[e].append(i)
                 ids, texts = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist()
                 for e, rows in groups.items():
-                    if e not in shared.value:
-                        continue
-                    rows.sort(key=lambda i: (ids[i] is None, ids[i]))
-                    row, query, score = shared.value[e].best([words(texts[i]) for i in rows], k)
-                    at = pa.array([rows[i] for i in row], pa.int32())
-                    picked = [batch.column(n).take(at) for n in range(len(by))]
-                    yield pa.RecordBatch.from_arrays([*picked, pa.array([asked[q] for q in query], query_type), batch.column(len(by)).take(at), pa.array(score)], [*by, "query_id", "chunk_id", "score"])
-
-        scored = own.mapInArrow(run, schema)
+                    if e in shared.value:
+                        rows.sort(key=lambda i: (ids[i] is not None, ids[i]))
+                        kept = best.setdefault(e, _Best(len(asked), k))
+                        row, query, score = shared.value[e].best([words(texts[i]) for i in rows], k, kept.least)
+                        kept.add([ids[rows[i]] for i in row], query, score)
+            out = [(*e, asked[q], i, s) for e, kept in best.items() for q, i, s in kept.rows()]
+            for at in range(0, len(out), 10_000):
+                columns = list(zip(*out[at : at + 10_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        scored = searched.mapInArrow(run, schema)
         found = scored if found is None else found.unionAll(scored)
     if found is None:
         found = spark.createDataFrame([], schema)
     return top(found, k, [*by, "query_id"])
 
 
+class _Best:
+    """A task's k best of each query so far, by score and then by id (nulls first)."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.held: list[list[tuple]] = [[] for _ in range(queries)]
+        self.least = np.zeros(queries)  # a hit of a smaller score isn't among the best
+
+    def add(self, ids: list, queries: list[int], scores: np.ndarray) -> None:
+        for i, q, s in zip(ids, queries, scores.tolist(), strict=True):
+            own = self.held[q]
+            own.append((-s, i is not None, i))
+            if len(own) >= 2 * self.k:
+                self._cut(q)
+
+    def _cut(self, q: int) -> None:
+        own = self.held[q]
+        own.sort()
+        del own[self.k :]
+        if len(own) == self.k:
+            self.least[q] = -own[-1][0]
+
+    def rows(self) -> Iterator[tuple[int, object, float]]:
+        for q, own in enumerate(self.held):
+            self._cut(q)
+            yield from ((q, i, -s) for s, _, i in own)
+
+
 class _Block:
     """A block of queries under one epoch's statistics: the weight of each of its terms in each query."""
 
@@ -270,8 +332,11 @@ class _Block:
     def _saturated(self, tf, size):
         return tf * (self.p.k1 + 1.0) / (tf + self.p.k1 * (1.0 - self.p.b + self.p.b * size / self.mean))
 
-    def best(self, texts: list[list[str]], k: int) -> tuple[list[int], list[int], np.ndarray]:
-        """(row, query, score) of each query's k best texts, the earlier rows among equals; zeros are no hits."""
+    def best(self, texts: list[list[str]], k: int, least: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+        """(row, query, score) of each query's k best texts of a score of least or more; zeros are no hits.
+
+        Of equal scores the earlier rows are kept.
+        """
         scores = np.zeros((len(texts), self.weights.shape[1]))
         get = self.number.get
         for i, own in enumerate(texts):
@@ -280,7 +345,8 @@ class _Block:
                 terms, tf = np.unique(np.array(at), return_counts=True)
                 scores[i] = (self.idf[terms] * self._saturated(tf, len(own))) @ self.weights[terms]
         scores = np.round(scores, 6)
-        order = np.argsort(-scores, axis=0, kind="stable")[:k]
-        kept = np.take_along_axis(scores, order, 0)
-        rank, query = np.nonzero(kept)
-        return order[rank, query].tolist(), query.tolist(), kept[rank, query]
+        if len(texts) > k:
+            # The k-th best of this batch bounds what can matter of it.
+            least = np.maximum(least, np.partition(scores, len(texts) - k, axis=0)[len(texts) - k])
+        row, query = np.nonzero((scores > 0) & (scores >= least))
+        return row.tolist(), query.tolist(), scores[row, query]

@@ -40,28 +40,33 @@ def under(path: Column, root: str) -> Column:
     return path.startswith(root.rstrip("/") + "/")
 
 
-def register(files: DataFrame, aliases: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(path, sha256, doc_id, rev_id, status) of files (path, sha256), distinct paths, against the catalog.
-
-    aliases (path, doc_id, rev_id), revisions (rev_id, doc_id, sha256). A known path with the same bytes is
-    unchanged, with others a new revision; an unknown path with known bytes is an alias; of unknown bytes the first
-    path by name makes the document and the others are its aliases.
-    """
+def resolve(files: DataFrame, aliases: DataFrame, revisions: DataFrame) -> DataFrame:
+    """register(), and event: the path whose registration a new content rests on (its own, or that of an earlier path)."""
     known = aliases.join(revisions.select("rev_id", F.col("sha256").alias("known_sha")), "rev_id", "left").select("path", F.col("doc_id").alias("known_doc"), F.col("rev_id").alias("known_rev"), "known_sha")
     # A content's document is the first that holds it.
     by_sha = revisions.groupBy("sha256").agg(F.min(F.struct("doc_id", "rev_id")).alias("holder"))
     seen = files.join(known, "path", "left").join(by_sha, "sha256", "left")
-    # Of new bytes on new paths, the first path registers; later ones find them.
+    changed = F.col("known_doc").isNotNull() & ~F.col("known_sha").eqNullSafe(F.col("sha256"))
     fresh = F.col("known_doc").isNull() & F.col("holder").isNull()
-    first = F.row_number().over(W.partitionBy("sha256", fresh).orderBy("path")) == 1
-    new_doc = ids.document_id(F.col("sha256"))
-    status = (
-        F.when(F.col("known_doc").isNotNull() & F.col("known_sha").eqNullSafe(F.col("sha256")), "unchanged")
-        .when(F.col("known_doc").isNotNull(), "new_revision").when(F.col("holder").isNotNull(), "alias").when(first, "new_document").otherwise("alias")
-    )
-    doc = F.coalesce("known_doc", "holder.doc_id", new_doc)
+    # Paths register in order, so what comes first with a new content, a document's new bytes or a new document, has it.
+    first = seen.filter(changed | fresh).groupBy("sha256").agg(F.min(F.struct("path", "known_doc")).alias("first"))
+    seen = seen.join(first, "sha256", "left")
+    own = F.col("first.path").isNull() | (F.col("first.path") == F.col("path"))
+    status = F.when(changed, "new_revision").when(F.col("known_doc").isNotNull(), "unchanged").when(~fresh, "alias").when(own, "new_document").otherwise("alias")
+    doc = F.coalesce("known_doc", "holder.doc_id", F.when(fresh, F.col("first.known_doc")), ids.document_id(F.col("sha256")))
     rev = F.when(status == "unchanged", F.col("known_rev")).when(F.col("known_doc").isNull() & F.col("holder").isNotNull(), F.col("holder.rev_id"))
-    return seen.select("path", "sha256", doc.alias("doc_id"), F.coalesce(rev, ids.revision_id(doc, F.col("sha256"))).alias("rev_id"), status.alias("status"))
+    event = F.when(changed, F.col("path")).when(fresh, F.coalesce("first.path", "path"))
+    return seen.select("path", "sha256", doc.alias("doc_id"), F.coalesce(rev, ids.revision_id(doc, F.col("sha256"))).alias("rev_id"), status.alias("status"), event.alias("event"))
+
+
+def register(files: DataFrame, aliases: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(path, sha256, doc_id, rev_id, status) of files (path, sha256), distinct paths, against the catalog.
+
+    aliases (path, doc_id, rev_id), revisions (rev_id, doc_id, sha256). A known path with the same bytes is
+    unchanged, with others a new revision; an unknown path with known bytes is an alias; of unknown bytes the first
+    path by name makes the document and the others are its aliases, as they are of a new revision on an earlier path.
+    """
+    return resolve(files, aliases, revisions).drop("event")
 
 
 def scan_diff(visible: DataFrame, state: DataFrame, max_new: int | None = None) -> DataFrame:
@@ -185,6 +190,82 @@ def embedding_gaps(chunks: DataFrame, batches: DataFrame, batch: int = 8) -> Dat
     return joined.filter("expected <> found")
 
 
+Relation = tuple[str, str, str, str]
+
+
+def removal_order(relations: list[Relation], root: str) -> list[str]:
+    """The tables that depend on root, children before their parents, by relations (child, its column, parent, its column)."""
+    children: dict[str, set[str]] = {}
+    for child, _, parent, _ in relations:
+        children.setdefault(parent, set()).add(child)
+    order: list[str] = []
+    open_: list[str] = []
+
+    def visit(name: str) -> None:
+        if name in open_:
+            raise ValueError("tables that depend on one another: " + " > ".join([*open_, name]))
+        if name not in order:
+            open_.append(name)
+            for c in sorted(children.get(name, ())):
+                visit(c)
+            open_.pop()
+            order.append(name)
+
+    visit(root)
+    return order
+
+
+def cascade(tables: dict[str, DataFrame], relations: list[Relation], root: str, doomed: Column) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """By table, in the order of removal: the rows that go with the doomed rows of root, and those that stay.
+
+    A row goes if any row that it refers to goes. Rows are told by joins on the declared keys, parents first; no key is
+    brought to the driver.
+    """
+    order = removal_order(relations, root)
+    parted = {root: (tables[root].filter(F.coalesce(doomed, F.lit(False))), tables[root].filter(~F.coalesce(doomed, F.lit(False))))}
+    for name in reversed(order[:-1]):
+        rows, flags = tables[name], []
+        for i, (child, column, parent, parent_column) in enumerate(relations):
+            if child == name and parent in order:
+                gone = parted[parent][0].select(F.col(parent_column).alias(f"__key{i}"), F.lit(True).alias(f"__gone{i}")).filter(f"__key{i} IS NOT NULL").distinct()
+                rows = rows.join(gone, F.col(column) == F.col(f"__key{i}"), "left").drop(f"__key{i}")
+                flags.append(f"__gone{i}")
+        goes = F.coalesce(*flags, F.lit(False))
+        parted[name] = (rows.filter(goes).drop(*flags), rows.filter(~goes).drop(*flags))
+    return {name: parted[name] for name in order}
+
+
+def removal_report(tables: dict[str, DataFrame], relations: list[Relation], root: str, doomed: Column) -> DataFrame:
+    """(place, name, removed, kept, dangling) of a cascade; dangling counts kept rows that refer to a removed one."""
+    parted = cascade(tables, relations, root, doomed)
+    out = None
+    for place, (name, (gone, kept)) in enumerate(parted.items(), 1):
+        left = F.lit(0).cast("long")
+        one = gone.agg(F.count("*").alias("removed")).crossJoin(kept.agg(F.count("*").alias("kept")))
+        for i, (child, column, parent, parent_column) in enumerate(relations):
+            if child == name and parent in parted:
+                removed = parted[parent][0].select(F.col(parent_column).alias("__key")).distinct()
+                one = one.crossJoin(kept.join(removed, kept[column] == removed["__key"], "left_semi").agg(F.count("*").alias(f"__left{i}")))
+                left = left + F.col(f"__left{i}")
+        one = one.select(F.lit(place).alias("place"), F.lit(name).alias("name"), "removed", "kept", left.alias("dangling"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def orphans(gone: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """(key) of objects that only removed rows refer to; shared ones stay."""
+    return gone.select(key).distinct().join(kept.select(key), key, "left_anti")
+
+
+def write_runs(frame: DataFrame, path: str, key: str) -> None:
+    """Write the runs (values of key) that frame holds in place of theirs below path; all other runs' files stay as they are.
+
+    A run's folder is replaced when the job commits, so a task that fails or a job that is tried again leaves either the
+    old rows or the new ones, once.
+    """
+    frame.write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def removal_counts(tables: dict[str, DataFrame], key: str, value) -> DataFrame:
     """(name, rows) that removing one key would delete from each table."""
     out = None

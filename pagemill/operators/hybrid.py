@@ -125,30 +125,31 @@ def select_passages(candidates: DataFrame, s: Search = Search(), diversify: bool
 NO_EMBEDDER = "embedding model not configured; sparse-only search"
 
 
-def search(questions: DataFrame, chunks: DataFrame, revisions: DataFrame, publications: DataFrame, vectors: DataFrame | None = None, only: Column | None = None, s: Search = Search()) -> tuple[DataFrame, DataFrame]:
+def search(questions: DataFrame, chunks: DataFrame, revisions: DataFrame, publications: DataFrame, vectors: DataFrame | None = None, only: Column | None = None, s: Search = Search(), stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(passages, counts) of questions (query_id, text[, query]) over the visible chunks.
 
     chunks (chunk_id, text, rev_id, doc_id, tokens[, epoch]), revisions (rev_id, doc_id, is_active), publications
     (rev_id, state), vectors (chunk_id, vector). Without vectors, or without the questions' own (query), the search is
-    sparse only, and says so. only restricts the chunks, to one book or revision; that lets a book have every place.
+    sparse only, and says so. only restricts what may be found, to one book or revision; the statistics stay those of
+    all visible chunks, and a book may have every place. A chunk's payload (rev_id, doc_id, as in chunks) is held against
+    stored, its rows as they are now (by default the same), so that hits of stale payloads are removed.
 
     passages (query_id, chunk_id, doc_id, tokens, place); counts (query_id, dense, sparse, fused, validated,
     postvalidation_removed, reranked, selected, topup_rounds, degraded, degraded_reason), of every question.
     """
     visible = chunks.join(publications.filter("state = 'active'").select("rev_id").distinct(), "rev_id", "left_semi")
-    if only is not None:
-        visible = visible.filter(only)
     by = ["epoch"] if "epoch" in chunks.columns else []
     epoch = F.col("epoch").cast("string") if by else F.lit("")
     degraded = vectors is None or "query" not in questions.columns
-    sparse = bm25_search(visible.select(*by, "chunk_id", "text"), questions.select("query_id", "text"), s.limit_cap, by)
+    sparse = bm25_search(visible, questions.select("query_id", "text"), s.limit_cap, by, only=only)
     lists = sparse.select("query_id", F.lit("sparse").alias("side"), epoch.alias("epoch"), "chunk_id", "rank")
     if not degraded:
-        dense = dense_topk(vectors.join(visible.select("chunk_id"), "chunk_id", "left_semi"), questions.select("query_id", "query"), s.limit_cap)
+        found = visible if only is None else visible.filter(only)
+        dense = dense_topk(vectors.join(found.select("chunk_id"), "chunk_id", "left_semi"), questions.select("query_id", "query"), s.limit_cap)
         lists = lists.unionByName(dense.select("query_id", F.lit("dense").alias("side"), F.lit("").alias("epoch"), "chunk_id", "rank"))
     every = rounds(lists, s)
     rows = chunks.select("chunk_id", "rev_id", "doc_id", "tokens")
-    valid = validate(every.join(rows, "chunk_id"), chunks, revisions, publications)
+    valid = validate(every.join(rows, "chunk_id"), chunks if stored is None else stored, revisions, publications)
     last = chosen_round(valid, every, s)
     kept = valid.join(last, ["query_id", "round"])
     order = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))

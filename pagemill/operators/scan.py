@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.operators.catalog import register
+from pagemill.operators.catalog import resolve
 
 #: How files begin, and what an EPUB's entry says.
 PDF_HEAD, ZIP_HEAD, EPUB_TYPE = b"%PDF-", b"PK\x03\x04", b"application/epub+zip"
@@ -66,7 +66,8 @@ def outcomes(files: DataFrame, state: DataFrame, aliases: DataFrame, revisions:
 
     files (path, size, mtime, size_after, mtime_after, sha256, format, error): what was seen before and after hashing;
     a null size is a file that is gone. state (path, size, mtime, sha256) is the last scan's. Beyond max_new new
-    documents and revisions, by path, files are deferred: they leave no trace, so that the next scan finds them again.
+    documents and revisions, by path, files are deferred, and so are those whose new content rests on one of these: they
+    leave no trace, so that the next scan finds them again.
     """
     old = state.select("path", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"), F.col("sha256").alias("__sha"))
     seen = files.join(old, "path", "left")
@@ -76,14 +77,14 @@ def outcomes(files: DataFrame, state: DataFrame, aliases: DataFrame, revisions:
         .when(~(F.col("size").eqNullSafe(F.col("size_after")) & F.col("mtime").eqNullSafe(F.col("mtime_after"))), "changed_during_scan").when(F.col("format").isNull(), "invalid")
     )
     marked = seen.select("path", "sha256", early.alias("early"))
-    registered = register(marked.filter("early is null").select("path", "sha256"), aliases, revisions)
-    both = marked.join(registered.drop("sha256"), "path", "left").select("path", F.coalesce("early", "status").alias("outcome"), "doc_id", "rev_id")
+    registered = resolve(marked.filter("early is null").select("path", "sha256"), aliases, revisions)
+    both = marked.join(registered.drop("sha256"), "path", "left").select("path", F.coalesce("early", "status").alias("outcome"), "doc_id", "rev_id", "event")
     if max_new is None:
-        return both
-    fresh = F.col("outcome").isin("new_document", "new_revision")
-    first = both.filter(fresh).orderBy("path").limit(max_new).select("path", F.lit(True).alias("__taken"))
-    late = fresh & F.col("__taken").isNull()
-    held = both.join(first, "path", "left")
+        return both.drop("event")
+    made = both.filter(F.col("outcome").isin("new_document", "new_revision"))
+    taken = made.orderBy("path").limit(max_new).select(F.col("path").alias("event"), F.lit(True).alias("__taken"))
+    late = F.col("event").isNotNull() & F.col("__taken").isNull()
+    held = both.join(taken, "event", "left")
     return held.select("path", F.when(late, "deferred").otherwise(F.col("outcome")).alias("outcome"), *(F.when(~late, F.col(c)).alias(c) for c in ("doc_id", "rev_id")))
 
 

@@ -103,7 +103,8 @@ def index_points(spark, sf_dir):
     """Points of every chunk that has a vector, with their payload and sparse weights."""
     own = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("run_id"), F.col("doc_id").cast("string").alias("rev_id"), F.col("lang").alias("doc_id"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
-    sparse = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.sendable(bm25.document_frequencies(own)), bm25.corpus_size(own))
+    size, frequencies = bm25.sizes_and_frequencies(own)
+    sparse = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.sendable(frequencies), size)
     p = embed.build_points(own, vectors, sparse, "rev-1", Embedding("rev-1", dimensions=64).sha(), "stats-1")
     return p.select("point_id", "payload.chunk_id", "payload.gen_id", "payload.pub_id", F.size("dense").alias("dims"), F.size("sparse.indices").alias("terms"), F.round(F.aggregate("sparse.values", F.lit(0.0), lambda acc, v: acc + v), 4).alias("weight"))
 
@@ -148,16 +149,21 @@ def vector_checkpoints(spark, sf_dir):
     return read.select("batch_id", "problem", F.when(F.col("vectors").isNotNull(), F.size("vectors")).cast("long").alias("vectors"), F.round(total, 4).alias("total"))
 
 
-SCANNED = """f AS (SELECT doc_id, '/lib/' || source || '/' || doc_id || '.PDF' AS path, CASE WHEN doc_id % 10 = 5 THEN 'error' WHEN doc_id % 10 = 7 THEN 'missing' WHEN doc_id % 4 = 2 THEN 'unchanged' WHEN doc_id % 10 = 3 THEN 'changed_during_scan' WHEN doc_id % 10 = 1 THEN 'invalid'
-  WHEN doc_id % 4 = 0 THEN 'new_revision' WHEN doc_id % 20 = 9 THEN 'alias' ELSE 'new_document' END AS plain FROM documents),
-o AS (SELECT *, CASE WHEN plain IN ('new_document', 'new_revision') AND row_number() OVER (PARTITION BY plain IN ('new_document', 'new_revision') ORDER BY path) > 60 THEN 'deferred' ELSE plain END AS outcome FROM f)"""
+SCANNED = """f AS (SELECT doc_id, '/lib/' || source || '/' || doc_id || '.PDF' AS path, CASE WHEN doc_id % 40 IN (19, 20, 39) THEN 'pair' || (doc_id // 40) ELSE 'new' || doc_id END AS content,
+  CASE WHEN doc_id % 10 = 5 THEN 'error' WHEN doc_id % 10 = 7 THEN 'missing' WHEN doc_id % 4 = 2 THEN 'unchanged' WHEN doc_id % 10 = 3 THEN 'changed_during_scan' WHEN doc_id % 10 = 1 THEN 'invalid'
+  WHEN doc_id % 4 = 0 THEN 'changed' WHEN doc_id % 20 = 9 THEN 'alias' ELSE 'fresh' END AS kind FROM documents),
+g AS (SELECT *, CASE kind WHEN 'changed' THEN path WHEN 'fresh' THEN min(CASE WHEN kind IN ('changed', 'fresh') THEN path END) OVER (PARTITION BY content) END AS event FROM f),
+h AS (SELECT *, CASE WHEN kind = 'changed' THEN 'new_revision' WHEN kind = 'fresh' AND path = event THEN 'new_document' WHEN kind = 'fresh' THEN 'alias' ELSE kind END AS plain FROM g),
+e AS (SELECT path AS event, row_number() OVER (ORDER BY path) AS place FROM h WHERE plain IN ('new_document', 'new_revision')),
+o AS (SELECT h.path, CASE WHEN place > 60 THEN 'deferred' ELSE plain END AS outcome FROM h LEFT JOIN e USING (event))"""
 
 
 def _scanned(spark, sf_dir):
     d = _docs(spark, sf_dir)
     i, ten = F.col("doc_id"), F.col("doc_id") % 10
     known = lambda n: F.sha2(F.concat(F.lit("old"), n.cast("string")), 256)
-    sha = F.when(i % 4 == 2, known(i)).when(i % 20 == 9, known(i - 1)).otherwise(F.sha2(F.concat(F.lit("new"), i.cast("string")), 256))
+    new = F.when((i % 40).isin(19, 20, 39), F.concat(F.lit("pair"), F.floor(i / 40).cast("string"))).otherwise(F.concat(F.lit("new"), i.cast("string")))
+    sha = F.when(i % 4 == 2, known(i)).when(i % 20 == 9, known(i - 1)).otherwise(F.sha2(new, 256))
     path = F.concat(F.lit("/lib/"), "source", F.lit("/"), i.cast("string"), F.lit(".PDF"))
     size = F.when(ten != 7, F.col("n_chars"))
     seen = d.select(
@@ -173,7 +179,7 @@ def _scanned(spark, sf_dir):
 
 @query(f"WITH {SCANNED} SELECT path, outcome FROM o")
 def scan_outcomes(spark, sf_dir):
-    """All nine outcomes of a scan, with a budget of 60 new books."""
+    """All nine outcomes of a scan, with a budget of 60 new books; some new contents lie on several paths."""
     return _scanned(spark, sf_dir)[0].select("path", "outcome")
 
 

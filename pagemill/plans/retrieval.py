@@ -77,7 +77,8 @@ def corpus_stats(spark, sf_dir):
 SELECT chunk_id, term, w, rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY w DESC, term) AS rank FROM dw) WHERE rank <= 5""")
 def bm25_doc_weights(spark, sf_dir):
     own = chunks(spark, sf_dir)
-    weighted = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.sendable(bm25.document_frequencies(own)), bm25.corpus_size(own)).withColumn("w", F.round("w", 6))
+    size, frequencies = bm25.sizes_and_frequencies(own)
+    weighted = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.sendable(frequencies), size).withColumn("w", F.round("w", 6))
     return bm25.top(weighted, 5, ["chunk_id"], F.col("w"), "term").select("chunk_id", "term", "w", "rank")
 
 
@@ -145,10 +146,12 @@ def rrf_hybrid(spark, sf_dir):
     return hybrid.fuse(lists(spark, sf_dir, 60))
 
 
-@query(f"WITH {TOK.replace('FROM documents', 'FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39))}, {STATS}, {SCORED} SELECT query_id, chunk_id, score, rank FROM ({RANKED}) WHERE rank <= 10")
+@query(f"""WITH {TOK}, {STATS}, {SCORED} SELECT query_id, chunk_id, score, rank FROM (
+  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM scored JOIN tok USING (chunk_id) WHERE score <> 0 AND lang = 'en') WHERE rank <= 10""")
 def search_candidates_filtered(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
-    return bm25.search(own, questions(spark, sf_dir), 10)
+    """Only English documents may be found; the statistics are of all documents."""
+    return bm25.search(chunks(spark, sf_dir, "lang"), questions(spark, sf_dir), 10, only=F.col("lang") == "en")
 
 
 @query(f"""WITH {TOK}, {STATS}, {SCORED}, hits AS (SELECT query_id, chunk_id, rank, chunk_id - (chunk_id % 7 = 0)::INT AS claimed FROM ({RANKED}) WHERE rank <= 60)

@@ -12,6 +12,10 @@ class Bm25:
     k1: float = 1.5
     b: float = 0.75
 
+    def sha(self) -> str:
+        """The settings' identity: an epoch of other settings is none of these."""
+        return hashlib.sha256(json.dumps({"k1": self.k1, "b": self.b}, sort_keys=True).encode()).hexdigest()
+
 
 @dataclass(frozen=True)
 class Search:
