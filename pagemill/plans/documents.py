@@ -273,7 +273,7 @@ def build_manifest(spark, sf_dir):
         F.col("doc_id").alias("unit_id"), F.lit("page").alias("kind"), (F.col("doc_id") % 100).alias("position"), F.col("source").alias("ref"), F.array(F.when(F.col("n_chars") < 1000, "short").otherwise("long")).alias("flags")
     )
     revisions = d.select(F.col("lang").alias("rev_id")).distinct().withColumn("title", F.concat(F.lit("book "), F.col("rev_id")))
-    m = evidence.manifest(passages, units, revisions)
+    m = evidence.manifest(passages, units, revisions).drop("boxes", "anchor", "section")
     return m.withColumn("pages", F.array_join("pages", ",")).withColumn("labels", F.array_join("labels", ",")).withColumn("flags", F.array_join("flags", ","))
 
 

@@ -179,16 +179,16 @@ def latency_percentiles(spark, sf_dir):
     return reports.percentiles(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value")
 
 
-WORDS = "regexp_extract_all(translate(lower({t}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
+WORDS = "regexp_extract_all(strip_accents(lower({t})), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
 
 
 @query(f"""WITH s AS (SELECT doc_id AS rev_id, {WORDS.format(t='text')} AS w FROM documents), size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s),
 tf AS (SELECT rev_id, any_value(len) AS len, term, count(*) AS tf FROM (SELECT rev_id, len(w) AS len, unnest(w) AS term FROM s) GROUP BY rev_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format(t='text')}) AS term FROM benchmark),
 sc AS (SELECT query_id, rev_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), size GROUP BY query_id, rev_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, rev_id) AS rank FROM sc) WHERE rank <= 10""")
+SELECT r.*, CASE WHEN rev_id % 3 = 0 THEN rev_id::VARCHAR ELSE source END AS title, substr(text, 1, 280) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, rev_id) AS rank FROM sc) r JOIN documents ON doc_id = rev_id WHERE rank <= 10""")
 def keyword_search(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rev_id"), "text")
+    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rev_id"), "text", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("title"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return reports.keyword_search(s, q)
 
