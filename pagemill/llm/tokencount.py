@@ -11,7 +11,8 @@ tokens don't reach. Which characters are separators is checked when a vocabulary
 all kinds on both sides; a vocabulary without separators (its tokens cross white space) has no stable boundary, and its
 texts are encoded whole.
 
-Shorter texts are encoded whole, the distinct ones of a batch together in groups of bounded size.
+The distinct shorter texts of a batch are encoded together: piece by piece, each distinct piece of the vocabulary's
+patterns once while it is remembered (see packing), or whole, with a vocabulary of other patterns.
 
 Defined results: null and empty texts have no tokens; special strings inside texts count as the library's default
 has them; equal texts give equal rows; an empty table gives no rows; further columns are ignored.
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagemill.llm.common import hold, slim, texts
+from pagemill.llm.packing import Encoder
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -84,7 +86,7 @@ class Counter:
 
     def __init__(self, library, chunk: int = 32_768, overlap: int = 256, group: int = 1 << 18):
         self.library, self.chunk, self.overlap, self.group = library, chunk, overlap, group
-        self.separators = separators(library)
+        self.separators, self.encoder = separators(library), Encoder(library)
         self.widened = 0  # how often an alignment failed
 
     def common(self, text: str, left: Encoded, right: Encoded, low: int) -> int | None:
@@ -119,24 +121,20 @@ class Counter:
 
     def count(self, data: list[str]) -> list[int]:
         """The number of tokens of each text."""
-        known: dict[str, int] = {}
-        group: list[str] = []
-        size = 0
-
-        def flush() -> None:
+        distinct = dict.fromkeys(data)
+        known = {t: self.spliced(t) for t in distinct if len(t) > self.chunk}
+        short = [t for t in distinct if len(t) <= self.chunk]
+        if self.encoder.in_pieces:
+            known.update(zip(short, (len(ids) // 4 for ids in self.encoder.ids(short)), strict=True))
+            return [known[t] for t in data]
+        at = 0
+        while at < len(short):
+            group, size = [], 0
+            while at < len(short) and (not group or size + len(short[at]) <= self.group):
+                group.append(short[at])
+                size += len(short[at])
+                at += 1
             known.update(zip(group, map(len, self.library.encode_batch_fast(group, add_special_tokens=False)), strict=True))
-            group.clear()
-
-        for text in dict.fromkeys(data):
-            if len(text) > self.chunk:
-                known[text] = self.spliced(text)
-                continue
-            if group and size + len(text) > self.group:
-                flush()
-                size = 0
-            group.append(text)
-            size += len(text)
-        flush()
         return [known[t] for t in data]
 
 
