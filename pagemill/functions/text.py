@@ -51,14 +51,14 @@ def image_area_ratio(boxes: Column, width: Column, height: Column) -> Column:
 
 #: Function words by language, and letters by script.
 STOPWORDS = {
-    "en": "the of and to in a that is was for on with he she it they had not but as are his her",
-    "fr": "le la les de des et à a un une est que qui dans pour avec pas sur au aux par ne ce",
-    "de": "der die das und in ein eine ist nicht mit sie er es auf an von zu dem den des so",
-    "es": "el la los las de del en un una que por con para se no es y o su",
-    "it": "il lo la le di e in un una che per con non su si ma è da del",
-    "pt": "o a os as de da e em um uma que por com para não são ser se",
-    "nl": "de het en een is in dat te voor met op aan der van",
-    "pl": "i w nie jest to co jak się po na ze od dla tym",
+    "en": ["the", "of", "and", "to", "in", "a", "that", "is", "was", "for", "on", "with", "he", "she", "it", "they", "had", "not", "but", "as", "are", "his", "her"],
+    "fr": ["le", "la", "les", "de", "des", "et", "à", "a", "un", "une", "est", "que", "qui", "dans", "pour", "avec", "pas", "sur", "au", "aux", "par", "ne", "ce"],
+    "de": ["der", "die", "das", "und", "in", "ein", "eine", "ist", "nicht", "mit", "sie", "er", "es", "auf", "an", "von", "zu", "dem", "den", "des", "so"],
+    "es": ["el", "la", "los", "las", "de", "del", "en", "un", "una", "que", "por", "con", "para", "se", "no", "es", "y", "o", "su"],
+    "it": ["il", "lo", "la", "le", "di", "e", "in", "un", "una", "che", "per", "con", "non", "su", "si", "ma", "è", "da", "del"],
+    "pt": ["o", "a", "os", "as", "de", "da", "e", "em", "um", "uma", "que", "por", "com", "para", "não", "são", "ser", "se"],
+    "nl": ["de", "het", "en", "een", "is", "in", "dat", "te", "voor", "met", "op", "aan", "der", "van"],
+    "pl": ["i", "w", "nie", "jest", "to", "co", "jak", "się", "po", "na", "ze", "od", "dla", "tym"],
 }
 SCRIPTS = {
     "lat": r"A-Za-zÀ-ɏḀ-ỿ",
@@ -85,11 +85,11 @@ def _first_best(scores: dict[str, Column], none: str) -> Column:
 
 def language(text: Column) -> Column:
     """A script, or for Latin letters the language with most function words; other and unknown if there is none."""
-    every = F.array(*map(F.lit, sorted({w for v in STOPWORDS.values() for w in v.split()})))
+    every = F.array(*map(F.lit, sorted({w for v in STOPWORDS.values() for w in v})))
 
     def by_words(head: Column) -> Column:
         seen = F.array_intersect(F.regexp_extract_all(F.lower(head), F.lit(f"({WORDS})"), F.lit(1)), every)
-        return let(seen, lambda w: _first_best({k: F.size(F.array_intersect(w, F.array(*map(F.lit, v.split())))) for k, v in STOPWORDS.items()}, "other"))
+        return let(seen, lambda w: _first_best({k: F.size(F.array_intersect(w, F.array(*map(F.lit, v)))) for k, v in STOPWORDS.items()}, "other"))
 
     def by_script(head: Column) -> Column:
         script = _first_best({k: F.length(F.regexp_replace(head, f"[^{v}]+", "")) for k, v in SCRIPTS.items()}, "unknown")

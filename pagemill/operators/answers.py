@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.session import durable
 
 INSTRUCTIONS = "Answer from the evidence below only. Cite the IDs of the evidence in square brackets behind what they support. If it doesn't suffice, write ABSTAIN on the first line and the reason on the next."
 #: Reasons that callers tell apart.
@@ -91,11 +92,12 @@ def answers(questions: DataFrame, evidence: DataFrame, model: Callable[[], Model
         )
     spark = questions.sparkSession
     # Replies are kept: a model isn't asked twice because a later step is computed anew.
-    first = asked(base.filter("messages is not null"), model).checkpoint() if spark.sparkContext.getCheckpointDir() else asked(base.filter("messages is not null"), model)
+    durable(spark)
+    first = asked(base.filter("messages is not null"), model).checkpoint()
     judged = base.join(first, "query_id", "left").withColumn("verdict", T.verdict(F.col("raw"), F.col("known")))
     again = judged.filter(F.col("verdict").isin("missing", "unknown"))
     again = again.withColumn("messages", F.concat("messages", repair(F.col("raw"), F.col("known"))))
-    second = asked(again, model).select("query_id", F.col("raw").alias("raw2"), F.col("error").alias("error2"), F.lit(True).alias("repaired"))
+    second = asked(again, model).select("query_id", F.col("raw").alias("raw2"), F.col("error").alias("error2"), F.lit(True).alias("repaired")).checkpoint()
     done = judged.join(second, "query_id", "left").withColumn("repaired", F.coalesce("repaired", F.lit(False)))
     done = done.withColumn("final", F.when(F.col("repaired"), F.col("raw2")).otherwise(F.col("raw"))).withColumn("last", T.verdict(F.col("final"), F.col("known")))
     failed = F.when(F.col("error").isNotNull(), F.concat(F.lit("answer model error: "), "error")).when(F.col("error2").isNotNull(), F.concat(F.lit("answer model error during repair: "), "error2"))

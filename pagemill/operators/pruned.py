@@ -91,11 +91,12 @@ def _fields(schema: str) -> list[list[str]]:
 # An inverted index
 
 
-def inverted(chunks: DataFrame, order: list[str] = ["chunk_id"], rows: int = 128, parts: int | None = None, p: Bm25 = Bm25(), avgdl: float | None = None) -> DataFrame:  # noqa: B006
+def inverted(chunks: DataFrame, order: list[str] = ["chunk_id"], rows: int = 16, parts: int | None = None, p: Bm25 = Bm25(), avgdl: float | None = None) -> DataFrame:  # noqa: B006
     """(block, n, chunk_ids, terms, tops, ends, at, impacts): a row for each block of chunks (chunk_id, text, ...).
 
     Of each term of a block: the greatest impact, and where its postings end; of each posting the chunk's number in the
-    block and its impact, the saturated term frequency under the corpus' mean length (counted, unless it is given).
+    block and its impact, the saturated term frequency under the corpus' mean length (counted, unless it is given). Bounds
+    are the closer, the more a block's texts are alike: order by what they share, such as language, topic or length.
     """
     mean = avgdl if avgdl is not None else corpus_size(chunks).first()["avgdl"]
     mean = mean if mean and mean > 0 else 1.0

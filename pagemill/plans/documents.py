@@ -135,7 +135,7 @@ def _language_sql() -> str:
     head = "substr(coalesce(text, ''), 1, 4000)"
     scripts = {k: f"length(regexp_replace({head}, '[^{v}]', '', 'g'))" for k, v in T.SCRIPTS.items()}
     words = f"list_distinct(regexp_extract_all(lower({head}), '{T.WORDS}'))"
-    stop = {k: f"len(list_intersect(w, ['{v.replace(' ', chr(39) + ',' + chr(39))}']))" for k, v in T.STOPWORDS.items()}
+    stop = {k: f"len(list_intersect(w, {v}))" for k, v in T.STOPWORDS.items()}
     pick = lambda scores, none: "CASE WHEN greatest(" + ", ".join(scores) + f") = 0 THEN '{none}' " + " ".join(f"WHEN {k} = greatest(" + ", ".join(scores) + f") THEN '{k.removeprefix('l_')}'" for k in sorted(scores)) + " END"
     inner = ", ".join(f"{v} AS {k}" for k, v in scripts.items())
     counted = ", ".join(f"{v} AS l_{k}" for k, v in stop.items())

@@ -104,10 +104,11 @@ def snapshot_points(spark, sf_dir):
 def _inverted(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict, str]:
     """Stored inverted blocks of all documents, the terms' frequencies, and the size of the corpus."""
     path = _folder(spark)
-    own = chunks(spark, sf_dir)
+    # Blocks of like texts, by language and length, have closer bounds.
+    own = chunks(spark, sf_dir, "lang", "n_chars")
     sizes, frequencies = bm25.sizes_and_frequencies(own)
     size = sizes.first()
-    pruned.inverted(own, avgdl=size["avgdl"]).write.parquet(path)
+    pruned.inverted(own, ["lang", "n_chars", "chunk_id"], avgdl=size["avgdl"]).write.parquet(path)
     return spark.read.parquet(path), frequencies, size, path
 
 
