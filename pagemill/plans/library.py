@@ -66,8 +66,9 @@ REGISTER = f"""{FILES}, b AS (SELECT *, CASE WHEN n % 2 = 0 THEN sha ELSE sha256
 revisions AS (SELECT 'r' || min(n) AS rev_id, 'd' || min(n) AS doc_id, old AS sha FROM b GROUP BY old),
 aliases AS (SELECT path, doc_id, rev_id, old FROM b JOIN revisions r ON r.sha = b.old),
 s AS (SELECT f.path, f.sha, a.doc_id AS kd, a.rev_id AS kr, a.old AS ks, r.doc_id AS hd, r.rev_id AS hr FROM files f LEFT JOIN aliases a USING (path) LEFT JOIN revisions r ON r.sha = f.sha),
-t AS (SELECT *, row_number() OVER (PARTITION BY sha, kd IS NULL AND hd IS NULL ORDER BY path) AS nth FROM s),
-u AS (SELECT path, sha AS sha256, kr, hr, kd, hd, coalesce(kd, hd, {DOC_SQL}) AS doc_id, CASE WHEN kd IS NOT NULL AND ks = sha THEN 'unchanged' WHEN kd IS NOT NULL THEN 'new_revision' WHEN hd IS NOT NULL THEN 'alias' WHEN nth = 1 THEN 'new_document' ELSE 'alias' END AS status, sha FROM t)"""
+e AS (SELECT sha, min(path) AS fp FROM s WHERE CASE WHEN kd IS NOT NULL THEN ks <> sha ELSE hd IS NULL END GROUP BY sha),
+t AS (SELECT s.*, fp, fd FROM s LEFT JOIN (SELECT e.sha, fp, kd AS fd FROM e JOIN s ON s.path = fp) USING (sha)),
+u AS (SELECT path, sha AS sha256, kr, hr, kd, hd, coalesce(kd, hd, fd, {DOC_SQL}) AS doc_id, CASE WHEN kd IS NOT NULL AND ks = sha THEN 'unchanged' WHEN kd IS NOT NULL THEN 'new_revision' WHEN hd IS NOT NULL THEN 'alias' WHEN path = fp THEN 'new_document' ELSE 'alias' END AS status, sha FROM t)"""
 
 
 @query(f"""WITH {REGISTER} SELECT path, sha256, doc_id, CASE WHEN status = 'unchanged' THEN kr WHEN kd IS NULL AND hd IS NOT NULL THEN hr ELSE {_uuid_sql('rev', 'doc_id || chr(58) || sha')} END AS rev_id, status FROM u""")
