@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill.operators.bm25 import search as bm25_search
 from pagemill.operators.bm25 import top
@@ -24,20 +31,152 @@ def normalized(vector: Column) -> Column:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, chunk_id, score, rank) over vectors (chunk_id, vector) for queries (query_id, query).
 
-    Queries are a stated set, asked in blocks: each block of at most query_bytes is broadcast to all vectors, scored
-    where the vectors lie, and cut to the k best per task before the shuffle.
+    Queries are a stated set, asked in blocks of at most query_bytes. A task holds its vectors against a block by matrix
+    products, which say what can be among its k best; only that is scored by dot(), in its order of additions, and only the
+    k best leave the task. Vectors and queries that aren't numbers alone, all of one length, are scored one by one.
     """
+    sound = lambda c, n: (F.size(c) == n) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    sized = queries.select(F.size("query").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("rows")).first()
+    dims = sized["n"] or 0
+    good = lambda c: F.coalesce(sound(c, dims), F.lit(False)) if dims > 0 else F.lit(False)
+    every = vectors.agg(F.count("*").alias("n"), F.count_if(~good(F.col("vector"))).alias("odd")).first()
+    odd_queries = queries.filter(~good(F.col("query")))
+    odd = odd_queries.count()
+    found = [_one_by_one(vectors, odd_queries, query_bytes)] if odd else []
+    if odd < sized["rows"]:
+        asked = queries.filter(good(F.col("query")))
+        if every["odd"]:
+            found.append(_one_by_one(vectors.filter(~good(F.col("vector"))), asked, query_bytes))
+        # As many tasks as the work is worth: each hands on k hits of every query.
+        wanted = -(-every["n"] * sized["rows"] * dims // (1 << 32))
+        parts = max(1, min(wanted, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = vectors.filter(good(F.col("vector"))).select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).repartition(parts)
+        found += _by_products(dealt, asked, k, dims, query_bytes)
+    out = found[0] if found else _one_by_one(vectors, queries, query_bytes)
+    for f in found[1:]:
+        out = out.unionAll(f)
+    return top(out, k, ["query_id"])
+
+
+def _one_by_one(vectors: DataFrame, queries: DataFrame, query_bytes: int) -> DataFrame:
+    """(query_id, chunk_id, score) of all pairs, scored where the vectors lie."""
     first = queries.select(F.size("query").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("rows")).first()
     blocks = max(1, -(-(first["n"] or 0) * 8 * first["rows"] // query_bytes))
     out = None
     for i in range(blocks):
         block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         scored = vectors.crossJoin(F.broadcast(block)).select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("query")), 6).alias("score"))
-        found = top(scored, k, ["query_id"])
-        out = found if out is None else out.unionAll(found)
+        out = scored if out is None else out.unionAll(scored)
     return out
 
 
+def _by_products(vectors: DataFrame, queries: DataFrame, k: int, dims: int, query_bytes: int, rows: int = 4096) -> list[DataFrame]:
+    """(query_id, chunk_id, score), for each block of queries: the k best of every task that vectors lie in."""
+    spark = vectors.sparkSession
+    kinds = [queries.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType]
+    query_kind, kind = map(to_arrow_type, kinds)
+    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+    found, ids, held = [], [], []
+
+    def ask() -> None:
+        shared = spark.sparkContext.broadcast((pa.array(ids, query_kind), np.array(held, np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, asked = shared.value
+            best = _Nearest(asked, k, kind)
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= rows:
+                    best.see(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+            if sum(b.num_rows for b in held):
+                best.see(pa.Table.from_batches(held).combine_chunks())
+            for part in best.hits().to_batches(10_000):
+                yield pa.RecordBatch.from_arrays([names.take(part["q"]), part["id"], part["score"]], ["query_id", "chunk_id", "score"])
+
+        found.append(vectors.mapInArrow(run, schema))
+
+    for row in queries.select("query_id", F.col("query").cast("array<double>")).toLocalIterator():
+        ids.append(row[0])
+        held.append(row[1])
+        if 8 * dims * len(held) >= query_bytes:
+            ask()
+            ids, held = [], []
+    if held:
+        ask()
+    return found
+
+
+class _Nearest:
+    """A task's k best vectors of each query so far, by rounded score and then by id (nulls first)."""
+
+    def __init__(self, asked: np.ndarray, k: int, kind: pa.DataType):
+        self.asked, self.k = asked, k
+        self.norms = np.sqrt((asked**2).sum(1))
+        self.least = np.full(len(asked), -np.inf)  # a hit of a smaller score isn't among the best
+        self.names = {"q": pa.int32(), "id": kind, "score": pa.float64()}
+        self.kept = pa.Table.from_arrays([pa.array([], t) for t in self.names.values()], list(self.names))
+        self.new: list[pa.Table] = []
+
+    def see(self, batch: pa.Table, queries: int = 1024, pairs: int = 1 << 16) -> None:
+        batch = batch.take(pc.sort_indices(batch, sort_keys=[("chunk_id", "ascending")], null_placement="at_start"))
+        own = batch["vector"].combine_chunks().flatten().to_numpy().reshape(batch.num_rows, -1)
+        # Of equal vectors only the k first ids can matter.
+        _, group = np.unique(own.view(np.dtype((np.void, own.itemsize * own.shape[1]))).ravel(), return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        begin = np.flatnonzero(np.diff(group[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(begin, np.diff(begin, append=len(order)))
+        some = np.sort(order[place < self.k])
+        own, ids = own[some], batch["chunk_id"].combine_chunks().take(pa.array(some))
+        longest = np.sqrt((own**2).sum(1).max())
+        for at in range(0, len(self.asked), queries):
+            asked, least = self.asked[at : at + queries], self.least[at : at + queries]
+            near = asked @ own.T
+            slack = 1e-6 + 1e-12 * self.norms[at : at + queries] * longest
+            bound = least - slack
+            fresh = np.flatnonzero(np.isinf(least))
+            if len(fresh) and len(own) > self.k:
+                # The k-th best of this batch bounds what can matter of it.
+                bound[fresh] = np.partition(near[fresh], len(own) - self.k, axis=1)[:, len(own) - self.k] - 2 * slack[fresh]
+            q, row = np.nonzero(near >= bound[:, None])
+            for i in range(0, len(q), pairs):
+                self._add(q[i : i + pairs] + at, row[i : i + pairs], own, ids)
+        self._cut()
+
+    def _add(self, q: np.ndarray, row: np.ndarray, own: np.ndarray, ids: pa.Array) -> None:
+        # One addition after the other, as dot() has them.
+        score = rounded(np.add.accumulate(own[row] * self.asked[q], axis=1)[:, -1])
+        self.new.append(pa.Table.from_arrays([pa.array(q.astype(np.int32)), ids.take(pa.array(row)), pa.array(score)], list(self.names)))
+        if sum(t.num_rows for t in self.new) > 1 << 20:
+            self._cut()
+
+    def _cut(self) -> None:
+        if not self.new:
+            return
+        every = pa.concat_tables([self.kept, *self.new]).combine_chunks()
+        every = every.take(pc.sort_indices(every, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+        q = every["q"].to_numpy()
+        begin = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(begin, np.diff(begin, append=len(q)))
+        last = place == self.k - 1
+        self.least[q[last]] = every["score"].to_numpy()[last]
+        self.kept, self.new = every.filter(pa.array(place < self.k)), []
+
+    def hits(self) -> pa.Table:
+        self._cut()
+        return self.kept.combine_chunks()
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Six decimals, halves away from zero, as Spark's round of doubles has them."""
+    out = np.round(scores, 6)
+    large = np.abs(scores) > 1e8
+    for i in np.flatnonzero(large | (np.abs(np.abs(scores * 1e6 - np.rint(scores * 1e6)) - 0.5) < 1e-3)).tolist():
+        out[i] = float(Decimal(repr(float(scores[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP, Context(prec=400)))
+    return out + 0.0
+
+
 def fuse(lists: DataFrame, rrf_k: int = 60) -> DataFrame:
     """(query_id, chunk_id, rrf, dense_rank, sparse_rank, rank) of ranked lists (query_id, side, epoch, chunk_id, rank).
 
