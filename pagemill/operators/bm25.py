@@ -35,6 +35,21 @@ def sendable(frequencies: DataFrame, most: int = 128 << 20) -> DataFrame:
     return F.broadcast(kept) if size <= most else kept
 
 
+def _counted_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches of some keys and a text as (keys, row, len, term, tf), where row numbers a batch's texts."""
+    for batch in batches:
+        row, size, term, tf = [], [], [], []
+        for i, own in enumerate(map(words, batch.column(keys).to_pylist())):
+            if own:
+                counted = Counter(own)
+                term += counted
+                tf += counted.values()
+                row += [i] * len(counted)
+                size += [len(own)] * len(counted)
+        at = pa.array(row, pa.int32())
+        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), at, pa.array(size, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], [*batch.schema.names[:-1], "row", "len", "term", "tf"])
+
+
 def term_counts(texts: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
     """(key, len, term, tf): one row per text and term. The counts are made inside the row: no shuffle."""
     keys = [key] if isinstance(key, str) else key
@@ -42,17 +57,8 @@ def term_counts(texts: DataFrame, key: str | list[str], text: str = "text") -> D
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.select(*keys).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, size, term, tf = [], [], [], []
-            for i, own in enumerate(map(words, batch.column(len(keys)).to_pylist())):
-                if own:
-                    counted = Counter(own)
-                    term += counted
-                    tf += counted.values()
-                    row += [i] * len(counted)
-                    size += [len(own)] * len(counted)
-            at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), pa.array(size, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], [*keys, "len", "term", "tf"])
+        for batch in _counted_rows(batches, len(keys)):
+            yield batch.select([*keys, "len", "term", "tf"])
 
     return listed.mapInArrow(run, f"{kinds}, len int, term string, tf long")
 
@@ -176,6 +182,50 @@ def sparse_scores(query_weights: DataFrame, postings: DataFrame, by: list[str] =
     return hit.groupBy(*by, "query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")).filter("score <> 0")
 
 
+def heavy_terms(texts: DataFrame, key: str, frequencies: DataFrame, size: DataFrame, k: int, p: Bm25 = Bm25(), most: int = 1 << 18) -> DataFrame:
+    """The rows (key, len, term, tf) of term_counts that can be among a text's k greatest weights, equal ones included.
+
+    Tasks know the frequencies of the commonest terms, so many at most. Any other term has a lower frequency than these,
+    which bounds its weight from both sides; terms whose bound is below the k-th best of a text stay where they are.
+    """
+    spark = texts.sparkSession
+    durable(spark)
+    power = F.floor(F.log2("df")).cast("int")
+    sizes = {r["power"]: r["n"] for r in frequencies.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}  # a row a power of two
+    least, known = 1 + max(sizes, default=0), 0
+    while least > 0 and known + sizes.get(least - 1, 0) <= most:
+        known, least = known + sizes.get(least - 1, 0), least - 1
+    common = {r["term"]: r["df"] for r in frequencies.filter(F.col("df") >= 1 << least).select("term", "df").toLocalIterator()}
+    n, mean = size.select("n", "avgdl").first() or (0, None)
+    shared = spark.sparkContext.broadcast(common)
+    rare = max(1, (1 << least) - 1)
+
+    def idf_of(df: np.ndarray) -> np.ndarray:
+        return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for batch in batches:
+            df = [get(t) for t in batch.column("term").to_pylist()]
+            length, tf = batch.column("len").to_numpy().astype(np.float64), batch.column("tf").to_numpy().astype(np.float64)
+            part = tf * (p.k1 + 1.0) / (tf + p.k1 * (1.0 - p.b + p.b * length / (mean if mean and mean > 0 else 1.0)))
+            lower = idf_of(np.array([rare if x is None else x for x in df], np.float64)) * part
+            upper = idf_of(np.array([1 if x is None else x for x in df], np.float64)) * part
+            row = batch.column("row").to_numpy()
+            order = np.lexsort((-lower, row))
+            begin = np.flatnonzero(np.diff(row[order], prepend=-1))
+            ends = np.append(begin[1:], len(order))
+            at_k = np.minimum(begin + k, ends) - 1
+            bound = np.where(ends - begin >= k, lower[order[at_k]], -np.inf) if len(begin) else np.zeros(0)
+            kept = np.zeros(len(order), bool)
+            # Weights are rounded to six decimals later.
+            kept[order] = upper[order] >= np.repeat(bound, ends - begin) - 2e-6
+            yield batch.filter(pa.array(kept)).select([key, "len", "term", "tf"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, "text").mapInArrow(lambda batches: run(_counted_rows(batches, 1)), f"{key} {kind}, len int, term string, tf long")
+
+
 def top(scores: DataFrame, k: int, by: list[str], score: Column | None = None, tie: str = "chunk_id") -> DataFrame:
     """The k best rows per group with their rank; equal scores by id. The filter is pushed below the shuffle."""
     order = W.partitionBy(*by).orderBy((score if score is not None else F.col("score")).desc(), F.col(tie))

@@ -78,7 +78,8 @@ SELECT chunk_id, term, w, rank FROM (SELECT *, row_number() OVER (PARTITION BY c
 def bm25_doc_weights(spark, sf_dir):
     own = chunks(spark, sf_dir)
     size, frequencies = bm25.sizes_and_frequencies(own)
-    weighted = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.sendable(frequencies), size).withColumn("w", F.round("w", 6))
+    heavy = bm25.heavy_terms(own, "chunk_id", frequencies, size, 5)
+    weighted = bm25.weights(heavy, bm25.sendable(frequencies), size).withColumn("w", F.round("w", 6))
     return bm25.top(weighted, 5, ["chunk_id"], F.col("w"), "term").select("chunk_id", "term", "w", "rank")
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import hybrid
+from pagemill.operators import bm25, hybrid
 
 
 def plan(frame) -> str:
@@ -28,3 +28,20 @@ def test_dense_topk_by_products(spark):
     # No pair of a query and a vector is a row of the plan.
     assert "Join" not in plan(hybrid.dense_topk(vectors(rows), q, 7))
     assert hybrid.dense_topk(vectors(rows), q.filter(F.lit(False)), 7).count() == 0
+
+
+def test_heavy_terms_are_few(spark):
+    """Whatever share of the vocabulary tasks know, the k greatest weights are the same, and few terms are handed on."""
+    rng = random.Random(7)
+    texts = [(i, " ".join([f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.choice((0, 3, 200)))])) for i in range(120)] + [(900, None), (901, "w1 w1 w2")]
+    own = spark.createDataFrame(texts, "chunk_id long, text string")
+    size, frequencies = bm25.sizes_and_frequencies(own)
+    best = lambda counts: sorted(map(tuple, bm25.top(bm25.weights(counts, frequencies, size).withColumn("w", F.round("w", 6)), 5, ["chunk_id"], F.col("w"), "term").collect()))
+    every = bm25.term_counts(own, "chunk_id")
+    want = best(every)
+    for most in (0, 30, 1 << 18):
+        assert best(bm25.heavy_terms(own, "chunk_id", frequencies, size, 5, most=most)) == want
+    assert bm25.heavy_terms(own, "chunk_id", frequencies, size, 5).count() * 3 < every.count()
+    none = own.filter("false")
+    size, frequencies = bm25.sizes_and_frequencies(none)
+    assert bm25.heavy_terms(none, "chunk_id", frequencies, size, 5).count() == 0
