@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from pagemill.settings import Quality
 SPACE = r"\s\x1c-\x1f"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Runs without white space, lower-cased; punctuation stays."""
     return F.filter(F.split(F.lower(text), rf"(?U)[{SPACE}]+"), lambda t: t != "")

@@ -11,21 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import ids
-from pagemill.functions.text import tokens
+from pagemill.functions.text import bound, tokens
 
 
 def fake_vector(text: Column, role: str = "doc", dims: int = 64) -> Column:
     """A unit vector from a chain of SHA-256 digests, 16 little-endian 16-bit numbers each; equal texts, equal vectors."""
     seed = F.sha2(F.concat(F.encode(F.lit(f"{role}\0"), "UTF-8"), F.encode(text, "UTF-8")), 256)
-    rounds = -(-dims // 16)
+    digest = lambda last: F.sha2(F.unhex(last), 256)
     chain = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), F.struct(seed.alias("last"), F.lit("").alias("all")),
-        lambda acc, _: F.struct(F.sha2(F.unhex(acc["last"]), 256).alias("last"), F.concat(acc["all"], F.sha2(F.unhex(acc["last"]), 256)).alias("all")),
+        F.sequence(F.lit(1), F.lit(-(-dims // 16))), F.struct(seed.alias("last"), F.lit("").alias("all")),
+        lambda acc, _: bound(digest(acc["last"]), lambda d: F.struct(d.alias("last"), F.concat(acc["all"], d).alias("all"))),
     )["all"]
-    number = lambda i: F.conv(F.concat(F.substr(chain, i * 4 + 3, F.lit(2)), F.substr(chain, i * 4 + 1, F.lit(2))), 16, 10).cast("double") / 65536.0
-    values = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), number)
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(values, lambda v: v / norm)
+
+    def number(c: Column, i: Column) -> Column:
+        return F.conv(F.concat(F.substr(c, i * 4 + 3, F.lit(2)), F.substr(c, i * 4 + 1, F.lit(2))), 16, 10).cast("double") / 65536.0
+
+    # The digests, the numbers and their norm are bound, so that each is computed once a text.
+    values = bound(chain, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: number(c, i)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return bound(values, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def encode_halving(texts: list[str], encode: Callable[[list[str]], list], halvings: int = 4) -> list:

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import bm25, hybrid
+from pagemill.operators import bm25, embed, hybrid
+from pagemill.sources import boxes
 
 
 def plan(frame) -> str:
@@ -45,3 +46,22 @@ def test_heavy_terms_are_few(spark):
     none = own.filter("false")
     size, frequencies = bm25.sizes_and_frequencies(none)
     assert bm25.heavy_terms(none, "chunk_id", frequencies, size, 5).count() == 0
+
+
+def test_fake_vector_digests_once(spark):
+    """A text is digested once, and a digest of the chain too, however many dimensions there are."""
+    made = spark.range(3).select(embed.fake_vector(F.concat(F.lit("t"), F.col("id").cast("string")), dims=40).alias("v"))
+    assert plan(made).count("sha2(") <= 2
+    assert all(len(r.v) == 40 and abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in made.collect())
+
+
+def test_box_expressions_stay_small(spark):
+    """A matrix doesn't repeat its factors' expressions, so plans grow with the number of products only."""
+    w, h = 200 + F.col("id") % 50, 300 + F.col("id") % 40
+    turn = (F.col("id") % 4).cast("int") * 90
+    crop = F.array(F.lit(10.0), F.lit(20.0), F.lit(100.0), F.lit(90.0))
+    m = boxes.page_to_raster(w, h, turn, crop)
+    box = F.array(F.lit(12.0), F.lit(24.0), F.lit(40.0), F.lit(20.0))
+    made = spark.range(8).select(boxes.apply(boxes.inverse(m), boxes.apply(m, box, 9)).alias("b"))
+    assert plan(made).count("CASE WHEN") < 100
+    assert all([round(x, 3) for x in r.b] == [12.0, 24.0, 40.0, 20.0] for r in made.collect())
