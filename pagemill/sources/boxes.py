@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import bound
+
 NAMES = ("a", "b", "c", "d", "e", "f")
 
 
@@ -37,26 +39,35 @@ def rotated(degrees: Column, width: Column | float, height: Column | float) -> C
 
 def then(first: Column, second: Column) -> Column:
     """The matrix of first one and then the other."""
-    m, n = first, second
-    return matrix(
-        n["a"] * m["a"] + n["c"] * m["b"], n["b"] * m["a"] + n["d"] * m["b"], n["a"] * m["c"] + n["c"] * m["d"], n["b"] * m["c"] + n["d"] * m["d"], n["a"] * m["e"] + n["c"] * m["f"] + n["e"], n["b"] * m["e"] + n["d"] * m["f"] + n["f"]
-    )
+
+    def product(m: Column, n: Column) -> Column:
+        return matrix(
+            n["a"] * m["a"] + n["c"] * m["b"], n["b"] * m["a"] + n["d"] * m["b"], n["a"] * m["c"] + n["c"] * m["d"], n["b"] * m["c"] + n["d"] * m["d"], n["a"] * m["e"] + n["c"] * m["f"] + n["e"], n["b"] * m["e"] + n["d"] * m["f"] + n["f"]
+        )
+
+    # Both are bound: a matrix in terms of its factors' expressions would grow with each product.
+    return bound(first, lambda m: bound(second, lambda n: product(m, n)))
 
 
 def inverse(m: Column) -> Column:
     """The way back; a matrix without one raises an error."""
-    det = m["a"] * m["d"] - m["b"] * m["c"]
-    by = F.when(det == 0, F.raise_error(F.lit("a matrix without inverse")).cast("double")).otherwise(det)
-    return matrix(m["d"] / by, -m["b"] / by, -m["c"] / by, m["a"] / by, (m["c"] * m["f"] - m["d"] * m["e"]) / by, (m["b"] * m["e"] - m["a"] * m["f"]) / by)
+    det = lambda m: m["a"] * m["d"] - m["b"] * m["c"]
+    sound = lambda x: F.when(x == 0, F.raise_error(F.lit("a matrix without inverse")).cast("double")).otherwise(x)
+    divided = lambda m, by: matrix(m["d"] / by, -m["b"] / by, -m["c"] / by, m["a"] / by, (m["c"] * m["f"] - m["d"] * m["e"]) / by, (m["b"] * m["e"] - m["a"] * m["f"]) / by)
+    return bound(m, lambda m: bound(bound(det(m), sound), lambda by: divided(m, by)))
 
 
 def apply(m: Column, box: Column, digits: int = 3) -> Column:
     """The box [x, y, w, h] around what a box becomes."""
-    x, y, w, h = (box[i].cast("double") for i in range(4))
-    xs = [m["a"] * u + m["c"] * v + m["e"] for u in (x, x + w) for v in (y, y + h)]
-    ys = [m["b"] * u + m["d"] * v + m["f"] for u in (x, x + w) for v in (y, y + h)]
-    left, top = F.least(*xs), F.least(*ys)
-    return F.transform(F.array(left, top, F.greatest(*xs) - left, F.greatest(*ys) - top), lambda v: F.round(v, digits))
+
+    def around(m: Column, box: Column) -> Column:
+        x, y, w, h = (box[i].cast("double") for i in range(4))
+        xs = F.array(*(m["a"] * u + m["c"] * v + m["e"] for u in (x, x + w) for v in (y, y + h)))
+        ys = F.array(*(m["b"] * u + m["d"] * v + m["f"] for u in (x, x + w) for v in (y, y + h)))
+        sides = lambda a, b: F.array(F.array_min(a), F.array_min(b), F.array_max(a) - F.array_min(a), F.array_max(b) - F.array_min(b))
+        return bound(xs, lambda a: bound(ys, lambda b: sides(a, b)))
+
+    return F.transform(bound(m, lambda m: bound(box, lambda b: around(m, b))), lambda v: F.round(v, digits))
 
 
 def raster(width: Column, height: Column, dpi: Column | float = 300, most: int = 16_000) -> Column:
@@ -76,5 +87,5 @@ def page_to_raster(width: Column, height: Column, rotation: Column, crop: Column
     odd = F.pmod(rotation, F.lit(180)) == 90
     whole = F.array(F.lit(0.0), F.lit(0.0), *(F.when(odd, b).otherwise(a).cast("double") for a, b in ((width, height), (height, width))))
     shown = whole if crop is None else F.coalesce(crop, whole)
-    cut = then(rotated(rotation, width, height), moved(-shown[0], -shown[1]))
-    return then(cut, scaled(raster(shown[2], shown[3], dpi, most)["scale"]))
+    at = lambda s: then(then(rotated(rotation, width, height), moved(-s[0], -s[1])), scaled(raster(s[2], s[3], dpi, most)["scale"]))
+    return bound(shown, at)
