@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill.operators.bm25 import search as bm25_search
 from pagemill.operators.bm25 import top
+from pagemill.session import durable
 from pagemill.settings import Search
 
 
@@ -286,6 +287,9 @@ def search(questions: DataFrame, chunks: DataFrame, revisions: DataFrame, public
         found = visible if only is None else visible.filter(only)
         dense = dense_topk(vectors.join(found.select("chunk_id"), "chunk_id", "left_semi"), questions.select("query_id", "query"), s.limit_cap)
         lists = lists.unionByName(dense.select("query_id", F.lit("dense").alias("side"), F.lit("").alias("epoch"), "chunk_id", "rank"))
+    # The lists have a bounded number of rows a query and are read by several branches: they are made once.
+    durable(chunks.sparkSession)
+    lists = lists.checkpoint()
     every = rounds(lists, s)
     rows = chunks.select("chunk_id", "rev_id", "doc_id", "tokens")
     valid = validate(every.join(rows, "chunk_id"), chunks if stored is None else stored, revisions, publications)

@@ -9,7 +9,7 @@ from pagemill.functions import ids
 from pagemill.functions.text import tokens
 from pagemill.operators import bm25, hybrid
 from pagemill.settings import Search
-from pagemill.session import table
+from pagemill.session import durable, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -179,27 +179,35 @@ def topup_rounds(spark, sf_dir):
 
 
 def _selected(spark, sf_dir, settings: Search = Search()):
-    ranked = hybrid.rounds(lists(spark, sf_dir, 240))
-    books = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.size(tokens(F.col("text"))).alias("tokens"))
+    # The lists have a bounded number of rows a query and are read by several branches: they are made once.
+    durable(spark)
+    ranked = hybrid.rounds(lists(spark, sf_dir, 240).checkpoint())
+    found = ranked.select("chunk_id").distinct()
+    books = table(spark, sf_dir, "documents").join(F.broadcast(found), F.col("doc_id") == F.col("chunk_id"), "left_semi")
+    books = books.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.size(tokens(F.col("text"))).alias("tokens"))
     labels = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("chunk_id"))
-    valid = ranked.join(labels, "chunk_id", "left_anti").join(books, "chunk_id")
+    # The texts of hits alone are counted, and once.
+    valid = ranked.join(labels, "chunk_id", "left_anti").join(books, "chunk_id").checkpoint()
     last = hybrid.chosen_round(valid, ranked, settings)
     return ranked.join(last, ["query_id", "round"]), valid.join(last, ["query_id", "round"])
 
 
-@query()
-def select_passages(spark, sf_dir):
-    _, valid = _selected(spark, sf_dir)
+def _passages(valid: DataFrame) -> DataFrame:
     order = F.row_number().over(hybrid.W.partitionBy("query_id").orderBy("rank"))
     return hybrid.select_passages(valid.withColumn("rank", order))
 
 
+@query()
+def select_passages(spark, sf_dir):
+    return _passages(_selected(spark, sf_dir)[1])
+
+
 @query()
 def search_counts(spark, sf_dir):
     """Per query: hits of the last round, valid ones, those reranked and those selected."""
     s = Search()
     ranked, valid = _selected(spark, sf_dir)
-    chosen = select_passages(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("selected"), F.sum("tokens").alias("tokens"))
+    chosen = _passages(valid).groupBy("query_id").agg(F.count("*").alias("selected"), F.sum("tokens").alias("tokens"))
     n = ranked.groupBy("query_id", "limit").agg(F.count("*").alias("candidates"))
     ok = valid.groupBy("query_id").agg(F.count("*").alias("valid"))
     out = n.join(ok, "query_id", "left").join(chosen, "query_id", "left")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pagemill.operators import bm25, embed, hybrid
+from pagemill.plans import retrieval
 from pagemill.sources import boxes
 
 
@@ -65,3 +66,9 @@ def test_box_expressions_stay_small(spark):
     made = spark.range(8).select(boxes.apply(boxes.inverse(m), boxes.apply(m, box, 9)).alias("b"))
     assert plan(made).count("CASE WHEN") < 100
     assert all([round(x, 3) for x in r.b] == [12.0, 24.0, 40.0, 20.0] for r in made.collect())
+
+
+def test_search_counts_searches_once(spark, sf_dir):
+    """The corpus' texts are not searched again by each branch of the plan."""
+    made = retrieval.search_counts(spark, sf_dir)
+    assert "MapInArrow" not in plan(made) and "embedding" not in plan(made)
