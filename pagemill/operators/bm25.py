@@ -8,7 +8,7 @@ score twice. Chunks are (chunk_id, text), with an epoch column where several sna
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,11 +241,14 @@ def _question_blocks(queries: DataFrame) -> list[list[tuple]]:
 
     Queries are a stated set: they come to the driver one after the other.
     """
+    return _blocks((query, Counter(words(text))) for query, text in queries.select("query_id", "text").toLocalIterator())
+
+
+def _blocks(questions: Iterable[tuple[object, Counter]]) -> list[list[tuple]]:
     blocks: list[list[tuple]] = [[]]
     terms: set[str] = set()
     n = 0
-    for query, text in queries.select("query_id", "text").toLocalIterator():
-        counted = Counter(words(text))
+    for query, counted in questions:
         if not counted:
             continue
         more = terms | counted.keys()
@@ -367,6 +370,8 @@ class _Best:
 class _Block:
     """A block of queries under one epoch's statistics: the weight of each of its terms in each query."""
 
+    zeros = False  # whether a text with a term is a hit though its score is rounded to zero
+
     def __init__(self, block: list[tuple], asked: list, n: int, avgdl: float, df: dict[str, int], p: Bm25):
         self.p, self.mean = p, avgdl if avgdl and avgdl > 0 else 1.0
         self.number = {t: i for i, t in enumerate(sorted(df))}
@@ -382,21 +387,24 @@ class _Block:
     def _saturated(self, tf, size):
         return tf * (self.p.k1 + 1.0) / (tf + self.p.k1 * (1.0 - self.p.b + self.p.b * size / self.mean))
 
-    def best(self, texts: list[list[str]], k: int, least: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    def counted(self, text: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        """A text's known terms, by number, how often it has them, and its length."""
+        terms, tf = np.unique(np.array([n for n in map(self.number.get, text) if n is not None], np.int64), return_counts=True)
+        return terms, tf, len(text)
+
+    def best(self, texts: list, k: int, least: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
         """(row, query, score) of each query's k best texts of a score of least or more; zeros are no hits.
 
         Of equal scores the earlier rows are kept.
         """
         scores = np.zeros((len(texts), self.weights.shape[1]))
-        get = self.number.get
         for i, own in enumerate(texts):
-            at = [n for n in map(get, own) if n is not None]
-            if at:
-                terms, tf = np.unique(np.array(at), return_counts=True)
-                scores[i] = (self.idf[terms] * self._saturated(tf, len(own))) @ self.weights[terms]
-        scores = np.round(scores, 6)
+            terms, tf, size = self.counted(own)
+            if len(terms):
+                scores[i] = (self.idf[terms] * self._saturated(tf, size)) @ self.weights[terms]
+        raw, scores = scores, np.round(scores, 6)
         if len(texts) > k:
             # The k-th best of this batch bounds what can matter of it.
             least = np.maximum(least, np.partition(scores, len(texts) - k, axis=0)[len(texts) - k])
-        row, query = np.nonzero((scores > 0) & (scores >= least))
+        row, query = np.nonzero(((raw if self.zeros else scores) > 0) & (scores >= least))
         return row.tolist(), query.tolist(), scores[row, query]

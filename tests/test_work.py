@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import bm25, embed, hybrid
+from pagemill.operators import bm25, embed, hybrid, reports
 from pagemill.plans import retrieval
 from pagemill.sources import boxes
 
@@ -72,3 +72,15 @@ def test_search_counts_searches_once(spark, sf_dir):
     """The corpus' texts are not searched again by each branch of the plan."""
     made = retrieval.search_counts(spark, sf_dir)
     assert "MapInArrow" not in plan(made) and "embedding" not in plan(made)
+
+
+def test_keyword_search_hands_on_the_best(spark):
+    """No word of a text is a row of the plan; texts whose score is rounded to zero are hits, nulls and empty ones none."""
+    texts = [(i, "the " + "x " * (4000 if i % 5 == 4 else 10) + ("Él\u00e8ve" if i % 4 == 0 else "")) for i in range(40)] + [(90, None), (91, "")]
+    s = spark.createDataFrame(texts, "rev_id long, text string")
+    q = spark.createDataFrame([(1, "eleve THE the"), (2, "the"), (3, "?"), (4, "unknown")], "query_id long, text string")
+    made = reports.keyword_search(s, q, k=50)
+    assert "Generate" not in plan(made)
+    got = {(r.query_id, r.rev_id): r.score for r in made.collect()}
+    assert {x for x in got if x[0] == 1} == {(1, i) for i in range(40)} and {x for x in got if x[0] > 1} == {(2, i) for i in range(40)}
+    assert got[2, 4] == 0.0 and got[1, 4] < got[1, 9]
