@@ -104,7 +104,9 @@ def index_points(spark, sf_dir):
     own = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("run_id"), F.col("doc_id").cast("string").alias("rev_id"), F.col("lang").alias("doc_id"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
     size, frequencies = bm25.sizes_and_frequencies(own)
-    sparse = bm25.weights(bm25.term_counts(own, "chunk_id"), bm25.sendable(frequencies), size)
+    # The statistics are of all chunks; only chunks that have a vector make points.
+    counts = bm25.term_counts(own.join(vectors.select("chunk_id"), "chunk_id", "left_semi"), "chunk_id")
+    sparse = bm25.weights(counts, bm25.sendable(frequencies), size)
     p = embed.build_points(own, vectors, sparse, "rev-1", Embedding("rev-1", dimensions=64).sha(), "stats-1")
     return p.select("point_id", "payload.chunk_id", "payload.gen_id", "payload.pub_id", F.size("dense").alias("dims"), F.size("sparse.indices").alias("terms"), F.round(F.aggregate("sparse.values", F.lit(0.0), lambda acc, v: acc + v), 4).alias("weight"))
 
