@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,15 +142,19 @@ WORD_BOXES = """w AS (SELECT doc_id, i, word, coalesce(sum(length(word) + 1) OVE
 
 def _word_boxes(spark, sf_dir) -> DataFrame:
     """(unit_id, r_start, r_end, box): the words of each document, set in lines of a thousand characters."""
-    from pyspark.sql import Window as W
 
-    w = _docs(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.posexplode(F.split("text", " ")).alias("i", "word"))
-    before = W.partitionBy("unit_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    a = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0).cast("long"))
-    placed = w.select("unit_id", "word", a.alias("r_start"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                size = np.array([len(w) for w in text.split(" ")] if text else [], np.int64)
+                start, full = np.cumsum(size + 1) - size - 1, size > 0
+                yield pa.RecordBatch.from_arrays([pa.repeat(unit, int(full.sum())), pa.array(start[full]), pa.array(size[full])], ["unit_id", "r_start", "size"])
+
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    placed = d.mapInArrow(run, f"unit_id {d.schema['doc_id'].dataType.simpleString()}, r_start long, size long")
     number = lambda c: c.cast("double")
-    box = F.array(number(F.col("r_start") % 1000), number(F.floor(F.col("r_start") / 1000)), number(F.length("word")), F.lit(1.0))
-    return placed.filter("word <> ''").select("unit_id", "r_start", (F.col("r_start") + F.length("word")).alias("r_end"), box.alias("box"))
+    box = F.array(number(F.col("r_start") % 1000), number(F.floor(F.col("r_start") / 1000)), number(F.col("size")), F.lit(1.0))
+    return placed.select("unit_id", "r_start", (F.col("r_start") + F.col("size")).alias("r_end"), box.alias("box"))
 
 
 def _spans(spark, sf_dir) -> DataFrame:

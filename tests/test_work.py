@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pagemill.operators import bm25, embed, hybrid, reports
-from pagemill.plans import retrieval
+from pagemill.plans import operations, retrieval, stores
 from pagemill.sources import boxes
 
 
@@ -84,3 +84,13 @@ def test_keyword_search_hands_on_the_best(spark):
     got = {(r.query_id, r.rev_id): r.score for r in made.collect()}
     assert {x for x in got if x[0] == 1} == {(1, i) for i in range(40)} and {x for x in got if x[0] > 1} == {(2, i) for i in range(40)}
     assert got[2, 4] == 0.0 and got[1, 4] < got[1, 9]
+
+
+def test_words_are_placed_in_their_rows(spark, sf_dir):
+    """Word boxes need no window over a document's words; points need the texts of chunks with a vector alone."""
+    boxed = stores._word_boxes(spark, sf_dir)
+    assert "Window" not in plan(boxed)
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL").orderBy("doc_id").first()
+    got = sorted((r.r_start, r.r_end) for r in boxed.filter(F.col("unit_id") == text.doc_id).collect())
+    assert [text.text[a:b] for a, b in got] == [w for w in text.text.split(" ") if w]
+    assert plan(operations.index_points(spark, sf_dir)).count("LeftSemi") >= 1
