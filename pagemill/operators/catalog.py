@@ -142,11 +142,13 @@ def reconcile(staged: DataFrame, expected: DataFrame, points: DataFrame, open_jo
     staged (pub_id, rev_id, expected_points), expected and points (pub_id, point_id[, active]), open_jobs (rev_id).
     All points there and some active: promote; all there, none active, no job open: delete; else leave.
     """
-    e = expected.select("pub_id", "point_id", F.lit(1).alias("want"))
-    g = points.select("pub_id", "point_id", F.lit(1).alias("got"), F.col("active").cast("int").alias("on"))
-    compared = e.join(g, ["pub_id", "point_id"], "full").groupBy("pub_id").agg(
-        F.count("want").alias("wanted"), F.count("got").alias("got"), F.count(F.when(F.col("want").isNotNull() & F.col("got").isNotNull(), 1)).alias("both"), F.coalesce(F.sum("on"), F.lit(0)).alias("on")
-    )
+    # Counted side by side and by key, so that no task sorts two sides of a join; the counts are those of the full join.
+    e = expected.select("pub_id", "point_id", F.lit(1).alias("want"), F.lit(0).alias("got"), F.lit(None).cast("int").alias("on"))
+    g = points.select("pub_id", "point_id", F.lit(0).alias("want"), F.lit(1).alias("got"), F.col("active").cast("int").alias("on"))
+    keyed = e.unionAll(g).groupBy("pub_id", "point_id").agg(F.sum("want").alias("w"), F.sum("got").alias("g"), F.coalesce(F.sum("on"), F.lit(0)).alias("on"))
+    met = F.col("point_id").isNotNull() & (F.col("w") > 0) & (F.col("g") > 0)
+    pairs = lambda own, other: F.sum(F.when(met, F.col(own) * F.col(other)).otherwise(F.col(own)))
+    compared = keyed.groupBy("pub_id").agg(pairs("w", "g").alias("wanted"), pairs("g", "w").alias("got"), F.sum(F.when(met, F.col("w") * F.col("g")).otherwise(0)).alias("both"), pairs("on", "w").alias("on"))
     seen = staged.join(compared, "pub_id", "left").join(open_jobs.select("rev_id", F.lit(True).alias("open")).distinct(), "rev_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
     complete = (n("wanted") == F.col("expected_points")) & (n("got") == n("wanted")) & (n("both") == n("wanted"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import bm25, embed, hybrid, reports
+from pagemill.operators import bm25, catalog, embed, hybrid, reports
 from pagemill.plans import operations, retrieval, stores
 from pagemill.sources import boxes
 
@@ -94,3 +94,13 @@ def test_words_are_placed_in_their_rows(spark, sf_dir):
     got = sorted((r.r_start, r.r_end) for r in boxed.filter(F.col("unit_id") == text.doc_id).collect())
     assert [text.text[a:b] for a, b in got] == [w for w in text.text.split(" ") if w]
     assert plan(operations.index_points(spark, sf_dir)).count("LeftSemi") >= 1
+
+
+def test_reconcile_joins_no_points(spark):
+    """Points are counted by key; repeated and null ones count as in a full join."""
+    e = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1), (3, 1), (4, None), (5, 1)], "pub_id long, point_id long")
+    g = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, False), (3, 1, True), (4, None, True), (5, 2, True)], "pub_id long, point_id long, active boolean")
+    staged = spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1), (5, 5, 1), (6, 6, 0)], "pub_id long, rev_id long, expected_points int")
+    made = catalog.reconcile(staged, e, g, spark.createDataFrame([(6,)], "rev_id long"))
+    assert plan(made).count("Join FullOuter") == 0
+    assert dict(map(tuple, made.collect())) == {1: "promote", 2: "delete", 3: "promote", 4: "leave", 5: "leave", 6: "leave"}
