@@ -292,6 +292,12 @@ def _statistics(chunks: DataFrame, by: list[str], terms: list[str]) -> dict[tupl
     return {e: tuple(v) for e, v in out.items()}
 
 
+def asked_statistics(chunks: DataFrame, queries: DataFrame) -> tuple[int, float, dict[str, int]]:
+    """n, avgdl and the document frequencies of the queries' terms: tasks hand on no other term."""
+    terms = {t for r in queries.select("text").toLocalIterator() for t in words(r["text"])}
+    return _statistics(chunks, [], sorted(terms)).get((), (0, 0.0, {}))
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int = 20, by: list[str] = [], p: Bm25 = Bm25(), only: Column | None = None) -> DataFrame:  # noqa: B006
     """Top k chunks of each query: (by, query_id, chunk_id, score, rank); scores are rounded to six decimals.
 

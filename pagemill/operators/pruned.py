@@ -10,8 +10,8 @@ goes through its blocks with that threshold, which rises as the task finds bette
 rounds run where the blocks lie; a task hands on at most its k best of each query. Queries are a stated set and go to the
 tasks in blocks of bounded size.
 
-Blocks are cut along an order (of ids, or of cells and distances), which is dealt by ranges, so that no cell or key,
-however common, has to fit one task.
+Blocks are cut along an order (of ids or lengths within a part of the chunks, or of cells and distances, dealt by ranges),
+so that no cell or key, however common, has to fit one task.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,13 +33,20 @@ from pagemill.settings import Bm25
 #: Rounding of scores to six decimals can lift one above its bound by so much.
 SLACK = 1e-6
 
+#: Cells of a table of some blocks and their terms or queries (eight bytes each), and blocks that are handed on together.
+CELLS, TOGETHER = 4 << 20, 64
+
 
 def _kind(frame: DataFrame, column: str) -> str:
     return frame.schema[column].dataType.simpleString()
 
 
-def _cut(frame: DataFrame, order: list[str], parts: int, rows: int, schema: str, block: Callable[[int, pa.RecordBatch], Iterator[dict]], split: str | None = None) -> DataFrame:
-    """Blocks of at most so many rows that follow one another in an order, none across two values of split."""
+def _cut(frame: DataFrame, order: list[str], parts: int, rows: int, schema: str, block: Callable[[int, pa.RecordBatch], list[pa.Array]], split: str | None = None) -> DataFrame:
+    """Blocks of at most so many rows that follow one another in an order, none across two values of split.
+
+    Without split, rows are dealt by chunk_id and each part has an order of its own: parts are of like bytes then, though
+    the order may be by length, and the rows needn't be read before for the limits of ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -53,26 +61,39 @@ def _cut(frame: DataFrame, order: list[str], parts: int, rows: int, schema: str,
             nonlocal number
             row = block(number, batch)
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], [n for n, *_ in _fields(schema)])
+            return pa.RecordBatch.from_arrays(row, [n for n, *_ in _fields(schema)])
 
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < rows:
-                continue
-            every, at = whole(), 0
-            while every.num_rows - at >= rows:
-                end = _end(every, at, rows, split)
-                yield made(every.slice(at, end - at))
-                at = end
-            held = [every.slice(at)] if at < every.num_rows else []
-        if held and sum(b.num_rows for b in held):
-            every, at = whole(), 0
-            while at < every.num_rows:
-                end = _end(every, at, rows, split)
-                yield made(every.slice(at, end - at))
-                at = end
-
-    return frame.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+        def blocks() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < rows:
+                    continue
+                every, at = whole(), 0
+                while every.num_rows - at >= rows:
+                    end = _end(every, at, rows, split)
+                    yield made(every.slice(at, end - at))
+                    at = end
+                held = [every.slice(at)] if at < every.num_rows else []
+            if held and sum(b.num_rows for b in held):
+                every, at = whole(), 0
+                while at < every.num_rows:
+                    end = _end(every, at, rows, split)
+                    yield made(every.slice(at, end - at))
+                    at = end
+
+        kept, size = [], 0
+        for one in blocks():
+            kept.append(one)
+            size += one.nbytes
+            if len(kept) == TOGETHER or size > 8 << 20:
+                yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+                kept, size = [], 0
+        if kept:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+    dealt = frame.repartitionByRange(parts, *order) if split else frame.repartition(parts, "chunk_id")
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _end(batch: pa.RecordBatch, at: int, rows: int, split: str | None) -> int:
@@ -84,6 +105,22 @@ def _end(batch: pa.RecordBatch, at: int, rows: int, split: str | None) -> int:
     return at + int(other[0]) if len(other) else end
 
 
+def _one(values: pa.Array) -> pa.Array:
+    """A column of lists with these values as its only row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _slices(ends: np.ndarray, more: int) -> Iterator[tuple[int, int]]:
+    """Rows in runs of which each has a table of bounded size, by how many columns they have up to each row, and have in common."""
+    a = 0
+    while a < len(ends):
+        before, b = ends[a - 1] if a else 0, a + 1
+        while b < len(ends) and (b + 1 - a) * (ends[b] - before + more) <= CELLS:
+            b += 1
+        yield a, b
+        a = b
+
+
 def _fields(schema: str) -> list[list[str]]:
     return [f.split(" ", 1) for f in schema.split(", ")]
 
@@ -100,22 +137,26 @@ def inverted(chunks: DataFrame, order: list[str] = ["chunk_id"], rows: int = 16,
     """
     mean = avgdl if avgdl is not None else corpus_size(chunks).first()["avgdl"]
     mean = mean if mean and mean > 0 else 1.0
-    kind = to_arrow_type(chunks.schema["chunk_id"].dataType)
     schema = f"block long, n int, chunk_ids array<{_kind(chunks, 'chunk_id')}>, terms array<string>, tops array<double>, ends array<int>, at array<int>, impacts array<double>"
 
-    def block(number: int, batch: pa.RecordBatch):
-        own: dict[str, list[tuple[int, float]]] = {}
-        for i, text in enumerate(batch.column("text").to_pylist()):
+    def block(number: int, batch: pa.RecordBatch) -> list[pa.Array]:
+        term, tf, size, distinct = [], [], [], []
+        for text in batch.column("text").to_pylist():
             found = words(text)
-            for term, tf in Counter(found).items():
-                own.setdefault(term, []).append((i, tf * (p.k1 + 1.0) / (tf + p.k1 * (1.0 - p.b + p.b * len(found) / mean))))
-        terms = sorted(own)
-        ends = np.cumsum([len(own[t]) for t in terms]).tolist()
-        postings = [x for t in terms for x in own[t]]
-        return [
-            (number, pa.int64()), (batch.num_rows, pa.int32()), (batch.column("chunk_id").to_pylist(), pa.list_(kind)), (terms, pa.list_(pa.string())), ([max(w for _, w in own[t]) for t in terms], pa.list_(pa.float64())),
-            (ends, pa.list_(pa.int32())), ([i for i, _ in postings], pa.list_(pa.int32())), ([w for _, w in postings], pa.list_(pa.float64())),
-        ]
+            counted = Counter(found)
+            term += counted
+            tf += counted.values()
+            size.append(len(found))
+            distinct.append(len(counted))
+        coded = pa.array(term, pa.string()).dictionary_encode()
+        of, at = coded.indices.to_numpy(), np.repeat(np.arange(batch.num_rows, dtype=np.int32), distinct)
+        tf, size = np.array(tf, np.float64), np.array(size, np.float64)[at]
+        order = np.argsort(of, kind="stable")
+        impacts = (tf * (p.k1 + 1.0) / (tf + p.k1 * (1.0 - p.b + p.b * size / mean)))[order]
+        ends = np.cumsum(np.bincount(of, minlength=len(coded.dictionary)))
+        tops = np.maximum.reduceat(impacts, np.concatenate([[0], ends[:-1]])) if len(ends) else impacts
+        lists = (batch.column("chunk_id"), coded.dictionary, pa.array(tops), pa.array(ends.astype(np.int32)), pa.array(at[order]), pa.array(impacts))
+        return [pa.array([number], pa.int64()), pa.array([batch.num_rows], pa.int32()), *map(_one, lists)]
 
     parts = parts or max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return _cut(chunks.select(*dict.fromkeys([*order, "chunk_id", "text"])), order, parts, rows, schema, block)
@@ -127,49 +168,88 @@ class _Terms:
     columns = ("terms", "tops")
 
     def __init__(self, block: _Block):
-        self.block, self.queries = block, block.weights.shape[1]
+        self.names, self.queries = pa.array(list(block.number), pa.string()), block.weights.shape[1]
         self.factors = block.weights * block.idf[:, None]
 
-    def _known(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [(i, n) for i, n in enumerate(map(self.block.number.get, terms)) if n is not None]
-        return (np.array([x[j] for x in found], np.int64) for j in (0, 1))
-
-    def bounds(self, row: dict) -> np.ndarray:
-        at, known = self._known(row["terms"])
-        return np.array(row["tops"])[at] @ self.factors[known] if len(at) else np.zeros(self.queries)
-
-    def scores(self, row: dict, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all chunks for some queries, and how many postings each of these has there."""
-        at, known = self._known(row["terms"])
-        wanted = (self.factors[known][:, queries] != 0).any(axis=1)
-        at, known = at[wanted], known[wanted]
-        ends = np.array(row["ends"])
-        sizes = np.diff(ends, prepend=0)[at]
-        where = np.repeat(ends[at] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
-        dense = np.zeros((row["n"], len(at)))
-        dense[np.array(row["at"])[where], np.repeat(np.arange(len(at)), sizes)] = np.array(row["impacts"])[where]
-        factors = self.factors[known][:, queries]
-        return dense @ factors, sizes @ (factors != 0)
-
-    def all_of(self, row: dict) -> np.ndarray:
-        """How many postings each query has in a block, read or not."""
-        at, known = self._known(row["terms"])
-        return np.diff(np.array(row["ends"]), prepend=0)[at] @ (self.factors[known] != 0)
-
-
-def search(index: DataFrame, frequencies: DataFrame, n: int, avgdl: float, queries: DataFrame, k: int = 20, first: int = 4, p: Bm25 = Bm25()) -> tuple[DataFrame, DataFrame]:
+    def rows(self, batch: pa.RecordBatch) -> _TermRows:
+        return _TermRows(self, batch)
+
+
+class _TermRows:
+    """A batch of inverted blocks, whose lists are read where they lie."""
+
+    def __init__(self, own: _Terms, batch: pa.RecordBatch):
+        self.own, self.batch = own, batch
+        offsets, terms = _flat(batch, "terms")
+        number = pc.index_in(terms, value_set=own.names.cast(terms.type)).fill_null(-1).to_numpy()
+        self.place = np.flatnonzero(number >= 0)
+        self.known = number[self.place]
+        #: Where each block's known terms begin and end.
+        self.at = np.searchsorted(self.place, offsets)
+        self.tops = _numbers(batch, "tops")[1][self.place]
+        if "ends" in batch.schema.names:
+            ends = _numbers(batch, "ends")[1]
+            begins = np.concatenate([[0], ends])[: len(ends)]
+            begins[offsets[:-1][np.diff(offsets) > 0]] = 0
+            self.begins, self.sizes = begins[self.place], (ends - begins)[self.place]
+            self.postings, self.chunk = _numbers(batch, "at")
+            self.impacts = _numbers(batch, "impacts")[1]
+
+    def bounds(self, counted: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+        """The bounds of some blocks for every query, from which block on, and if asked for how many postings it has there."""
+        factors = self.own.factors
+        for a, b in _slices(self.at[1:] - self.at[0], self.own.queries):
+            some = slice(self.at[a], self.at[b])
+            terms, column = np.unique(self.known[some], return_inverse=True)
+            cell = np.repeat(np.arange(b - a), np.diff(self.at[a : b + 1])), column
+            table, of = np.zeros((b - a, len(terms))), factors[terms]
+            table[cell] = self.tops[some]
+            bounds, units = table @ of, None
+            if counted:
+                table[cell] = self.sizes[some]
+                units = (table @ (of != 0)).astype(np.int64)
+            yield a, bounds, units
+
+    def scores(self, row: int, queries: np.ndarray) -> np.ndarray:
+        """The scores of all chunks of a block for some queries."""
+        own = slice(self.at[row], self.at[row + 1])
+        known, sizes, begins = self.known[own], self.sizes[own], self.begins[own]
+        factors = self.own.factors[known] if len(queries) == self.own.queries else self.own.factors[np.ix_(known, queries)]
+        wanted = factors.any(axis=1)
+        factors, sizes, begins = factors[wanted], sizes[wanted], begins[wanted]
+        where = self.postings[row] + np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        table = np.zeros((self.batch.column("n")[row].as_py(), len(sizes)))
+        table[self.chunk[where], np.repeat(np.arange(len(sizes)), sizes)] = self.impacts[where]
+        return table @ factors
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+    """Where the lists of a column begin and end in their values, and those."""
+    column = batch.column(name)
+    return column.offsets.to_numpy(), column.values
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    offsets, values = _flat(batch, name)
+    return offsets, values.to_numpy(zero_copy_only=False)
+
+
+def search(index: DataFrame, frequencies: DataFrame | dict[str, int], n: int, avgdl: float, queries: DataFrame, k: int = 20, first: int = 4, p: Bm25 = Bm25()) -> tuple[DataFrame, DataFrame]:
     """The hits (query_id, chunk_id, score, rank) of bm25.search, and what of the index it took to find them.
 
-    index: of inverted(); frequencies (term, df), n and avgdl: the epoch's. The report is (query_id, blocks, scored,
-    postings, postings_read).
+    index: of inverted(); frequencies (term, df), n and avgdl: the epoch's; the frequencies may also come as those of the
+    queries' terms alone, by term. The report is (query_id, blocks, scored, postings, postings_read).
     """
     spark = index.sparkSession
     hits, reports = [], []
     for block in _question_blocks(queries):
         terms = sorted({r[2] for r in block})
         asked = sorted({r[0] for r in block})
-        wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-        df = {r.term: r.df for r in frequencies.join(F.broadcast(wanted), "term").collect()}  # as many as the block's terms
+        if isinstance(frequencies, dict):
+            df = {t: frequencies[t] for t in terms if t in frequencies}
+        else:
+            wanted = spark.createDataFrame([(t,) for t in terms], "term string")
+            df = {r.term: r.df for r in frequencies.join(F.broadcast(wanted), "term").collect()}  # as many as the block's terms
         scorer = _Terms(_Block(block, asked, n, avgdl, df, p))
         h, r = _pruned(index, scorer, asked, queries, k, first)
         hits.append(h)
@@ -202,15 +282,13 @@ def cells(vectors: DataFrame, pivots: int = 64, rows: int = 256, sample: int = 2
 
     dealt = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(deal, f"chunk_id {kind}, vector array<double>, cell int, apart double")
     schema = f"block long, n int, chunk_ids array<{kind}>, centre array<double>, radius double, vectors array<array<double>>"
-    id_kind = to_arrow_type(vectors.schema["chunk_id"].dataType)
 
-    def block(number: int, batch: pa.RecordBatch):
-        listed = batch.column("vector").to_pylist()
-        own = np.array(listed, np.float64)
+    def block(number: int, batch: pa.RecordBatch) -> list[pa.Array]:
+        listed = batch.column("vector")
+        own = np.array(listed.to_pylist(), np.float64)
         centre = own.mean(0)
         radius = float(np.sqrt(((own - centre) ** 2).sum(1).max())) * (1 + 1e-12)
-        numbers = pa.list_(pa.float64())
-        return [(number, pa.int64()), (batch.num_rows, pa.int32()), (batch.column("chunk_id").to_pylist(), pa.list_(id_kind)), (centre.tolist(), numbers), (radius, pa.float64()), (listed, pa.list_(numbers))]
+        return [pa.array([number], pa.int64()), pa.array([batch.num_rows], pa.int32()), _one(batch.column("chunk_id")), _one(pa.array(centre)), pa.array([radius]), _one(listed)]
 
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return _cut(dealt, ["cell", "apart", "chunk_id"], parts, rows, schema, block, split="cell")
@@ -240,15 +318,31 @@ class _Vectors:
         self.matrix, self.queries = matrix, len(matrix)
         self.norms = np.sqrt((matrix**2).sum(1))
 
-    def bounds(self, row: dict) -> np.ndarray:
-        return (self.matrix @ np.array(row["centre"]) + self.norms * row["radius"]) * (1 + 1e-12) + 1e-12
+    def rows(self, batch: pa.RecordBatch) -> _VectorRows:
+        return _VectorRows(self, batch)
+
+
+class _VectorRows:
+    """A batch of cells, whose vectors are read where they lie."""
 
-    def scores(self, row: dict, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = np.array(row["vectors"], np.float64)
-        return own @ self.matrix[queries].T, np.full(len(queries), len(own))
+    def __init__(self, own: _Vectors, batch: pa.RecordBatch):
+        self.own, self.batch = own, batch
+        offsets, centres = _numbers(batch, "centre")
+        self.centres = centres[offsets[0] : offsets[-1]].reshape(batch.num_rows, self.own.matrix.shape[1])
+        self.radius = batch.column("radius").to_numpy()
 
-    def all_of(self, row: dict) -> np.ndarray:
-        return np.full(self.queries, row["n"])
+    def bounds(self, counted: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+        """The bounds of some cells for every query, from which cell on, and if asked for how many vectors it has there."""
+        matrix, norms = self.own.matrix, self.own.norms
+        for a, b in _slices(np.zeros(len(self.centres), np.int64), max(1, self.own.queries)):
+            bounds = (self.centres[a:b] @ matrix.T + self.radius[a:b, None] * norms) * (1 + 1e-12) + 1e-12
+            yield a, bounds, np.repeat(self.batch.column("n").to_numpy()[a:b, None], len(norms), axis=1) if counted else None
+
+    def scores(self, row: int, queries: np.ndarray) -> np.ndarray:
+        """The products of a cell's vectors with some queries."""
+        own = self.batch.column("vectors")[row].values.flatten().to_numpy(zero_copy_only=False)
+        matrix = self.own.matrix[queries]
+        return own.reshape(-1, matrix.shape[1]) @ matrix.T
 
 
 def dense(index: DataFrame, queries: DataFrame, k: int, first: int = 4, query_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
@@ -286,12 +380,15 @@ def _pruned(index: DataFrame, scorer, asked: list, queries: DataFrame, k: int, f
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, best = shared.value, _Best(len(asked), first)
         best.least[:] = -np.inf
-        for batch in batches:
-            for row in batch.to_pylist():
-                bounds = own.bounds(row)
-                for q in np.flatnonzero(bounds >= best.least).tolist():
-                    if bounds[q] > 0 or not sparse:
-                        best.add([row["block"]], [q], bounds[q : q + 1])
+        for batch in filter(len, batches):
+            number = batch.column("block").to_pylist()
+            for a, bounds, _ in own.rows(batch).bounds():
+                least = best.least
+                if len(bounds) > first:
+                    # The first-best of these bounds is what any of them must reach.
+                    least = np.maximum(least, np.partition(bounds, len(bounds) - first, axis=0)[len(bounds) - first])
+                at, q = np.nonzero((bounds >= least) & ((bounds > 0) | (not sparse)))
+                best.add([number[a + i] for i in at.tolist()], q.tolist(), bounds[at, q])
         rows = list(best.rows())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.float64()))], ["q", "block", "bound"])
 
@@ -305,21 +402,22 @@ def _pruned(index: DataFrame, scorer, asked: list, queries: DataFrame, k: int, f
             own, best = shared.value, _Best(len(asked), k)
             best.least[:] = levels.value
             seen, read, units, units_read = 0, *np.zeros((3, len(asked)), np.int64)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    bounds = own.bounds(row)
+            for batch in filter(len, batches):
+                rows = own.rows(batch)
+                begins, ids = _flat(batch, "chunk_ids")
+                ids = ids.to_pylist()
+                for row, bounds, of in ((a + i, bounds[i], of[i] if report else None) for a, bounds, of in rows.bounds(report) for i in range(len(bounds))):
                     some = np.flatnonzero((bounds + SLACK >= best.least) & ((bounds > 0) | (not sparse)))
                     if report:
                         seen += 1
                         read[some] += 1
-                        units += own.all_of(row)
+                        units += of
+                        units_read[some] += of[some]
                     if not len(some):
                         continue
-                    scores, of = own.scores(row, some)
-                    scores = np.round(scores, 6)
-                    units_read[some] += of
+                    scores = np.round(rows.scores(row, some), 6)
                     at, q = np.nonzero((scores >= best.least[some]) & ((scores > 0) | (not sparse)))
-                    best.add([row["chunk_ids"][i] for i in at.tolist()], some[q].tolist(), scores[at, q])
+                    best.add([ids[begins[row] + i] for i in at.tolist()], some[q].tolist(), scores[at, q])
             out = [(asked[q], i, s, None, None, None, None) for q, i, s in best.rows()]
             if report:
                 out += [(asked[q], None, None, seen, int(read[q]), int(units[q]), int(units_read[q])) for q in range(len(asked))]
@@ -333,7 +431,7 @@ def _pruned(index: DataFrame, scorer, asked: list, queries: DataFrame, k: int, f
     types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(index.schema["chunk_ids"].dataType.elementType), pa.float64(), *[pa.int64()] * 4]
     schema = f"query_id {query_kind}, chunk_id {chunk_kind}, score double, blocks long, scored long, units long, units_read long"
     lowest = 0.0 if sparse else -np.inf
-    begun = top(index.join(chosen, "block", "left_semi").mapInArrow(scored(np.full(len(asked), lowest), False), schema), k, ["query_id"]).filter(F.col("rank") == k)
+    begun = top(index.join(F.broadcast(chosen), "block", "left_semi").mapInArrow(scored(np.full(len(asked), lowest), False), schema), k, ["query_id"]).filter(F.col("rank") == k)
     reached = {r["query_id"]: r["score"] for r in begun.select("query_id", "score").collect()}  # a number for each query
     least = np.array([reached.get(q, lowest) for q in asked])
     found = index.mapInArrow(scored(least, True), schema).checkpoint()

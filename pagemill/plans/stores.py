@@ -104,22 +104,22 @@ def snapshot_points(spark, sf_dir):
     return out
 
 
-def _inverted(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict, str]:
-    """Stored inverted blocks of all documents, the terms' frequencies, and the size of the corpus."""
+def _inverted(spark, sf_dir, avgdl: float) -> tuple[DataFrame, str]:
+    """Stored inverted blocks of all documents."""
     path = _folder(spark)
     # Blocks of like texts, by language and length, have closer bounds.
     own = chunks(spark, sf_dir, "lang", "n_chars")
-    sizes, frequencies = bm25.sizes_and_frequencies(own)
-    size = sizes.first()
-    pruned.inverted(own, ["lang", "n_chars", "chunk_id"], avgdl=size["avgdl"]).write.parquet(path)
-    return spark.read.parquet(path), frequencies, size, path
+    pruned.inverted(own, ["lang", "n_chars", "chunk_id"], avgdl=avgdl).write.parquet(path)
+    return spark.read.parquet(path), path
 
 
 @query(RETRIEVAL["bm25_search"])
 def block_max_search(spark, sf_dir):
     """The hits of bm25_search, from a stored index of which most postings are never read."""
-    index, df, size, path = _inverted(spark, sf_dir)
-    hits = pruned.search(index, df, size["n"], size["avgdl"], questions(spark, sf_dir), 20)[0].checkpoint()
+    asked = questions(spark, sf_dir)
+    n, avgdl, df = bm25.asked_statistics(chunks(spark, sf_dir), asked)
+    index, path = _inverted(spark, sf_dir, avgdl)
+    hits = pruned.search(index, df, n, avgdl, asked, 20)[0].checkpoint()
     forget(spark, path)
     return hits
 

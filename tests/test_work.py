@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.operators import bm25, catalog, embed, hybrid, reports
+from pagemill.operators import bm25, catalog, embed, hybrid, pruned, reports
 from pagemill.plans import operations, retrieval, stores
 from pagemill.sources import boxes
 
@@ -104,3 +105,59 @@ def test_reconcile_joins_no_points(spark):
     made = catalog.reconcile(staged, e, g, spark.createDataFrame([(6,)], "rev_id long"))
     assert plan(made).count("Join FullOuter") == 0
     assert dict(map(tuple, made.collect())) == {1: "promote", 2: "delete", 3: "promote", 4: "leave", 5: "leave", 6: "leave"}
+
+
+def test_block_max_search_moves_neither_vocabulary_nor_index(spark, sf_dir, monkeypatch):
+    """Frequencies are counted of the queries' terms alone, and the blocks to begin with are looked up where the index lies."""
+    counted, handed, real = [], [], pruned.top
+    monkeypatch.setattr(bm25, "counted", lambda *a, **b: counted.append(a))
+    monkeypatch.setattr(pruned, "top", lambda scores, *a: handed.append(scores._jdf.queryExecution().executedPlan().toString()) or real(scores, *a))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = stores.block_max_search(spark, sf_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not counted and not [p for p in handed if "SortMergeJoin" in p]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, retrieval.bm25_search(spark, sf_dir).collect()))
+
+
+def test_inverted_blocks_are_scored_where_they_lie(spark, monkeypatch):
+    """Bounds and scores of a batch of blocks, in tables of any size, as if each text was weighted by itself."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.choice((0, 2, 60))))) for i in range(150)]
+    texts += [(200, None), (201, ""), (202, "\u0130x STRASSE w1 w1"), *((300 + i, "w1 w2 w2") for i in range(40)), *((400 + i, "none known") for i in range(8))]
+    own = spark.createDataFrame(texts, "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w2 w3 w3"), (2, "\u0130X strasse"), (3, "unheard"), (4, " ".join(f"w{i}" for i in range(250))), (5, "")], "query_id long, text string")
+    n, avgdl, df = bm25.asked_statistics(own, queries)
+    size, frequencies = bm25.sizes_and_frequencies(own)
+    every = {r["term"]: r["df"] for r in frequencies.collect()}
+    assert (n, avgdl) == tuple(size.first()) and df == {t: every[t] for t in df} and "unheard" not in df and "none" not in df
+    block = bm25._question_blocks(queries)[0]
+    made = bm25._Block(block, [1, 2, 3, 4], n, avgdl, df, bm25.Bm25())
+    scorer = pruned._Terms(made)
+    stored = pruned.inverted(own, rows=4, parts=1, avgdl=avgdl)
+    table = stored.orderBy("block").toArrow().combine_chunks()
+    whole = table.to_batches()[0]
+    words = {i: bm25.words(t) for i, t in texts}
+    for batch in (whole, whole.slice(7, 30)):
+        ids = batch.column("chunk_ids").to_pylist()
+        for cells in (1, 3000, 1 << 22):
+            monkeypatch.setattr(pruned, "CELLS", cells)
+            rows = scorer.rows(batch)
+            seen = [(a + i, b, u[i]) for a, bounds, u in rows.bounds(True) for i, b in enumerate(bounds)]
+            assert [x[0] for x in seen] == list(range(batch.num_rows))
+            for row, bounds, units in seen:
+                want = np.zeros((len(ids[row]), 4))
+                for at, i in enumerate(ids[row]):
+                    terms, tf, length = made.counted(words[i])
+                    if len(terms):
+                        want[at] = (made.idf[terms] * made._saturated(tf, length)) @ made.weights[terms]
+                assert np.allclose(rows.scores(row, np.arange(4)), want, atol=1e-12) and np.allclose(rows.scores(row, np.array([0, 3])), want[:, [0, 3]], atol=1e-12)
+                assert (bounds + 1e-9 >= want.max(axis=0)).all()
+                held = [sum(t in set(words[i]) for i in ids[row] for t in {r[2] for r in block if r[0] == q}) for q in (1, 2, 3, 4)]
+                assert units.tolist() == held
+    for some in (own.filter("false"), own.filter("chunk_id IN (200, 201)")):
+        n, avgdl, df = bm25.asked_statistics(some, queries)
+        hits, _ = pruned.search(pruned.inverted(some, avgdl=avgdl), df, n, avgdl, queries, 3)
+        assert hits.count() == 0
