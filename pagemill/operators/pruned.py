@@ -131,13 +131,16 @@ def _fields(schema: str) -> list[list[str]]:
 def inverted(chunks: DataFrame, order: list[str] = ["chunk_id"], rows: int = 16, parts: int | None = None, p: Bm25 = Bm25(), avgdl: float | None = None) -> DataFrame:  # noqa: B006
     """(block, n, chunk_ids, terms, tops, ends, at, impacts): a row for each block of chunks (chunk_id, text, ...).
 
+    Terms are joined by spaces (null if there are none), numbers are packed (doubles, and 32-bit integers for ends and at):
+    lists would be copied item by item between Spark and its tasks.
+
     Of each term of a block: the greatest impact, and where its postings end; of each posting the chunk's number in the
     block and its impact, the saturated term frequency under the corpus' mean length (counted, unless it is given). Bounds
     are the closer, the more a block's texts are alike: order by what they share, such as language, topic or length.
     """
     mean = avgdl if avgdl is not None else corpus_size(chunks).first()["avgdl"]
     mean = mean if mean and mean > 0 else 1.0
-    schema = f"block long, n int, chunk_ids array<{_kind(chunks, 'chunk_id')}>, terms array<string>, tops array<double>, ends array<int>, at array<int>, impacts array<double>"
+    schema = f"block long, n int, chunk_ids array<{_kind(chunks, 'chunk_id')}>, terms string, tops binary, ends binary, at binary, impacts binary"
 
     def block(number: int, batch: pa.RecordBatch) -> list[pa.Array]:
         term, tf, size, distinct = [], [], [], []
@@ -155,8 +158,9 @@ def inverted(chunks: DataFrame, order: list[str] = ["chunk_id"], rows: int = 16,
         impacts = (tf * (p.k1 + 1.0) / (tf + p.k1 * (1.0 - p.b + p.b * size / mean)))[order]
         ends = np.cumsum(np.bincount(of, minlength=len(coded.dictionary)))
         tops = np.maximum.reduceat(impacts, np.concatenate([[0], ends[:-1]])) if len(ends) else impacts
-        lists = (batch.column("chunk_id"), coded.dictionary, pa.array(tops), pa.array(ends.astype(np.int32)), pa.array(at[order]), pa.array(impacts))
-        return [pa.array([number], pa.int64()), pa.array([batch.num_rows], pa.int32()), *map(_one, lists)]
+        names = pc.binary_join(_one(coded.dictionary), " ") if len(ends) else pa.array([None], pa.string())
+        packed = (pa.array([x.tobytes()], pa.binary()) for x in (tops, ends.astype(np.int32), at[order], impacts))
+        return [pa.array([number], pa.int64()), pa.array([batch.num_rows], pa.int32()), _one(batch.column("chunk_id")), names, *packed]
 
     parts = parts or max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return _cut(chunks.select(*dict.fromkeys([*order, "chunk_id", "text"])), order, parts, rows, schema, block)
@@ -180,20 +184,21 @@ class _TermRows:
 
     def __init__(self, own: _Terms, batch: pa.RecordBatch):
         self.own, self.batch = own, batch
-        offsets, terms = _flat(batch, "terms")
+        listed = pc.split_pattern(batch.column("terms"), " ")
+        offsets, terms = listed.offsets.to_numpy(), listed.values
         number = pc.index_in(terms, value_set=own.names.cast(terms.type)).fill_null(-1).to_numpy()
         self.place = np.flatnonzero(number >= 0)
         self.known = number[self.place]
         #: Where each block's known terms begin and end.
         self.at = np.searchsorted(self.place, offsets)
-        self.tops = _numbers(batch, "tops")[1][self.place]
+        self.tops = _packed(batch, "tops", np.float64)[1][self.place]
         if "ends" in batch.schema.names:
-            ends = _numbers(batch, "ends")[1]
+            ends = _packed(batch, "ends", np.int32)[1]
             begins = np.concatenate([[0], ends])[: len(ends)]
             begins[offsets[:-1][np.diff(offsets) > 0]] = 0
             self.begins, self.sizes = begins[self.place], (ends - begins)[self.place]
-            self.postings, self.chunk = _numbers(batch, "at")
-            self.impacts = _numbers(batch, "impacts")[1]
+            self.postings, self.chunk = _packed(batch, "at", np.int32)
+            self.impacts = _packed(batch, "impacts", np.float64)[1]
 
     def bounds(self, counted: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
         """The bounds of some blocks for every query, from which block on, and if asked for how many postings it has there."""
@@ -223,6 +228,12 @@ class _TermRows:
         return table @ factors
 
 
+def _packed(batch: pa.RecordBatch, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Where the packed numbers of each row begin and end in those of all rows, and these."""
+    rows = batch.column(name).to_pylist()
+    return np.cumsum([0, *map(len, rows)]) // np.dtype(kind).itemsize, np.frombuffer(b"".join(rows), kind)
+
+
 def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
     """Where the lists of a column begin and end in their values, and those."""
     column = batch.column(name)
